@@ -66,8 +66,8 @@ def running_totals(
     return joined.select(*df.columns, *[(F.col(f"_l_{w}") + F.col(f"_o_{w}")).alias(f"cum_{w}") for w in weights])
 
 
-def dense_codes(df: DataFrame, col: str, *, bucket_rows: int | None = None) -> DataFrame:
-    """``(value, code)``: 0-based rank of every distinct text value in binary order.
+def dense_codes(df: DataFrame, col: str, *, bucket_rows: int | None = None) -> tuple[DataFrame, int]:
+    """``(value, code)``, the 0-based rank of every distinct text value in binary order, and how many.
 
     Past ``bucket_rows`` distinct values, boundary values are drawn from them (as a range
     partitioner does) and ranks are counted bucket by bucket.
@@ -77,7 +77,7 @@ def dense_codes(df: DataFrame, col: str, *, bucket_rows: int | None = None) -> D
     distinct = values.count()
     if distinct <= rows:
         order = Window.partitionBy(F.lit(0)).orderBy("value")
-        return values.select("value", (F.row_number().over(order) - 1).cast("long").alias("code"))
+        return values.select("value", (F.row_number().over(order) - 1).cast("long").alias("code")), distinct
     buckets = min(MAX_BUCKETS, -(-distinct // rows))
     drawn = values.orderBy(F.md5("value")).limit(min(200_000, 20 * buckets)).collect()
     drawn = sorted(r[0] for r in drawn)
@@ -93,7 +93,8 @@ def dense_codes(df: DataFrame, col: str, *, bucket_rows: int | None = None) -> D
     offsets = totals.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     within = Window.partitionBy("_bucket").orderBy("value")
     ranked = spread.withColumn("_rn", F.row_number().over(within))
-    return ranked.join(offsets, "_bucket").select("value", (F.col("_rn") - 1 + F.col("_off")).alias("code"))
+    codes = ranked.join(offsets, "_bucket").select("value", (F.col("_rn") - 1 + F.col("_off")).alias("code"))
+    return codes, distinct
 
 
 def seeded_hash(key: str | Column, seed: int) -> Column:

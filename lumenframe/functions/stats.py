@@ -78,7 +78,11 @@ def exact_quantiles(
     out = collect_stats(df, {c: F.percentile(number(c), grid) for c in small}, width=20)
     out = {c: list(v) if v is not None else [None] * len(probs) for c, v in out.items()}
     large = [c for c in cols if c not in out]
-    if large:
+    if len(probs) > 20:
+        # A whole grid of quantiles is read off one ranking instead of narrowed one by one.
+        for c in large:
+            out[c] = grouped_quantiles(df, [], c, probs, direct_values=limit).first()["q"]
+    elif large:
         wanted = {}
         for c in large:
             for p in probs:
@@ -166,16 +170,19 @@ def grouped_quantiles(
         .agg(F.count("*").alias("n"))
     )
     ranked = running_totals(counts, "v", ["n"], names, bucket_rows=bucket_rows)
-    totals = counts.groupBy(*names).agg(F.sum("n").alias("total"))
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in names] or [F.lit(True)]
-    joined = ranked.alias("r").join(F.broadcast(totals.alias("t")) if not names else totals.alias("t"), same)
+    if names:
+        totals = counts.groupBy(*names).agg(F.sum("n").alias("total"))
+        same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in names]
+        ranked = ranked.alias("r").join(totals.alias("t"), same).select("r.*", "t.total")
+    else:
+        ranked = ranked.withColumn("total", F.lit(counts.agg(F.sum("n")).first()[0]))
     picks = []
     for i, p in enumerate(probs):
-        place = (F.col("t.total") - 1) * F.lit(float(p))
-        picks.append(F.min(F.when(F.col("r.cum_n") > F.floor(place), F.col("r.v"))).alias(f"lo{i}"))
-        picks.append(F.min(F.when(F.col("r.cum_n") > F.ceil(place), F.col("r.v"))).alias(f"hi{i}"))
+        place = (F.col("total") - 1) * F.lit(float(p))
+        picks.append(F.min(F.when(F.col("cum_n") > F.floor(place), F.col("v"))).alias(f"lo{i}"))
+        picks.append(F.min(F.when(F.col("cum_n") > F.ceil(place), F.col("v"))).alias(f"hi{i}"))
         picks.append(F.max(place - F.floor(place)).alias(f"fr{i}"))
-    agg = joined.groupBy(*[F.col(f"r.{k}") for k in names]).agg(*picks)
+    agg = ranked.groupBy(*names).agg(*picks)
     q = F.array(*[F.expr(f"lo{i} + (hi{i} - lo{i}) * fr{i}") for i in range(len(probs))])
     return agg.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], q.alias("q"))
 
