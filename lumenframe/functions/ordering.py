@@ -152,3 +152,17 @@ def assign_chunks(df: DataFrame, key: str, seed: int, plan, by: str | None = Non
     table = spark.createDataFrame(rows, "_cls string, _edges array<string>")
     joined = df.join(table, cls == F.col("_cls"), "left")
     return joined.withColumn(out, F.size(F.filter("_edges", lambda e: mine > e))).drop("_cls", "_edges")
+
+
+def seeded_rank(df: DataFrame, key: str, seed: int, by: str | None = None, out: str = "rank") -> DataFrame:
+    """1-based place of every row in the seeded order, per class of ``by`` when given.
+
+    Hash prefixes spread the rows of one class over many tasks; prefix totals give the offsets.
+    """
+    cls = F.coalesce(F.col(by).cast("string"), F.lit("\0")) if by else F.lit("")
+    named = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_c", cls).withColumn("_p", F.substring("_h", 1, 4))
+    totals = named.groupBy("_c", "_p").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_c", "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    local = named.withColumn("_rn", F.row_number().over(Window.partitionBy("_c", "_p").orderBy("_h")))
+    return local.join(offsets, ["_c", "_p"]).select(*df.columns, (F.col("_rn") + F.col("_off")).alias(out))

@@ -76,9 +76,12 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), dtype=float).reshape(len(col), -1)
 
 
-def _slim(df: DataFrame, key: str, features: Sequence[str], carry: str | None) -> DataFrame:
-    # NaN marks a missing feature on both sides.
-    cells = F.array(*[F.coalesce(number(c), F.lit(float("nan"))) for c in features])
+def _slim(df: DataFrame, key: str, features: Sequence[str] | str, carry: str | None) -> DataFrame:
+    if isinstance(features, str):
+        cells = F.col(features).cast("array<double>")
+    else:
+        # NaN marks a missing feature on both sides.
+        cells = F.array(*[F.coalesce(number(c), F.lit(float("nan"))) for c in features])
     value = number(carry) if carry else F.lit(0.0)
     return df.select(F.col(key).cast("long").alias("key"), cells.alias("x"), value.cast("double").alias("val"))
 
@@ -88,7 +91,7 @@ def nearest(
     donors: DataFrame,
     query_key: str,
     donor_key: str,
-    features: Sequence[str],
+    features: Sequence[str] | str,
     k: int,
     *,
     nan_aware: bool = False,
@@ -99,6 +102,8 @@ def nearest(
 ) -> DataFrame:
     """``(query_key, donor_key, distance, rank, carried)`` for the ``k`` nearest donors of each query.
 
+    Keys are whole numbers. ``features`` is a list of numeric columns, or one array column.
+
     With ``nan_aware`` distances skip missing features and are scaled up for them. The scaled
     distance obeys no triangle inequality, so then every block of queries meets every block of donors.
     """

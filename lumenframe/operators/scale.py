@@ -91,15 +91,15 @@ def robust(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return _affine(df, {c: (m, hi - lo) for c, (lo, m, hi) in q.items() if m is not None})
 
 
-def yeo_johnson_value(x: Column, power: float) -> Column:
-    up = F.log1p(x) if abs(power) < 1e-12 else (F.pow(x + 1.0, F.lit(power)) - 1.0) / F.lit(power)
+def yeo_johnson_value(x: Column, power: Column) -> Column:
     two = 2.0 - power
-    down = -F.log1p(-x) if abs(two) < 1e-12 else -(F.pow(1.0 - x, F.lit(two)) - 1.0) / F.lit(two)
-    return F.when(x >= 0, up).otherwise(down)
+    up = F.when(F.abs(power) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, power) - 1.0) / power)
+    down = F.when(F.abs(two) < 1e-12, F.log1p(-x)).otherwise((F.pow(1.0 - x, two) - 1.0) / two)
+    return F.when(x >= 0, up).otherwise(-down)
 
 
-def box_cox_value(x: Column, power: float) -> Column:
-    return F.log(x) if abs(power) < 1e-12 else (F.pow(x, F.lit(power)) - 1.0) / F.lit(power)
+def box_cox_value(x: Column, power: Column) -> Column:
+    return F.when(F.abs(power) < 1e-12, F.log(x)).otherwise((F.pow(x, power) - 1.0) / power)
 
 
 def _best_powers(df: DataFrame, cols: Sequence[str], value, log_part, zooms: int = 5) -> dict[str, float]:
@@ -110,15 +110,22 @@ def _best_powers(df: DataFrame, cols: Sequence[str], value, log_part, zooms: int
         df, {("n", c): F.count(number(c)) for c in cols} | {("l", c): F.sum(log_part(number(c))) for c in cols}
     )
     grid = np.linspace(-1.0, 1.0, 17)
+    tries = df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(cols)]).withColumn(
+        "step", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1)))
+    )
     for _ in range(zooms):
-        tries = {(c, p): centre[c] + reach[c] * p for c in cols for p in grid}
-        spread = collect_stats(df, {k: F.var_pop(value(number(k[0]), float(p))) for k, p in tries.items()}, width=68)
-        for c in cols:
+        powers = {c: [float(centre[c] + reach[c] * p) for p in grid] for c in cols}
+        aggs = []
+        for i, c in enumerate(cols):
+            power = F.array(*map(F.lit, powers[c]))[F.col("step")]
+            aggs.append(F.var_pop(value(F.col(f"x{i}"), power)).alias(f"v{i}"))
+        spread = {row["step"]: row for row in tries.groupBy("step").agg(*aggs).collect()}
+        for i, c in enumerate(cols):
             scored = []
-            for p in grid:
-                v = spread[c, p]
+            for step, p in enumerate(grid):
+                v = spread[step][f"v{i}"] if step in spread else None
                 if v and np.isfinite(v):
-                    power = tries[c, p]
+                    power = powers[c][step]
                     scored.append((-base["n", c] / 2 * np.log(v) + (power - 1) * base["l", c], p, power))
             if scored:
                 _, p, centre[c] = max(scored)
@@ -131,7 +138,7 @@ def yeo_johnson(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Yeo-Johnson power of maximum likelihood per column, then zero mean and unit deviation."""
     cols = _cols(df, cols)
     powers = _best_powers(df, cols, yeo_johnson_value, lambda x: F.signum(x) * F.log1p(F.abs(x)))
-    return standard(df.withColumns({c: yeo_johnson_value(number(c), float(powers[c])) for c in cols}), cols)
+    return standard(df.withColumns({c: yeo_johnson_value(number(c), F.lit(float(powers[c]))) for c in cols}), cols)
 
 
 def box_cox(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -142,7 +149,7 @@ def box_cox(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     if bad:
         raise ValueError(f"Box-Cox needs positive values: {', '.join(bad)}")
     powers = _best_powers(df, cols, box_cox_value, F.log)
-    return standard(df.withColumns({c: box_cox_value(number(c), float(powers[c])) for c in cols}), cols)
+    return standard(df.withColumns({c: box_cox_value(number(c), F.lit(float(powers[c]))) for c in cols}), cols)
 
 
 def quantile(df: DataFrame, cols: Sequence[str] | None = None, *, output: str = "uniform", n: int = 1000) -> DataFrame:

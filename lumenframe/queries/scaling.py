@@ -71,8 +71,8 @@ def _(t):
 
 
 @query("scale_quantile_uniform", f"""
-WITH q AS (SELECT i, i / 999.0::double AS p, quantile_cont(l_quantity, [x / 999.0::double for x in range(1000)])[i + 1] AS v
-           FROM lineitem, range(1000) t(i) GROUP BY i),
+WITH q AS (SELECT i, i / 999.0::double AS p, v FROM (SELECT unnest(range(1000)) AS i, unnest(quantile_cont(l_quantity,
+            [x / 999.0::double for x in range(1000)])) AS v FROM lineitem)),
 x AS (SELECT DISTINCT l_quantity AS x FROM lineitem),
 m AS (SELECT x, max(i) FILTER (WHERE v <= x) AS a, min(i) FILTER (WHERE v >= x) AS b FROM x, q GROUP BY x),
 f AS (SELECT x, CASE WHEN ga.v = x THEN ga.p ELSE ga.p + (x - ga.v) * (gb.p - ga.p) / (gb.v - ga.v) END AS up,
