@@ -51,9 +51,19 @@ class TrainingResult:
     train_rows: int
 
 
+# Columns that the steps of this module add to a table.
+HELPERS = ("label", "target_text", "is_test", "fold")
+
+
+def _candidates(df: DataFrame, config: TrainingConfig) -> list[str]:
+    """Every column of the source table that may serve as a feature."""
+    vectors = {f"{f.name}_vec" for f in df.schema if isinstance(f.dataType, T.ArrayType)}
+    return [c for c in df.columns if c not in (config.key, config.target, *HELPERS) and c not in vectors]
+
+
 def _preparation(df: DataFrame, config: TrainingConfig) -> tuple[list, list[str]]:
     """Stages that turn a table into ``features`` and ``label``."""
-    features = list(config.features or [c for c in df.columns if c not in (config.key, config.target)])
+    features = list(config.features or _candidates(df, config))
     texts = [c for c in features if c in string_columns(df)]
     stages = []
     if texts:

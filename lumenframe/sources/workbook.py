@@ -1,0 +1,97 @@
+"""One workbook to a frame and back, for use inside tasks."""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
+
+import pandas as pd
+
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _column(ref: str) -> int:
+    """Column number of a cell name such as ``AB12``."""
+    n = 0
+    for letter in re.match(r"[A-Z]+", ref).group():
+        n = n * 26 + ord(letter) - 64
+    return n - 1
+
+
+def sheet_frame(content: bytes) -> pd.DataFrame:
+    """The first sheet; its first row names the columns."""
+    try:
+        return pd.read_excel(io.BytesIO(content))
+    except ImportError:
+        pass
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = book.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_NS}si"):
+                shared.append("".join(t.text or "" for t in item.iter(f"{_NS}t")))
+        sheets = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        rows = []
+        for row in ElementTree.fromstring(book.read(sheets[0])).iter(f"{_NS}row"):
+            cells = {}
+            for i, cell in enumerate(row.iter(f"{_NS}c")):
+                place = _column(cell.get("r")) if cell.get("r") else i
+                text = cell.find(f"{_NS}v")
+                if cell.get("t") == "inlineStr":
+                    cells[place] = "".join(t.text or "" for t in cell.iter(f"{_NS}t"))
+                elif text is None:
+                    cells[place] = None
+                elif cell.get("t") == "s":
+                    cells[place] = shared[int(text.text)]
+                elif cell.get("t") in ("str", "b", "e"):
+                    cells[place] = text.text
+                else:
+                    cells[place] = float(text.text)
+            rows.append(cells)
+    width = max((max(r) + 1 for r in rows if r), default=0)
+    table = [[r.get(i) for i in range(width)] for r in rows]
+    return pd.DataFrame(table[1:], columns=[str(h) for h in table[0]]) if table else pd.DataFrame()
+
+
+def sheet_bytes(frame: pd.DataFrame) -> bytes:
+    """A minimal workbook with one sheet."""
+
+    def cell(v) -> str:
+        if v is None or pd.isna(v):
+            return "<c/>"
+        if isinstance(v, str):
+            return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+        return f"<c><v>{v!r}</v></c>" if isinstance(v, float) else f"<c><v>{v}</v></c>"
+
+    lines = ["".join(cell(str(c)) for c in frame.columns)]
+    lines += ["".join(cell(v) for v in row) for row in frame.astype(object).itertuples(index=False)]
+    sheet = "".join(f"<row>{line}</row>" for line in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr(
+            "[Content_Types].xml",
+            '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+            '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+            '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+            '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        )
+        book.writestr(
+            "_rels/.rels",
+            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" '
+            'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        )
+        book.writestr(
+            "xl/_rels/workbook.xml.rels",
+            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" '
+            'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        )
+        book.writestr(
+            "xl/workbook.xml",
+            f'<workbook xmlns="{_NS[1:-1]}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+            '<sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+        )
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_NS[1:-1]}"><sheetData>{sheet}</sheetData></worksheet>')
+    return out.getvalue()
