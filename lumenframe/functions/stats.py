@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 
 from lumenframe.functions.ordering import running_totals
 
-# Largest number of values an in-memory exact percentile may hold per column.
-DIRECT_VALUES = 500_000
+# Most distinct values an in-memory exact percentile may hold per column, and most rows of a column
+# whose distinct values one task may rank.
+DIRECT_VALUES = 50_000
+RANK_VALUES = 5_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -36,7 +38,16 @@ def number(name: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def collect_stats(df: DataFrame, aggregates: dict, width: int = 200) -> dict:
+def long_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(i, x)``: every numeric cell with the place of its column, without a shuffle.
+
+    Aggregates per ``i`` keep the generated code the same size however many columns there are; a
+    wide list of aggregates would outgrow what the JVM compiles.
+    """
+    return df.select(F.posexplode(F.array(*[number(c) for c in cols])).alias("i", "x"))
+
+
+def collect_stats(df: DataFrame, aggregates: dict, width: int = 40) -> dict:
     """Run many aggregates in as few passes as the width allows; one row comes back per pass."""
     keys = list(aggregates)
     out = {}
@@ -63,20 +74,27 @@ def exact_quantiles(
 ) -> dict[str, list[float]]:
     """Exact, linearly interpolated quantiles per column.
 
-    A column whose values fit a bounded map goes through ``percentile``. Any other column is
-    narrowed: a sketch brackets the wanted rank, exact counts confirm the bracket, and this repeats
-    until few values are left inside it.
+    A column whose values fit a bounded map goes through ``percentile``. Up to a few million rows its
+    values are counted and ranked. Any other column is narrowed: a sketch brackets the wanted rank,
+    exact counts confirm the bracket, and this repeats until few values are left inside it.
     """
     limit = DIRECT_VALUES if direct_values is None else direct_values
-    size = collect_stats(
-        df,
-        {("n", c): F.count(number(c)) for c in cols}
-        | {("d", c): F.approx_count_distinct(number(c)) for c in cols},
-    )
-    small = [c for c in cols if size["n", c] <= limit or size["d", c] <= limit // 2]
+    rank_limit = RANK_VALUES if direct_values is None else 4 * direct_values
+    cols = list(cols)
+    found = long_numbers(df, cols).groupBy("i").agg(F.count("x").alias("n"), F.approx_count_distinct("x").alias("d"))
+    held = {cols[row["i"]]: row for row in found.collect()}
+    size = {c: held[c]["n"] if c in held else 0 for c in cols}
+    small = [c for c in cols if size[c] <= limit or held[c]["d"] <= limit]
     grid = F.array(*[F.lit(float(p)) for p in probs])
-    out = collect_stats(df, {c: F.percentile(number(c), grid) for c in small}, width=20)
-    out = {c: list(v) if v is not None else [None] * len(probs) for c, v in out.items()}
+    out = {c: [None] * len(probs) for c in small}
+    for start in range(0, len(small), 8):
+        part = small[start : start + 8]
+        for row in long_numbers(df, part).groupBy("i").agg(F.percentile("x", grid).alias("q")).collect():
+            if row["q"] is not None:
+                out[part[row["i"]]] = list(row["q"])
+    middle = [c for c in cols if c not in out and size[c] <= rank_limit]
+    if middle:
+        out |= _ranked_quantiles(df, middle, probs, size)
     large = [c for c in cols if c not in out]
     if len(probs) > 20:
         # A whole grid of quantiles is read off one ranking instead of narrowed one by one.
@@ -86,19 +104,41 @@ def exact_quantiles(
         wanted = {}
         for c in large:
             for p in probs:
-                place = (size["n", c] - 1) * p
+                place = (size[c] - 1) * p
                 wanted[c, math.floor(place)] = None
                 wanted[c, math.ceil(place)] = None
-        values = _order_statistics(df, wanted, {c: size["n", c] for c in large}, limit)
+        values = _order_statistics(df, wanted, size, limit)
         for c in large:
             out[c] = []
             for p in probs:
-                place = (size["n", c] - 1) * p
+                place = (size[c] - 1) * p
                 low, high = values[c, math.floor(place)], values[c, math.ceil(place)]
                 out[c].append(low + (high - low) * (place - math.floor(place)))
     return {c: out[c] for c in cols}
 
 
+def _ranked_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], size: dict) -> dict:
+    """Quantiles read off the running count of distinct values, one task per column."""
+    values = long_numbers(df, cols).where("x is not null").groupBy("i", "x").agg(F.count("*").alias("n"))
+    run = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.select("i", "x", F.sum("n").over(run).alias("cum"))
+    # Per column: the least value whose running count passes each wanted rank.
+    picks = []
+    for j, p in enumerate(probs):
+        for side, turn in (("lo", math.floor), ("hi", math.ceil)):
+            ranks = F.array(*[F.lit(turn((size[c] - 1) * float(p))) for c in cols])[F.col("i")]
+            picks.append(F.min(F.when(F.col("cum") > ranks, F.col("x"))).alias(f"{side}{j}"))
+    out = {}
+    for row in ranked.groupBy("i").agg(*picks).collect():
+        c = cols[row["i"]]
+        out[c] = []
+        for j, p in enumerate(probs):
+            place = (size[c] - 1) * float(p)
+            low, high = row[f"lo{j}"], row[f"hi{j}"]
+            out[c].append(low + (high - low) * (place - math.floor(place)))
+    return out
+
+
 def _order_statistics(df: DataFrame, wanted: dict, sizes: dict[str, int], limit: int) -> dict:
     """Values at 0-based ranks, ``{(column, rank): value}``, each found by narrowing a bracket."""
     bracket = {t: (float("-inf"), float("inf"), 0, sizes[t[0]]) for t in wanted}

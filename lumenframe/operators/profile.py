@@ -16,6 +16,7 @@ from lumenframe.functions.stats import (
     bessel_skewness,
     exact_quantiles,
     frequencies,
+    long_numbers,
     number,
     numeric_columns,
     string_columns,
@@ -23,21 +24,6 @@ from lumenframe.functions.stats import (
 )
 
 
-def long_aggregates(df: DataFrame, aggregates: dict[tuple[str, str], Column], width: int = 200) -> DataFrame:
-    """``(column, stat, value)`` rows from aggregates over the whole table, one pass per ``width``."""
-    items = list(aggregates.items())
-    parts = []
-    for start in range(0, len(items), width):
-        part = items[start : start + width]
-        row = df.agg(*[e.alias(f"s{i}") for i, (_, e) in enumerate(part)])
-        cells = [
-            F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"s{i}").cast("double").alias("value"))
-            for i, ((c, s), _) in enumerate(part)
-        ]
-        parts.append(row.select(F.inline(F.array(*cells))))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def shape(df: DataFrame) -> DataFrame:
     width = len(df.columns)
     rows = df.agg(F.count("*").alias("n_rows"))
@@ -153,19 +139,18 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     """count, mean, std, min, quartiles and max per numeric column, as ``(column, stat, value)``."""
     cols = list(cols or numeric_columns(df))
     quartiles = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
-    aggregates = {}
-    for c in cols:
-        x = number(c)
-        aggregates |= {
-            (c, "count"): F.count(x),
-            (c, "mean"): F.avg(x),
-            (c, "std"): F.stddev_samp(x),
-            (c, "min"): F.min(x),
-            (c, "max"): F.max(x),
-        }
-        for stat, v in zip(("q25", "median", "q75"), quartiles[c]):
-            aggregates[c, stat] = F.max(F.lit(v).cast("double"))
-    return long_aggregates(df, aggregates)
+    table = F.array(*[F.array(*[F.lit(v).cast("double") for v in quartiles[c]]) for c in cols])
+    moments = long_numbers(df, cols).groupBy("i").agg(
+        F.count("x").cast("double").alias("count"),
+        F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"),
+        F.max("x").alias("max"),
+    )
+    placed = moments.withColumns({s: table[F.col("i")][j] for j, s in enumerate(("q25", "median", "q75"))})
+    stats = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
+    names = F.array(*map(F.lit, cols))
+    return placed.withColumn("column", names[F.col("i")]).unpivot("column", stats, "stat", "value")
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -198,17 +183,17 @@ def quality_totals(df: DataFrame) -> DataFrame:
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(row, col, corr)``; each pair uses the rows where both are present."""
     cols = list(cols or numeric_columns(df))
-    pairs = list(combinations_with_replacement(cols, 2))
-    parts = []
-    for start in range(0, len(pairs), 200):
-        part = pairs[start : start + 200]
-        row = df.agg(*[F.corr(number(a), number(b)).alias(f"p{i}") for i, (a, b) in enumerate(part)])
-        cells = []
-        for i, (a, b) in enumerate(part):
-            for x, y in {(a, b), (b, a)}:
-                cells.append(F.struct(F.lit(x).alias("row"), F.lit(y).alias("col"), F.col(f"p{i}").alias("corr")))
-        parts.append(row.select(F.inline(F.array(*cells))))
-    return reduce(DataFrame.unionByName, parts)
+    pairs = F.array(
+        *[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i, j in combinations_with_replacement(range(len(cols)), 2)]
+    )
+    rows = df.select(F.array(*[number(c) for c in cols]).alias("x")).select("x", F.inline(pairs))
+    found = rows.groupBy("a", "b").agg(F.corr(F.col("x")[F.col("a")], F.col("x")[F.col("b")]).alias("corr"))
+    names = F.array(*map(F.lit, cols))
+    both = F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("a").alias("q")))
+    sides = F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)
+    return found.select("corr", F.inline(sides)).select(
+        names[F.col("p")].alias("row"), names[F.col("q")].alias("col"), "corr"
+    )
 
 
 def correlation_pivot(corr: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -223,11 +208,12 @@ def describe_columns(columns: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 def skew_kurtosis(df: DataFrame, cols: Sequence[str] | None = None, places: int = 2) -> DataFrame:
     cols = list(cols or numeric_columns(df))
-    aggregates = {}
-    for c in cols:
-        aggregates[c, "skewness"] = F.round(bessel_skewness(number(c)), places)
-        aggregates[c, "kurtosis"] = F.round(bessel_kurtosis(number(c)), places)
-    return long_aggregates(df, aggregates)
+    found = long_numbers(df, cols).groupBy("i").agg(
+        F.round(bessel_skewness(F.col("x")), places).alias("skewness"),
+        F.round(bessel_kurtosis(F.col("x")), places).alias("kurtosis"),
+    )
+    names = F.array(*map(F.lit, cols))
+    return found.withColumn("column", names[F.col("i")]).unpivot("column", ["skewness", "kurtosis"], "stat", "value")
 
 
 def iqr_fences(df: DataFrame, cols: Sequence[str], factor: float = 1.5) -> dict[str, tuple[float, float]]:
@@ -262,7 +248,7 @@ def insights(df: DataFrame, cardinality: int = 50) -> DataFrame:
     wide = info.where((F.col("distinct_values") > cardinality) & F.col("column").isin(texts)).select(
         F.lit("high_cardinality").alias("insight"), "column", F.col("distinct_values").cast("double").alias("value")
     )
-    skew = long_aggregates(df, {(c, "s"): F.round(bessel_skewness(number(c)), 2) for c in number_cols})
+    skew = skew_kurtosis(df, number_cols).where("stat = 'skewness'")
     # A column without a skewness (constant, or fewer than three values) cannot be the most skewed.
     skewed = skew.where(F.col("value").isNotNull() & ~F.isnan("value")).agg(
         F.max_by("column", F.struct(F.col("value"), F.col("column"))).alias("column"), F.max("value").alias("value")

@@ -35,8 +35,8 @@ def statistics(df: DataFrame, config: CleaningConfig, descriptions: DataFrame |
     parts = [_long(profile.describe_numeric(cleaned, cols), "describe", "column", F.col("stat"), F.col("value"))]
     parts.append(_long(profile.correlation(cleaned, cols), "correlation", "row", F.col("col"), F.col("corr")))
     quality = profile.quality(masked(prepare(df, config), config))
-    for stat in ("nulls", "duplicates"):
-        parts.append(_long(quality, "quality", "column", F.lit(stat), F.col(stat)))
+    quality = quality.unpivot("column", ["nulls", "duplicates"], "stat", "value")
+    parts.append(_long(quality, "quality", "column", F.col("stat"), F.col("value")))
     if descriptions is not None:
         names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
         joined = profile.describe_columns(names, descriptions)
@@ -50,8 +50,9 @@ def inspect(df: DataFrame, key: str) -> DataFrame:
     for name, rows in (("head", profile.head(df, key)), ("tail", profile.tail(df, key))):
         parts.append(_long(rows, name, key, F.lit("row"), F.lit(None), F.to_json(F.struct(*df.columns))))
     info = profile.column_info(df)
-    for stat in ("non_null", "missing", "missing_pct", "distinct_values"):
-        parts.append(_long(info, "info", "column", F.lit(stat), F.col(stat), F.col("dtype")))
+    facts = ["non_null", "missing", "missing_pct", "distinct_values"]
+    info = info.withColumns({c: F.col(c).cast("double") for c in facts}).unpivot(["column", "dtype"], facts, "stat", "value")
+    parts.append(_long(info, "info", "column", F.col("stat"), F.col("value"), F.col("dtype")))
     cols = [c for c in numeric_columns(df) if c != key]
     if cols:
         parts.append(_long(profile.describe_numeric(df, cols), "describe", "column", F.col("stat"), F.col("value")))
