@@ -20,7 +20,7 @@ HEADLINE = (
     "join_range_eps", "agg_quantile", "agg_box", "agg_kde", "agg_treemap", "win_topn_per_group", "win_stratify",
     "split_holdout", "split_stratified", "cv_kfold", "met_class_report", "met_roc", "met_auc", "met_r2",
     "met_silhouette", "met_calinski", "fn_json_extract", "snk_blocks_from_html", "evt_status_apply", "rec_algorithm",
-    "pipe_stats", "pipe_clean", "ml_linreg", "ml_dt_cls", "ml_knn_cls", "ml_dbscan",
+    "pipe_stats", "pipe_clean", "ml_linreg", "ml_dt_cls", "ml_knn_cls",
 )
 
 

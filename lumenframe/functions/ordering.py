@@ -15,15 +15,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 200_000
+BUCKET_ROWS = 1_000_000
 MAX_BUCKETS = 50_000
 
 
-def _number_buckets(df: DataFrame, col: str, bucket_rows: int) -> DataFrame:
-    rows = df.count()
-    buckets = min(MAX_BUCKETS, -(-rows // bucket_rows))
-    if buckets <= 1:
-        return df.withColumn("_bucket", F.lit(0.0))
+def _number_buckets(df: DataFrame, col: str, buckets: int) -> DataFrame:
+    """Add ``_bucket``: about equally many rows in each, in the order of ``col``."""
     grid = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(
         F.percentile_approx(F.col(col).cast("double"), F.array(*map(F.lit, grid)), max(10_000, 4 * buckets))
@@ -46,8 +43,14 @@ def running_totals(
 
     ``order`` is a number that is unique within ``keys``.
     """
-    spread = _number_buckets(df, order, bucket_rows or BUCKET_ROWS)
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    limit = bucket_rows or BUCKET_ROWS
+    rows = df.count()
+    if rows <= limit:
+        run = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        run = run.orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(w).over(run).alias(f"cum_{w}") for w in weights])
+    spread = _number_buckets(df, order, min(MAX_BUCKETS, -(-rows // limit)))
     totals = spread.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
     earlier = (
         Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

@@ -200,7 +200,8 @@ def grouped_quantiles(
     are counted, ranked by bucketed running totals, and the wanted ranks are picked by aggregation.
     """
     limit = DIRECT_VALUES if direct_values is None else direct_values
-    if df.select(F.count(number(col))).first()[0] <= limit:
+    rows = df.select(F.count(number(col))).first()[0]
+    if rows <= limit:
         grid = F.array(*[F.lit(float(p)) for p in probs])
         return df.groupBy(*keys).agg(F.percentile(number(col), grid).alias("q"))
     named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
@@ -209,13 +210,18 @@ def grouped_quantiles(
         df.select(*named, number(col).alias("v")).where("v is not null").groupBy(*names, "v")
         .agg(F.count("*").alias("n"))
     )
-    ranked = running_totals(counts, "v", ["n"], names, bucket_rows=bucket_rows)
-    if names:
-        totals = counts.groupBy(*names).agg(F.sum("n").alias("total"))
-        same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in names]
-        ranked = ranked.alias("r").join(totals.alias("t"), same).select("r.*", "t.total")
+    if bucket_rows is None and rows <= RANK_VALUES:
+        whole = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+        run = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumns({"cum_n": F.sum("n").over(run), "total": F.sum("n").over(whole)})
     else:
-        ranked = ranked.withColumn("total", F.lit(counts.agg(F.sum("n")).first()[0]))
+        ranked = running_totals(counts, "v", ["n"], names, bucket_rows=bucket_rows)
+        if names:
+            totals = counts.groupBy(*names).agg(F.sum("n").alias("total"))
+            same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in names]
+            ranked = ranked.alias("r").join(totals.alias("t"), same).select("r.*", "t.total")
+        else:
+            ranked = ranked.withColumn("total", F.lit(rows))
     picks = []
     for i, p in enumerate(probs):
         place = (F.col("total") - 1) * F.lit(float(p))

@@ -23,13 +23,7 @@ def first_json(raw: Column) -> Column:
 
     Only runs between braces are walked, so long texts cost few steps.
     """
-    clean = strip(F.regexp_replace(raw, "```json|```", ""))
-    start = F.instr(clean, "{")
-    tail = F.substr(clean, start, F.length(clean))
-    pieces = F.regexp_extract_all(tail, F.lit(r"[{}]|[^{}]+"), F.lit(0))
-    begin = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("closed")
-    )
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("closed"))
 
     def step(acc: Column, piece: Column) -> Column:
         depth = acc["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
@@ -40,10 +34,27 @@ def first_json(raw: Column) -> Column:
         )
         return F.when(acc["closed"], acc).otherwise(moved)
 
-    end = F.aggregate(pieces, begin, step)
-    found = F.when((start > 0) & end["closed"], F.substr(tail, F.lit(1), end["length"]))
-    fixed = F.replace(F.replace(F.replace(found, F.lit("None"), F.lit("null")), F.lit("True"), F.lit("true")), F.lit("False"), F.lit("false"))
-    return F.when(F.try_parse_json(fixed).isNotNull(), fixed)
+    def cut(tail: Column) -> Column:
+        pieces = F.regexp_extract_all(tail, F.lit(r"[{}]|[^{}]+"), F.lit(0))
+        return _once(
+            F.aggregate(pieces, begin, step), lambda end: F.when(end["closed"], F.substr(tail, F.lit(1), end["length"]))
+        )
+
+    def valid(found: Column) -> Column:
+        fixed = found
+        for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
+            fixed = F.replace(fixed, F.lit(python), F.lit(json))
+        return _once(fixed, lambda f: F.when(F.try_parse_json(f).isNotNull(), f))
+
+    clean = strip(F.regexp_replace(raw, "```json|```", ""))
+    # Everything from the first brace on; null when there is none.
+    tail = F.regexp_extract(clean, r"(?s)\{.*", 0)
+    return _once(_once(F.nullif(tail, F.lit("")), cut), valid)
+
+
+def _once(value: Column, use) -> Column:
+    """Compute ``value`` once and use it under a name, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def code_block(raw: Column) -> Column:
