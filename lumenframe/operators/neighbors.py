@@ -186,10 +186,9 @@ def _all_blocks(q: DataFrame, d: DataFrame, k: int, same: bool, block: int) -> D
     nq = -(-q.count() // block)
     nd = -(-d.count() // block)
     hashed = F.xxhash64("key")
-    left = q.withColumn("qb", F.pmod(hashed, F.lit(nq))).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
-    right = d.withColumn("db", F.pmod(hashed, F.lit(nd)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long")
-    )
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = q.withColumn("qb", F.pmod(hashed, F.lit(nq))).withColumn("db", each(nd))
+    right = d.withColumn("db", F.pmod(hashed, F.lit(nd))).withColumn("qb", each(nq))
     return _meet(left, right, ["qb", "db"], k, True, same)
 
 
@@ -235,17 +234,19 @@ def _pivot_blocks(q: DataFrame, d: DataFrame, k: int, same: bool, block: int) ->
 
     sent = d.mapInPandas(wanted, "key long, x array<double>, val double, cell long")
     d_sizes = {s["cell"]: s["n"] for s in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame(
-        [(int(c), -(-n // block), max(1, -(-d_sizes.get(c, 0) // block))) for c, (_, n) in q_stats.items()],
-        "cell long, nq long, nd long",
-    )
+    rows = [(int(c), -(-n // block), max(1, -(-d_sizes.get(c, 0) // block))) for c, (_, n) in q_stats.items()]
+    # One row per pivot at most. Each side gets its own copy, so columns of the two stay apart.
+    for_q = spark.createDataFrame(rows, "cell long, nq long, nd long")
+    for_d = spark.createDataFrame(rows, "cell long, mq long, md long")
     hashed = F.xxhash64("key")
     left = (
-        qc.join(F.broadcast(blocks), "cell").withColumn("qb", F.pmod(hashed, F.col("nq")))
+        qc.join(F.broadcast(for_q), "cell").withColumn("qb", F.pmod(hashed, F.col("nq")))
         .withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nd") - 1)))
+        .drop("nq", "nd")
     )
     right = (
-        sent.join(F.broadcast(blocks), "cell").withColumn("db", F.pmod(hashed, F.col("nd")))
-        .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
+        sent.join(F.broadcast(for_d), "cell").withColumn("db", F.pmod(hashed, F.col("md")))
+        .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mq") - 1)))
+        .drop("mq", "md")
     )
     return _meet(left, right, ["cell", "qb", "db"], k, False, same)
