@@ -69,18 +69,18 @@ def running_totals(
     return joined.select(*df.columns, *[(F.col(f"_l_{w}") + F.col(f"_o_{w}")).alias(f"cum_{w}") for w in weights])
 
 
-def dense_codes(df: DataFrame, col: str, *, bucket_rows: int | None = None) -> tuple[DataFrame, int]:
-    """``(value, code)``, the 0-based rank of every distinct text value in binary order, and how many.
+def dense_codes(df: DataFrame, col: str, *, bucket_rows: int | None = None) -> tuple[DataFrame, int, int]:
+    """``(value, code)``, the 0-based rank of every distinct text value in binary order; how many; their letters.
 
     Past ``bucket_rows`` distinct values, boundary values are drawn from them (as a range
     partitioner does) and ranks are counted bucket by bucket.
     """
     rows = bucket_rows or BUCKET_ROWS
     values = df.select(F.col(col).cast("string").alias("value")).where("value is not null").distinct()
-    distinct = values.count()
+    distinct, letters = values.agg(F.count("*"), F.coalesce(F.sum(F.length("value")), F.lit(0))).first()
     if distinct <= rows:
         order = Window.partitionBy(F.lit(0)).orderBy("value")
-        return values.select("value", (F.row_number().over(order) - 1).cast("long").alias("code")), distinct
+        return values.select("value", (F.row_number().over(order) - 1).cast("long").alias("code")), distinct, letters
     buckets = min(MAX_BUCKETS, -(-distinct // rows))
     drawn = values.orderBy(F.md5("value")).limit(min(200_000, 20 * buckets)).collect()
     drawn = sorted(r[0] for r in drawn)
@@ -97,7 +97,7 @@ def dense_codes(df: DataFrame, col: str, *, bucket_rows: int | None = None) -> t
     within = Window.partitionBy("_bucket").orderBy("value")
     ranked = spread.withColumn("_rn", F.row_number().over(within))
     codes = ranked.join(offsets, "_bucket").select("value", (F.col("_rn") - 1 + F.col("_off")).alias("code"))
-    return codes, distinct
+    return codes, distinct, letters
 
 
 def seeded_hash(key: str | Column, seed: int) -> Column:
@@ -128,7 +128,7 @@ def assign_chunks(df: DataFrame, key: str, seed: int, plan, by: str | None = Non
     run = Window.partitionBy("_c").orderBy("_p")
     spans = prefixes.withColumn("_end", F.sum("_n").over(run)).withColumn("_start", F.col("_end") - F.col("_n"))
     # The prefix that holds each boundary: at most one row per class and boundary.
-    held = spans.join(F.broadcast(cut_table), "_c").where("place > _start and place <= _end")
+    held = spans.join(cut_table, "_c").where("place > _start and place <= _end")
     held = held.select("_c", "_p", "cut", (F.col("place") - F.col("_start")).alias("_want"))
     inside = hashed.join(held.select("_c", "_p").distinct(), [
         hashed["_c"] == held["_c"], F.substring(hashed["_h"], 1, 4) == held["_p"]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.stats import number
 
 SHIP_ROWS = 20_000
+SHIP_NUMBERS = 4_000_000
 BLOCK_ROWS = 5_000
 
 
@@ -115,9 +116,9 @@ def silhouette_rows(
     """``(key, cluster, silhouette)`` with Euclidean distances over all rows."""
     slim = df.select(F.col(key).alias("key"), F.col(cluster).cast("long").alias("c"), _vector(features).alias("x"))
     slim = slim.where("c is not null")
-    rows = slim.count()
+    rows, numbers = slim.agg(F.count("*"), F.coalesce(F.sum(F.size("x")), F.lit(0))).first()
     schema = "key long, other long, total double"
-    if rows <= (SHIP_ROWS if ship_rows is None else ship_rows):
+    if rows <= (SHIP_ROWS if ship_rows is None else ship_rows) and numbers <= SHIP_NUMBERS:
         whole = slim.select("c", "x").toPandas()
         shipped = df.sparkSession.sparkContext.broadcast(
             (np.array(whole["x"].tolist(), dtype=float), whole["c"].to_numpy())
@@ -148,7 +149,7 @@ def silhouette_rows(
         sums = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, schema)
     sizes = slim.groupBy("c").agg(F.count("*").alias("n"))
     per = sums.groupBy("key", "other").agg(F.sum("total").alias("total"))
-    per = per.join(F.broadcast(sizes.select(F.col("c").alias("other"), "n")), "other").join(slim.select("key", "c"), "key")
+    per = per.join(sizes.select(F.col("c").alias("other"), "n"), "other").join(slim.select("key", "c"), "key")
     own = F.col("other") == F.col("c")
     a = F.max(F.when(own, F.col("total") / F.nullif(F.col("n") - 1, F.lit(0))))
     b = F.min(F.when(~own, F.col("total") / F.col("n")))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.ordering import dense_codes
@@ -20,8 +20,9 @@ COUNTS = "Count Vectorizer"
 TFIDF = "TF-IDF Vectorizer"
 METHODS = (LABEL, ONE_HOT, ORDINAL, COUNTS, TFIDF)
 
-# A code table up to this many rows is shipped to every task.
+# A code table up to this many rows and letters is shipped to every task.
 SHIP_CODES = 200_000
+SHIP_LETTERS = 50_000_000
 # Runs of two or more letters, digits or underscores, in any script.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -33,9 +34,9 @@ def drop_duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def _coded(df: DataFrame, col: str, source: Column, bucket_rows: int | None = None) -> DataFrame:
     """Replace ``col`` by the code of ``source``; null where ``source`` is null."""
     named = df.withColumn("_text", source)
-    codes, distinct = dense_codes(named, "_text", bucket_rows=bucket_rows)
+    codes, distinct, letters = dense_codes(named, "_text", bucket_rows=bucket_rows)
     codes = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    if distinct <= SHIP_CODES:
+    if distinct <= SHIP_CODES and letters <= SHIP_LETTERS:
         codes = F.broadcast(codes)
     joined = named.join(codes, F.col("_text") == F.col("_value"), "left")
     return joined.withColumn(col, F.col("_code")).select(*df.columns)
@@ -108,8 +109,9 @@ def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
     spread = counts.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.col("n") * (F.log((1.0 + F.lit(docs)) / (1.0 + F.col("df"))) + 1.0)
     weighted = counts.join(spread, "term").select(key, "term", weight.alias("w"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # One group holds the distinct terms of one text.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def handle(df: DataFrame, method: str, cols: Sequence[str] | None = None) -> DataFrame:

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.stats import number
 
-# Rows of a side that may be shipped whole, and rows of one block.
+# Rows and numbers of a side that may be shipped whole, and rows of one block.
 SHIP_ROWS = 20_000
+SHIP_NUMBERS = 4_000_000
 BLOCK_ROWS = 5_000
 PIVOTS = 256
 _TILE = 4_000_000
@@ -109,7 +110,10 @@ def nearest(
     """
     q = _slim(queries, query_key, features, None)
     d = _slim(donors, donor_key, features, carry)
-    limit = SHIP_ROWS if ship_rows is None else ship_rows
+    limit = ship_rows
+    if limit is None:
+        first = d.select(F.size("x")).first()
+        limit = min(SHIP_ROWS, SHIP_NUMBERS // max(1, first[0] if first else 1))
     block = block_rows or BLOCK_ROWS
     # limit + 1 rows are enough to know whether a side is small.
     if q.limit(limit + 1).count() <= limit:

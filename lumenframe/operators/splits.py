@@ -64,5 +64,5 @@ def stratified_folds(df: DataFrame, key: str, by: str, k: int = 5, seed: int = 4
         start += row["count"]
     table = df.sparkSession.createDataFrame(offsets, "_c string, _start long")
     ranked = seeded_rank(df, key, seed, by, out="_rank")
-    joined = ranked.join(F.broadcast(table), F.coalesce(F.col(by).cast("string"), F.lit("\0")) == F.col("_c"))
+    joined = ranked.join(table, F.coalesce(F.col(by).cast("string"), F.lit("\0")) == F.col("_c"))
     return joined.withColumn("fold", (F.col("_start") + F.col("_rank") - 1) % k).drop("_c", "_start", "_rank")

@@ -55,10 +55,10 @@ def test_running_totals(values, descending):
 
 def test_dense_codes(values):
     pdf, df = values
-    codes, distinct = dense_codes(df, "k", bucket_rows=100)
+    codes, distinct, letters = dense_codes(df, "k", bucket_rows=100)
     got = codes.toPandas().set_index("value")["code"].to_dict()
     texts = sorted(pdf["k"].astype(str))
-    assert distinct == 3000 and got == {v: i for i, v in enumerate(texts)}
+    assert letters == sum(map(len, texts)) and distinct == 3000 and got == {v: i for i, v in enumerate(texts)}
 
 
 def test_auc_with_buckets(values):
