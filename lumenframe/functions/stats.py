@@ -81,6 +81,8 @@ def exact_quantiles(
     limit = DIRECT_VALUES if direct_values is None else direct_values
     rank_limit = RANK_VALUES if direct_values is None else 4 * direct_values
     cols = list(cols)
+    if not cols:
+        return {}
     found = long_numbers(df, cols).groupBy("i").agg(F.count("x").alias("n"), F.approx_count_distinct("x").alias("d"))
     held = {cols[row["i"]]: row for row in found.collect()}
     size = {c: held[c]["n"] if c in held else 0 for c in cols}

@@ -8,18 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.stats import number, string_columns
 from lumenframe.metrics import classification, clustering, regression
-from lumenframe.models import boost, importance, neighbors
+from lumenframe.models import boost, importance
 from lumenframe.models.estimators import estimator
 from lumenframe.operators.splits import holdout, k_folds, stratified_folds
 

@@ -138,6 +138,8 @@ def tail(df: DataFrame, key: str, n: int = 5) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max per numeric column, as ``(column, stat, value)``."""
     cols = list(cols or numeric_columns(df))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, stat string, value double")
     quartiles = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
     table = F.array(*[F.array(*[F.lit(v).cast("double") for v in quartiles[c]]) for c in cols])
     moments = long_numbers(df, cols).groupBy("i").agg(
@@ -183,6 +185,8 @@ def quality_totals(df: DataFrame) -> DataFrame:
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(row, col, corr)``; each pair uses the rows where both are present."""
     cols = list(cols or numeric_columns(df))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "row string, col string, corr double")
     pairs = F.array(
         *[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i, j in combinations_with_replacement(range(len(cols)), 2)]
     )
@@ -208,6 +212,8 @@ def describe_columns(columns: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 def skew_kurtosis(df: DataFrame, cols: Sequence[str] | None = None, places: int = 2) -> DataFrame:
     cols = list(cols or numeric_columns(df))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, stat string, value double")
     found = long_numbers(df, cols).groupBy("i").agg(
         F.round(bessel_skewness(F.col("x")), places).alias("skewness"),
         F.round(bessel_kurtosis(F.col("x")), places).alias("kurtosis"),
@@ -225,6 +231,8 @@ def outlier_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     """Values outside the 1.5·IQR fence per numeric column."""
     cols = list(cols or numeric_columns(df))
     fences = iqr_fences(df, cols)
+    if not fences:
+        return df.sparkSession.createDataFrame([], "column string, outliers long")
     row = df.agg(
         *[F.count_if((number(c) < fences[c][0]) | (number(c) > fences[c][1])).alias(c) for c in fences]
     )

@@ -12,7 +12,7 @@ from lumenframe.operators import profile as P
 from lumenframe.plans import clean as C
 from lumenframe.plans import report as Y
 from lumenframe.queries.nulls import GAPS, gaps
-from lumenframe.queries.profile import MEASURES, corr_sql, describe_sql, fence_sql
+from lumenframe.queries.profile import corr_sql, describe_sql, fence_sql
 from lumenframe.queries.registry import query, r, rounded, sr, union_all
 from lumenframe.queries.training import classify, orders
 
@@ -71,10 +71,10 @@ NOTES = {c: f"measure {c}" for c in STAT_COLS[:2]}
 
 
 @query("pipe_stats", f"""
-WITH {KEPT}, d AS ({describe_sql('k', STAT_COLS)}), c AS ({corr_sql('k', STAT_COLS)}),
+WITH {KEPT}, d AS ({describe_sql('k', STAT_COLS)}), c AS ({corr_sql('k', STAT_COLS, 4)}),
 q AS ({union_all(f"SELECT '{x}' AS item, count(*) - count({x}) AS nulls, count(*) - count(DISTINCT {x}) - CASE WHEN count({x}) < count(*) THEN 1 ELSE 0 END AS duplicates FROM m" for x in ["l_returnflag", *STAT_COLS])})
 SELECT 'describe' AS section, "column" AS item, stat, value, NULL::varchar AS text FROM d
-UNION ALL SELECT 'correlation', "row", col, {sr('corr', 4)}, NULL FROM c
+UNION ALL SELECT 'correlation', "row", col, corr, NULL FROM c
 UNION ALL SELECT 'quality', item, 'nulls', nulls::double, NULL FROM q
 UNION ALL SELECT 'quality', item, 'duplicates', duplicates::double, NULL FROM q
 UNION ALL SELECT 'description', c, 'text', NULL, CASE c {" ".join(f"WHEN '{c}' THEN '{n}'" for c, n in NOTES.items())} END

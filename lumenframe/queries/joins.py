@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators import joins as J
 from lumenframe.operators.neighbors import nearest
 from lumenframe.queries.profile import fence_sql
-from lumenframe.queries.registry import query, r, rounded, sr
+from lumenframe.queries.registry import query, rounded, sr
 
 
 @query("join_align", "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part")

@@ -43,7 +43,7 @@ def _(t):
     return M.confusion(predictions(t), "truth", "predicted")
 
 
-@query("met_class_report", PRED + ", ".join([]) + "SELECT * FROM (" + union_all([
+@query("met_class_report", PRED + "SELECT * FROM (" + union_all([
     f"SELECT label, {sr('precision')} AS precision, {sr('recall')} AS recall, {sr('f1')} AS f1, support::bigint AS support FROM f",
     f"SELECT 'accuracy', {sr('sum(hit) / sum(support)')}, {sr('sum(hit) / sum(support)')}, {sr('sum(hit) / sum(support)')}, sum(support)::bigint FROM f",
     f"SELECT 'macro avg', {sr('avg(precision)')}, {sr('avg(recall)')}, {sr('avg(f1)')}, sum(support)::bigint FROM f",
@@ -59,7 +59,6 @@ SCORED = """WITH c AS (SELECT l_extendedprice AS score, count(*) FILTER (WHERE l
 w AS (SELECT *, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM c
  WINDOW o AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
 """
-POSITIVE = F.col
 
 
 def scored(t):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenframe.operators import nulls as N
-from lumenframe.queries.registry import query, r, rounded, sr
+from lumenframe.queries.registry import query, rounded, sr
 
 GAPS = """WITH g AS (SELECT event_id, user_id, nullif(event_type, 'error') AS event_type,
  CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value,

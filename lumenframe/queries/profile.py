@@ -158,11 +158,11 @@ def _(t):
     return P.quality_totals(gappy(t))
 
 
-def corr_sql(source, cols):
+def corr_sql(source, cols, places=6):
     pairs = [(a, b) for a in cols for b in cols]
     one = ", ".join(f"corr({a}, {b}) AS p{i}" for i, (a, b) in enumerate(pairs))
     rows = ", ".join(f"('{a}', '{b}', p{i})" for i, (a, b) in enumerate(pairs))
-    return f"SELECT v.a AS \"row\", v.b AS col, {sr('v.c')} AS corr FROM (SELECT {one} FROM {source}) s, LATERAL (VALUES {rows}) v(a, b, c)"
+    return f"SELECT v.a AS \"row\", v.b AS col, {sr('v.c', places)} AS corr FROM (SELECT {one} FROM {source}) s, LATERAL (VALUES {rows}) v(a, b, c)"
 
 
 @query("prof_corr", corr_sql("lineitem", LINE_NUMERIC))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenframe.operators import scale as S
-from lumenframe.queries.registry import query, r, rounded, sr
+from lumenframe.queries.registry import query, rounded, sr
 
 KEY = "event_id"
 COLS = ["user_id", "value"]

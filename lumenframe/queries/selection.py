@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import select as S
 from lumenframe.queries.profile import LINE_NUMERIC
-from lumenframe.queries.registry import query, r, rounded, sr, union_all
+from lumenframe.queries.registry import query, rounded, sr, union_all
 
 FEATURES = [c for c in LINE_NUMERIC]
 

@@ -11,7 +11,7 @@ from lumenframe.models import training as M
 from lumenframe.models.training import TrainingConfig
 from lumenframe.operators import joins as J
 from lumenframe.plans.report import metric_lines
-from lumenframe.queries.registry import query, r, rounded, sr, union_all
+from lumenframe.queries.registry import query, r, union_all
 from lumenframe.queries.profile import MEASURES
 from lumenframe.queries.windows import RESULTS, run_results
 from lumenframe.session import scratch_path

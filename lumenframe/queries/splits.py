@@ -1,7 +1,5 @@
 """Split and fold queries."""
 
-from pyspark.sql import functions as F
-
 from lumenframe.operators import splits as S
 from lumenframe.queries.registry import query
 

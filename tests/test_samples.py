@@ -171,3 +171,25 @@ def test_ellipse_and_forest_find_far_rows(spark):
     df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(k=np.arange(410)))
     for kept in (outliers.elliptic_envelope(df, ["a", "b"]), outliers.isolation_forest(df, "k", ["a", "b"])):
         assert kept.where("k >= 400").count() == 0 and 380 <= kept.count() <= 392
+
+
+def test_table_without_numbers(spark):
+    from lumenframe.operators import profile
+
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "s string")
+    for out in (profile.describe_numeric(df), profile.correlation(df), profile.outlier_counts(df), profile.skew_kurtosis(df)):
+        assert out.count() == 0
+    top = profile.describe_categorical(df).first()
+    assert (top["count"], top["unique"], top["top"], top["freq"]) == (2, 1, "a", 2)
+    q = profile.quality(df).first()
+    assert (q["nulls"], q["duplicates"]) == (1, 1)
+    assert {r["insight"] for r in profile.insights(df).collect()} == {"most_missing", "constant"}
+
+
+def test_column_of_nulls(spark):
+    from lumenframe.operators import profile
+
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "x double, y double")
+    got = {(r["column"], r["stat"]): r["value"] for r in profile.describe_numeric(df).collect()}
+    assert got["x", "median"] == 2.0 and got["y", "count"] == 0.0 and got["y", "median"] is None
+    assert outliers.iqr(df).count() == 2
