@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm import chat, topk
+from lumenframe.llm.jaccard import components
 from lumenframe.llm.suffix_dedup import remove_repeats
 from lumenframe.session import prepare
 
@@ -19,6 +21,21 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
+def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets reach a Jaccard similarity of 0.75."""
+    return components(table(spark, folder, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector with all others."""
+    return topk.top_k(table(spark, folder, "embeddings"), lambda key: key % 100 == 0)
+
+
+def op7_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation from the perspective of each of its speakers."""
+    return chat.perspectives(table(spark, folder, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ngram_jaccard, op4_exact_topk, op7_perspectives)}
+
+ORACLES: dict[str, str] = {"op4_exact_topk": topk.oracle(), "op7_perspectives": chat.oracle()}
