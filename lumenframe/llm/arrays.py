@@ -27,9 +27,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def buckets(spark: SparkSession, per_partition: int = 4) -> int:
+def buckets(spark: SparkSession) -> int:
     """Number of groups for packed rows: it follows the shuffle partitions that the session sets for its data."""
-    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import arrays as A
+from lumenframe.llm.rows import deal, deal_column, numbered, runs
 from lumenframe.session import cut_lineage
 
 LENGTH = 50
@@ -45,15 +46,6 @@ PACKED = "kind int, bucket int, ids binary, a binary, b binary, c binary, d bina
 FIELDS = ("ids", "a", "b", "c", "d", "e")
 
 
-def _deal(ids, n: int):
-    """A bucket for each id; the same arithmetic in numpy and in SQL (:func:`_deal_column`)."""
-    return ids % 2147483647 * 48271 % 2147483647 % n
-
-
-def _deal_column(ids: Column, n: int) -> Column:
-    return F.pmod(F.pmod(F.pmod(ids, F.lit(2147483647)) * 48271, F.lit(2147483647)), F.lit(n)).cast("int")
-
-
 def anchors(data, offsets, length: int = LENGTH, gram: int = GRAM):
     """``(position, row, left, right, anchor hash, segment hash)`` of every anchor of a slice of rows.
 
@@ -94,23 +86,14 @@ def _table(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["kind", "bucket", *FIELDS])
 
 
-def _runs(bucket: np.ndarray):
-    """``(value, from, to)`` of the runs of a sorted array."""
-    if not len(bucket):
-        return
-    cut = np.flatnonzero(np.diff(bucket)) + 1
-    for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])):
-        yield int(bucket[lo]), int(lo), int(hi)
-
-
-def _flag_rows(ids, start, stop, n: int, kind: int):
+def _flag_rows(ids, start, stop, m: int):
     """Packed rows of flagged window starts ``[start, stop)``, dealt out by document."""
-    bucket = _deal(ids, n)
+    bucket = deal(ids, m)
     order = np.lexsort((start, ids, bucket))
     bucket, ids, start, stop = bucket[order], ids[order], start[order], stop[order]
     return [
-        (kind, b, A.pack_rising(ids[i:j]), A.pack(start[i:j].astype(np.uint32)), A.pack((stop - start)[i:j].astype(np.uint32)), b"", b"", b"")
-        for b, i, j in _runs(bucket)
+        (0, b, A.pack_rising(ids[i:j]), A.pack(start[i:j].astype(np.uint32)), A.pack((stop - start)[i:j].astype(np.uint32)), b"", b"", b"")
+        for b, i, j in runs(bucket)
     ]
 
 
@@ -128,7 +111,7 @@ def _merge(ids, start, stop):
     return ids[fresh], start[fresh], (reach - rank)[last]
 
 
-def _marker(n: int, shift: int, length: int, gram: int):
+def _marker(n: int, m: int, shift: int, length: int, gram: int):
     """Map side: anchors of a batch, equal segments combined, packed by bucket of the anchor."""
 
     def run(batches):
@@ -153,11 +136,11 @@ def _marker(n: int, shift: int, length: int, gram: int):
             rows = []
             if len(settled):
                 start = pos[settled] - left[settled]
-                rows += _flag_rows(*_merge(doc[settled], start, pos[settled] + right[settled] - length + 1), n, 0)
+                rows += _flag_rows(*_merge(doc[settled], start, pos[settled] + right[settled] - length + 1), m)
             bucket = ((anchor[kept] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
             kept = kept[np.lexsort((pos[kept], doc[kept], bucket))]
             bucket = ((anchor[kept] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-            for b, i, j in _runs(bucket):
+            for b, i, j in runs(bucket):
                 k = kept[i:j]
                 rows.append((1, b, A.pack_rising(doc[k]), A.pack(pos[k].astype(np.uint32)), A.pack(left[k]), A.pack(right[k]),
                              A.six_bytes(anchor[k]), A.six_bytes(segment[k])))
@@ -166,7 +149,7 @@ def _marker(n: int, shift: int, length: int, gram: int):
     return run
 
 
-def _settler(n: int, shift: int, length: int, crowd: int):
+def _settler(m: int, shift: int, length: int, crowd: int):
     """Reduce side of a bucket of anchors: settle equal segments, pass on those that need their bytes."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -193,17 +176,17 @@ def _settler(n: int, shift: int, length: int, crowd: int):
                 level = doc[order] >> shift
                 least = level[first][np.cumsum(first) - 1]
                 hit = order[level > least]
-                rows += _flag_rows(*_merge(doc[hit], (pos - left)[hit], (pos + right)[hit] - length + 1), n, 0)
+                rows += _flag_rows(*_merge(doc[hit], (pos - left)[hit], (pos + right)[hit] - length + 1), m)
                 open_ = level == least
                 variants = np.bincount(same, weights=first)[same]
                 edge = np.flatnonzero(np.concatenate([[True], np.diff(same) != 0]))
                 low, high = np.minimum.reduceat(level, edge)[same], np.maximum.reduceat(level, edge)[same]
                 check = open_ & (variants > 1) & (low < high)
                 k, crowded = order[check], variants[check] > crowd
-                bucket = _deal(doc[k], n)
+                bucket = deal(doc[k], m)
                 by = np.lexsort((pos[k], doc[k], bucket))
                 k, crowded, bucket = k[by], crowded[by], bucket[by]
-                for b, i, j in _runs(bucket):
+                for b, i, j in runs(bucket):
                     x = k[i:j]
                     rows.append((1, b, A.pack_rising(doc[x]), A.pack(pos[x].astype(np.uint32)), A.pack(left[x].astype(np.uint8)),
                                  A.pack(right[x].astype(np.uint8)), A.pack(anchor[x]), A.pack(crowded[i:j])))
@@ -243,7 +226,7 @@ class _Documents:
         return np.cumsum(self.delta[:-1]) > 0
 
 
-def _cutter(n: int, shift: int, length: int):
+def _cutter(n: int, m: int, shift: int, length: int):
     """Cut the segments that need comparing out of the texts; crowded ones into windows."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -290,7 +273,7 @@ def _cutter(n: int, shift: int, length: int):
                 same = (docs.data[w[order][:, None] + byte] == docs.data[w[head][:, None] + byte]).all(axis=1)
                 later = ((wdoc[order] >> shift) > (wdoc[head] >> shift)) & same
                 x = order[later]
-                rows += _flag_rows(*_merge(wdoc[x], (w - wbase)[x], (w - wbase)[x] + 1), n, 0)
+                rows += _flag_rows(*_merge(wdoc[x], (w - wbase)[x], (w - wbase)[x] + 1), m)
                 x = order[~later]
                 keys.append((h[x] & np.uint64((1 << 48) - 1)).astype(np.int64))
                 ids.append(wdoc[x])
@@ -301,7 +284,7 @@ def _cutter(n: int, shift: int, length: int):
             key, doc, start, left = (np.concatenate(x) for x in (keys, ids, starts, lefts))
             bucket = key % n
             order = np.lexsort((doc, bucket))
-            for b, i, j in _runs(bucket[order]):
+            for b, i, j in runs(bucket[order]):
                 x = order[i:j]
                 mine = [pieces[k] for k in x.tolist()]
                 rows.append((1, b, A.pack_rising(doc[x]), A.pack(key[x]), A.pack(start[x].astype(np.uint32)), A.pack(left[x].astype(np.uint8)),
@@ -389,7 +372,7 @@ def repeated(data, suffix, group, level, length: int) -> np.ndarray:
     return flags
 
 
-def _sorter(n: int, shift: int, length: int, entries: int):
+def _sorter(m: int, shift: int, length: int, entries: int):
     """Suffix-sort the segments of a bucket and flag windows that a smaller document has."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -427,7 +410,7 @@ def _sorter(n: int, shift: int, length: int, entries: int):
                 hit = repeated(data, base[owner] + step, group, doc[owner] >> shift, length)
                 found.append((doc[owner[hit]], start[owner[hit]] + step[hit]))
             ids, first = (np.concatenate(v) for v in zip(*found))
-            rows += _flag_rows(*_merge(ids, first, first + 1), n, 0)
+            rows += _flag_rows(*_merge(ids, first, first + 1), m)
         return pa.Table.from_batches([_table(rows)])
 
     return run
@@ -466,32 +449,18 @@ def _finisher(length: int):
     return run
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Documents with a row number ``uid`` whose upper bits are the id; lower bits only where ids repeat."""
-    most = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    if most == 1:
-        return docs.withColumn("uid", F.col("doc_id")), 0
-    hashed = docs.withColumn("version", F.xxhash64("text"))
-    versions = hashed.groupBy("doc_id").agg(F.array_sort(F.collect_set("version")).alias("versions"))
-    shift = int(most).bit_length()
-    numbered = hashed.join(versions, "doc_id").withColumn(
-        "uid", F.col("doc_id") * F.lit(1 << shift) + F.array_position("versions", F.col("version")) - 1
-    )
-    return numbered.select("doc_id", "text", "uid"), shift
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, entries: int = SORT_ENTRIES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     A.small_batches(spark)
-    n = A.buckets(spark)
+    n, m = A.buckets(spark), 4 * A.buckets(spark)  # of anchors, and of documents (their texts need more room)
     known = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known, shift = _numbered(known)
-    marked = known.select("uid", "text").mapInArrow(_marker(n, shift, length, gram), PACKED)
-    found = cut_lineage(marked.groupBy("bucket").applyInArrow(_settler(n, shift, length, crowd), PACKED))
-    dealt = known.select(_deal_column(F.col("uid"), n).alias("bucket"), "uid", "doc_id", "text").repartition(F.col("bucket"))
-    segments = dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_cutter(n, shift, length), PACKED)
-    sorted_ = segments.groupBy("bucket").applyInArrow(_sorter(n, shift, length, entries), PACKED)
+    known, shift = numbered(known)
+    marked = known.select("uid", "text").mapInArrow(_marker(n, m, shift, length, gram), PACKED)
+    found = cut_lineage(marked.groupBy("bucket").applyInArrow(_settler(m, shift, length, crowd), PACKED))
+    dealt = known.select(deal_column(F.col("uid"), m).alias("bucket"), "uid", "doc_id", "text").repartition(F.col("bucket"))
+    segments = dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_cutter(n, m, shift, length), PACKED)
+    sorted_ = segments.groupBy("bucket").applyInArrow(_sorter(m, shift, length, entries), PACKED)
     flags = found.where("kind = 0").union(sorted_)
     done = dealt.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(_finisher(length), RESULT)
     unnamed = docs.where("doc_id is null").select(
