@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, topk
+from lumenframe.llm import chat, html, packing, quality, topk, toxicity
 from lumenframe.llm.jaccard import components
 from lumenframe.llm.suffix_dedup import remove_repeats
 from lumenframe.session import prepare
@@ -36,6 +36,34 @@ def op7_perspectives(spark: SparkSession, folder: str) -> DataFrame:
     return chat.perspectives(table(spark, folder, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ngram_jaccard, op4_exact_topk, op7_perspectives)}
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every document, learned from confirmed toxic and unlabelled texts."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """A quality score for every document, from two co-trained views."""
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+def op10_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_exact_topk, op6_toxicity, op7_perspectives, op9_quality,
+        op10_html_main_text,
+    )
+}
 
 ORACLES: dict[str, str] = {"op4_exact_topk": topk.oracle(), "op7_perspectives": chat.oracle()}
