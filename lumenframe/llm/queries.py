@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, html, packing, quality, topk, toxicity
+from lumenframe.llm import chat, fingerprints, html, packing, pieces, quality, topk, toxicity
 from lumenframe.llm.jaccard import components
 from lumenframe.llm.suffix_dedup import remove_repeats
 from lumenframe.session import prepare
@@ -41,12 +41,23 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document and the digest of the text that they spell."""
+    spelled = pieces.decode(pieces.encode(table(spark, folder, "documents")))
+    return spelled.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """A toxicity score for every document, learned from confirmed toxic and unlabelled texts."""
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the last third from the next one, and their likeness."""
+    return fingerprints.versions(table(spark, folder, "documents"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """A quality score for every document, from two co-trained views."""
     docs = table(spark, folder, "documents")
@@ -61,8 +72,8 @@ def op10_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_exact_topk, op6_toxicity, op7_perspectives, op9_quality,
-        op10_html_main_text,
+        op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_exact_topk, op5_sentencepiece, op6_toxicity, op7_perspectives,
+        op8_fingerprints, op9_quality, op10_html_main_text,
     )
 }
 
