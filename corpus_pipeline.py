@@ -1,8 +1,96 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
 
-from lumenframe.llm.stages import STAGES, run
+Each stage gets what the one before kept, decides on all of it, and returns the columns of ``documents``; the last one
+returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.llm import packing, quality, toxicity
+from lumenframe.llm.jaccard import components
+from lumenframe.llm.suffix_dedup import remove_repeats, text_of
+from lumenframe.session import prepare, scratch_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    docs = _columns(docs)
+    model = quality.fit(docs, _labels(spark, sf_dir))
+    return _columns(quality.keep(docs, model))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    docs = _columns(docs)
+    model = toxicity.fit(docs, _labels(spark, sf_dir))
+    return _columns(toxicity.clean(docs, model))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component of near copies; of rows that share it, one.
+
+    Documents without an id are in no component and stay.
+    """
+    docs = _columns(docs)
+    found = components(docs.select("doc_id", "text"))
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi")
+    if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():
+        kept = kept.withColumn("order", F.xxhash64("text")).groupBy("doc_id").agg(
+            F.min(F.struct("order", "text", "lang", "source", "n_chars")).alias("row")
+        ).select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars")
+    return _columns(kept).union(_columns(docs.where("doc_id is null")))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a smaller id has too; a character that was cut apart goes whole.
+
+    A document of which nothing remains stays with an empty text.
+    """
+    docs = _columns(docs)
+    kept = text_of(remove_repeats(docs))
+    meta = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
+    named = kept.where("doc_id is not null").join(meta, "doc_id")
+    rows = named.select("doc_id", "text", "lang", "source").union(docs.where("doc_id is null").select("doc_id", "text", "lang", "source"))
+    return _columns(rows.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining document in sequences of at most 1024 tokens."""
+    return packing.pack(_columns(docs))
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("toxicity", toxicity_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("best-fit packing", packed),
+]
 
 #: The classifiers, the searches and the packing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
-__all__ = ["ORACLE_SQL", "STAGES", "run"]
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again."""
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        path = scratch_path(spark, f"stage{k}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs

@@ -215,7 +215,7 @@ def co_train(x: np.ndarray, values: np.ndarray, length: np.ndarray, y: np.ndarra
     return Model(edges, meta_edges, models[0], models[1], scales[0], scales[1], both)
 
 
-def _rows(docs: DataFrame, *extra: str) -> DataFrame:
+def _rows(docs: DataFrame, *extra) -> DataFrame:
     slot = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(1 << 30))
     length = F.log1p(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)))
     return docs.select("doc_id", *extra, slot("source").alias("source"), slot("lang").alias("lang"), length.alias("chars"), "text")
@@ -242,18 +242,22 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     return co_train(x, np.array([[r[1], r[2]] for r in rows]), np.array([r[3] for r in rows]), np.array([r[0] for r in rows]), rounds)
 
 
+def _scores(model: Model | None, batch: pa.RecordBatch):
+    """``(score, content score, metadata score)`` of rows with content numbers."""
+    n = batch.num_rows
+    if model is None or not n:
+        return (np.ones(n),) * 3
+    x = np.frombuffer(b"".join(batch.column("content").to_pylist())).reshape(-1, CONTENT)
+    values = np.column_stack([batch.column("source").to_numpy(), batch.column("lang").to_numpy()])
+    t = model.text_scale[0] * _logit(model.text, _binned(x, model.edges)) + model.text_scale[1]
+    m = model.meta_scale[0] * _logit(model.meta, _meta_features(values, batch.column("chars").to_numpy(), model.meta_edges)) + model.meta_scale[1]
+    return _sigmoid(np.clip(np.column_stack([t, m, np.ones(n)]) @ model.both, -30, 30)), _sigmoid(t), _sigmoid(m)
+
+
 def _scorer(model: Model | None):
     def run(batches):
         for batch in _content_rows(batches):
-            n = batch.num_rows
-            score = text = meta = np.ones(n)
-            if model is not None and n:
-                x = np.frombuffer(b"".join(batch.column("content").to_pylist())).reshape(-1, CONTENT)
-                values = np.column_stack([batch.column("source").to_numpy(), batch.column("lang").to_numpy()])
-                t = model.text_scale[0] * _logit(model.text, _binned(x, model.edges)) + model.text_scale[1]
-                m = model.meta_scale[0] * _logit(model.meta, _meta_features(values, batch.column("chars").to_numpy(), model.meta_edges)) + model.meta_scale[1]
-                score = _sigmoid(np.clip(np.column_stack([t, m, np.ones(n)]) @ model.both, -30, 30))
-                text, meta = _sigmoid(t), _sigmoid(m)
+            score, text, meta = _scores(model, batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array(text), pa.array(meta)],
                 names=["doc_id", "held_out", "score", "content_score", "metadata_score"],
@@ -268,3 +272,19 @@ def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
     rows = _rows(docs.withColumn("held_out", held_out(F.col("doc_id"))), "held_out")
     schema = "doc_id long, held_out boolean, score double, content_score double, metadata_score double"
     return rows.mapInArrow(_scorer(model), schema).withColumn("keep", (F.col("score") >= keep).cast("int"))
+
+
+def keep(docs: DataFrame, model: Model | None, least: float = KEEP) -> DataFrame:
+    """The rows of ``docs(doc_id, text, lang, source, n_chars)`` that score at least ``least``, as they are."""
+    A.small_batches(docs.sparkSession)
+    slots = _rows(docs, F.struct("lang", "source", "n_chars").alias("row"))
+
+    def run(batches):
+        for batch in batches:
+            scored = next(_content_rows([batch]))
+            fine = pa.array(_scores(model, scored)[0] >= least)
+            row = batch.column("row")
+            columns = [batch.column("doc_id"), batch.column("text"), *(row.field(k) for k in range(3))]
+            yield pa.RecordBatch.from_arrays([c.filter(fine) for c in columns], names=["doc_id", "text", "lang", "source", "n_chars"])
+
+    return slots.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")

@@ -468,3 +468,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
         F.lit(0).cast("long").alias("n_spans"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"),
     )
     return done.drop("uid").union(unnamed)
+
+
+def text_of(removed: DataFrame) -> DataFrame:
+    """``doc_id, n_removed, text``: what remains, as text; bytes of a character that was cut apart go too."""
+
+    def run(batches):
+        for batch in batches:
+            text = [b.decode("utf-8", "ignore") for b in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["doc_id", "n_removed", "text"])
+
+    return removed.select("doc_id", "n_removed", "kept").mapInArrow(run, "doc_id long, n_removed long, text string")

@@ -194,31 +194,49 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     return Model(chosen, weights, bias)
 
 
-def _scorer(model: Model):
-    def run(batches):
-        wanted = np.zeros(1 << BITS, bool)
-        wanted[model.chosen] = True
-        weight = np.zeros(1 << BITS)
-        weight[model.chosen] = model.weights
-        for batch in batches:
-            n = batch.num_rows
-            score = np.zeros(n)
-            if model.bias is not None and n:
-                data, offsets = A.utf8(batch.column("text"))
-                for lo, hi in A.slices(offsets, SLICE):
-                    base = offsets[lo]
-                    row, code = features(data[base : offsets[hi]], offsets[lo : hi + 1] - base, wanted)
-                    f = np.bincount(row, weights=weight[code], minlength=hi - lo) + model.bias
-                    score[lo:hi] = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-            keep = [k for k, name in enumerate(batch.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(score)], names=[*(batch.schema.names[k] for k in keep), "score"])
-
-    return run
+def _scores(model: Model, column, tables) -> np.ndarray:
+    """Score of each text of an Arrow column."""
+    wanted, weight = tables
+    score = np.zeros(len(column))
+    if model.bias is None or not len(column):
+        return score
+    data, offsets = A.utf8(column)
+    for lo, hi in A.slices(offsets, SLICE):
+        base = offsets[lo]
+        row, code = features(data[base : offsets[hi]], offsets[lo : hi + 1] - base, wanted)
+        f = np.bincount(row, weights=weight[code], minlength=hi - lo) + model.bias
+        score[lo:hi] = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    return score
+
+
+def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    wanted, weight = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
+    wanted[model.chosen], weight[model.chosen] = True, model.weights
+    return wanted, weight
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs(doc_id, text)``."""
     A.small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double")
+
+    def run(batches):
+        tables = _tables(model)
+        for batch in batches:
+            scores = pa.array(_scores(model, batch.column(2), tables))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "held_out", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, as they are."""
+    A.small_batches(docs.sparkSession)
+
+    def run(batches):
+        tables = _tables(model)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch.column("text"), tables) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
