@@ -169,7 +169,7 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
         if kind == "text":
             score = len(value.split()) * weight.get("word:" + element, 1.0)
         else:
-            score = weight.get("tag:" + value.lstrip("/"), -1.0)
+            score = weight.get("tag:" + value.lstrip("/"), -0.1 if element in INLINE else -1.0)
         if run <= 0:
             run, begin = 0.0, k
         run += score

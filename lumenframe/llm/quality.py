@@ -218,22 +218,24 @@ def co_train(x: np.ndarray, values: np.ndarray, length: np.ndarray, y: np.ndarra
 def _rows(docs: DataFrame, *extra) -> DataFrame:
     slot = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(1 << 30))
     length = F.log1p(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)))
-    return docs.select("doc_id", *extra, slot("source").alias("source"), slot("lang").alias("lang"), length.alias("chars"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, slot("source").alias("source"), slot("lang").alias("lang"), length.alias("chars"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS) -> Model | None:
     """Learn from ``docs(doc_id, text, lang, source, n_chars)`` and ``labels(doc_id, quality)``, the rows that are not held out."""
     A.small_batches(docs.sparkSession)
-    train = docs.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("text"))
+    train = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "source", "lang", "n_chars", F.xxhash64("text").alias("h"))
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marked, many = known.count(), train.count()
     if not marked or not many:
         return None
     part = lambda most, n: F.pmod(F.col("h"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / n))
-    key = ["doc_id", "text", "source", "lang", "n_chars", "h"]
-    taught = train.where(part(labelled, marked)).join(known, "doc_id").select(*key, F.col("quality").cast("int").alias("y"))
-    free = train.where(part(unlabelled, many)).join(known, "doc_id", "left_anti").select(*key, F.lit(-1).alias("y"))
-    sample = _rows(taught.union(free).dropDuplicates(["h", "y"]), "y").drop("doc_id")
+    # Keys are chosen without the texts: at most about ``labelled + unlabelled`` rows, which then fetch them.
+    keys = train.select("doc_id", "h")
+    taught = keys.where(part(labelled, marked)).join(known, "doc_id").select("doc_id", "h", F.col("quality").cast("int").alias("y"))
+    free = keys.where(part(unlabelled, many)).join(known, "doc_id", "left_anti").select("doc_id", "h", F.lit(-1).alias("y"))
+    chosen = taught.union(free).groupBy("h", "y").agg(F.min("doc_id").alias("doc_id"))
+    sample = _rows(train.join(F.broadcast(chosen), ["doc_id", "h"]), "y").drop("doc_id").distinct()
     rows = sample.mapInArrow(_content_rows, "y int, source long, lang long, chars double, content binary").collect()  # bounded by the sample
     if not rows:
         return None
@@ -269,7 +271,7 @@ def _scorer(model: Model | None):
 def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
     """``doc_id, held_out, score, content_score, metadata_score, keep`` for each row of ``docs``; ``keep`` is 1 or 0."""
     A.small_batches(docs.sparkSession)
-    rows = _rows(docs.withColumn("held_out", held_out(F.col("doc_id"))), "held_out")
+    rows = _rows(docs, held_out(F.col("doc_id")).alias("held_out"))
     schema = "doc_id long, held_out boolean, score double, content_score double, metadata_score double"
     return rows.mapInArrow(_scorer(model), schema).withColumn("keep", (F.col("score") >= keep).cast("int"))
 

@@ -146,7 +146,7 @@ def test_pages_of_table(spark, folder):
 
 
 ODD_PAGES = {
-    None: "", "": "", "<div": "", "plain &amp; text": "plain & text", "<p>a <b>b</b>c<br>d</p>\n<p>  e\n f </p>": "a bc d\ne f",
+    None: "", "": "", "<div": "", "plain &amp; text": "plain & text", "<p>a <b>b</b>c<br>d and more words here</p>\n<p>  e\n f with more words too </p>": "a bc d and more words here\ne f with more words too",
     "<body><nav><a>x y z</a></nav><article><h1>T</h1><p>one two three<p>four &lt;5&gt; &eacute;<div class='comments'><p>no</div></article><footer>f f f</footer>":
         "T\none two three\nfour <5> é",
     "<script>var a='<p>no</p>'</script><p>yes it is</p><style>p{}</style><!-- no --><form>name</form>": "yes it is",
