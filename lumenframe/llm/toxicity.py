@@ -180,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     pos = train.where(part(positives, stats[1])).join(toxic, "doc_id", "left_semi").withColumn("toxic", F.lit(True))
     unl = train.where(part(unlabelled, many)).withColumn("toxic", F.lit(False))
     keys = pos.select("h", "toxic", "doc_id").union(unl.select("h", "toxic", "doc_id")).groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    sample = train.select("doc_id", "text").join(keys.select("doc_id", "toxic").distinct(), "doc_id").select("text", "toxic")
+    # At most about ``positives + unlabelled`` short rows: the texts stay where they are.
+    sample = train.select("doc_id", "text", "h").join(F.broadcast(keys), ["doc_id", "h"]).select("text", "toxic")
     packed = sample.mapInArrow(_counter, "counts binary, rows binary").withColumn("slot", F.spark_partition_id() % 8)
     sums = packed.groupBy("slot").applyInArrow(_add, "counts binary, rows binary").collect()
     counts, seen = sum(A.unpack(r[0], np.int32) for r in sums), sum(A.unpack(r[1], np.int64) for r in sums)
