@@ -19,7 +19,7 @@ MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
 #: Bytes of one Arrow batch; bounds a task's memory when documents are long.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ ROUNDS, CONFIDENT, SHARE = 4, 0.97, 0.1
 BINS = 16
 #: Slots of hashed metadata values.
 HASHED = 256
-SLICE = 1 << 20
+SLICE = 1 << 19
 KEEP = 0.5
 
 CONTENT = 20

@@ -31,7 +31,7 @@ GRAM = 5
 POSITIVES, UNLABELLED = 20_000, 40_000
 #: A feature is used when toxic texts have it this many times as often, and this many standard deviations above.
 LIFT, DEVIATIONS, MOST = 5.0, 6.0, 4096
-SLICE = 1 << 20
+SLICE = 1 << 19
 THRESHOLD = 0.7
 
 GAP = np.ones(256, bool)
