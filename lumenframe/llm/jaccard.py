@@ -368,7 +368,14 @@ def _links(live: DataFrame, percent: int, frequent: int, block: int, n: int) ->
     able = pairs.join(a, "id").join(b, "hub").where(_possible("a", "b", percent)).select("id", "hub")
     # Round 1: the smallest hub of each document.
     nearest = able.groupBy("id").agg(F.min("hub").alias("hub"))
-    ask = lambda p: _verify(p.select("id", F.col("hub").alias("block")), p.select(F.col("hub").alias("block"), F.col("hub").alias("member")).distinct(), live, percent)
+
+    def ask(wanted: DataFrame) -> DataFrame:
+        """Compare documents with their hubs; the many documents of a hot hub are dealt over several blocks."""
+        size = wanted.groupBy("hub").agg(F.count("*").alias("many"))
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / block).cast("long"))
+        dealt = wanted.join(size, "hub").select("id", "hub", F.xxhash64("hub", part).alias("block"))
+        return _verify(dealt.select("id", "block"), dealt.select("block", F.col("hub").alias("member")).distinct(), live, percent)
+
     one = cut_lineage(ask(nearest))
     label = one.select(F.col("src").alias("node"), F.col("dst").alias("label"))
     # Round 2: other hubs, where the first ones do not show that they are connected already.
