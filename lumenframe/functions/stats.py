@@ -59,8 +59,10 @@ def collect_stats(df: DataFrame, aggregates: dict, width: int = 40) -> dict:
 
 
 def melt(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long form ``(column, value)`` with values as text, without a shuffle."""
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]
+    """Long form ``(column, value)`` with values as text and NaN as missing, without a shuffle."""
+    floating = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    whole = lambda c: F.when(~F.isnan(c), F.col(c)) if c in floating else F.col(c)
+    cells = [F.struct(F.lit(c).alias("column"), whole(c).cast("string").alias("value")) for c in cols]
     return df.select(F.inline(F.array(*cells)))
 
 
@@ -200,6 +202,7 @@ def grouped_quantiles(
 
     Small tables use ``percentile``. Beyond that no group is gathered in one place: distinct values
     are counted, ranked by bucketed running totals, and the wanted ranks are picked by aggregation.
+    A group without any value is a row with a null ``q``, at every size.
     """
     limit = DIRECT_VALUES if direct_values is None else direct_values
     rows = df.select(F.count(number(col))).first()[0]
@@ -230,9 +233,13 @@ def grouped_quantiles(
         picks.append(F.min(F.when(F.col("cum_n") > F.floor(place), F.col("v"))).alias(f"lo{i}"))
         picks.append(F.min(F.when(F.col("cum_n") > F.ceil(place), F.col("v"))).alias(f"hi{i}"))
         picks.append(F.max(place - F.floor(place)).alias(f"fr{i}"))
-    agg = ranked.groupBy(*names).agg(*picks)
     q = F.array(*[F.expr(f"lo{i} + (hi{i} - lo{i}) * fr{i}") for i in range(len(probs))])
-    return agg.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], q.alias("q"))
+    found = ranked.groupBy(*names).agg(*picks).select(*names, q.alias("q"))
+    if names:
+        groups = df.select(*named).distinct()
+        same = [F.col(f"g.{k}").eqNullSafe(F.col(f"f.{k}")) for k in names]
+        found = groups.alias("g").join(found.alias("f"), same, "left").select("g.*", "f.q")
+    return found.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "q")
 
 
 def bessel_skewness(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.ordering import running_totals
+from lumenframe.functions.stats import number
 
 
 def pair_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -82,9 +83,10 @@ def threshold_counts(
 ) -> DataFrame:
     """``(keys, score, pos, neg, cum_pos, cum_neg)`` per distinct score, from the highest down.
 
-    Equal scores are merged before anything is ordered, and the running totals are bucketed.
+    Equal scores are merged before anything is ordered, and the running totals are bucketed. Rows
+    without a score (null or NaN) share one last threshold, null: no number ever selects them.
     """
-    counts = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+    counts = df.groupBy(*keys, number(score).alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
     return running_totals(counts, "score", ["pos", "neg"], keys, descending=True, bucket_rows=bucket_rows)

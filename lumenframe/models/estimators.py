@@ -21,12 +21,15 @@ from pyspark.ml.regression import (
 )
 
 SEED = 42
-# Depth used where a model asks for no limit; Spark allows up to 30.
-OPEN_DEPTH = 10
+# Depth used where a model asks for no limit: the deepest tree that Spark grows.
+OPEN_DEPTH = 30
 
 
 def _trees(params: dict, *, count: str | None = None, default: int = 100) -> dict:
-    out = {"maxDepth": min(int(params.get("max_depth") or OPEN_DEPTH), 30), "seed": SEED}
+    depth = int(params.get("max_depth") or OPEN_DEPTH)
+    if depth > OPEN_DEPTH:
+        raise ValueError(f"max_depth {depth}: trees grow to a depth of {OPEN_DEPTH} at most")
+    out = {"maxDepth": depth, "seed": SEED}
     if params.get("min_samples_leaf"):
         out["minInstancesPerNode"] = int(params["min_samples_leaf"])
     if count:

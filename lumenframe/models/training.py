@@ -1,5 +1,9 @@
 """Train, score, save, reload and compare models on one table.
 
+Missing numbers are filled with the training mean inside the pipeline, so every row is scored; a row whose
+array of features is missing cannot be, and its prediction is null. A test row of a class that training
+never saw counts as wrong; a row without a target takes no part in training or scores.
+
 Encoding and scaling are stages of the fitted pipeline, so test rows and later rows get exactly the
 preparation that the training rows got.
 """
@@ -10,15 +14,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.stats import number, string_columns
 from lumenframe.metrics import classification, clustering, regression
 from lumenframe.models import boost, importance
+from lumenframe.models.neighbors import DensityModel, NeighborModel, fit_neighbors
 from lumenframe.models.estimators import estimator
 from lumenframe.operators.splits import holdout, k_folds, stratified_folds
 
@@ -72,7 +78,15 @@ def _preparation(df: DataFrame, config: TrainingConfig) -> tuple[list, list[str]
             )
         )
     arrays = [c for c in features if isinstance(df.schema[c].dataType, T.ArrayType)]
-    inputs = [f"{c}_code" if c in texts else f"{c}_vec" if c in arrays else c for c in features]
+    plain = [c for c in features if c not in texts and c not in arrays]
+    if plain:
+        # A column without any value has no mean and says nothing.
+        held = df.agg(*[F.count(number(c)).alias(c) for c in plain]).first()
+        features = [c for c in features if c not in plain or held[c]]
+        plain = [c for c in plain if held[c]]
+    if plain:
+        stages.append(Imputer(inputCols=plain, outputCols=[f"{c}_full" for c in plain], strategy="mean"))
+    inputs = [f"{c}_code" if c in texts else f"{c}_vec" if c in arrays else f"{c}_full" for c in features]
     raw = "raw_features" if config.scale else "features"
     stages.append(VectorAssembler(inputCols=inputs, outputCol=raw, handleInvalid="skip"))
     if config.scale:
@@ -91,6 +105,9 @@ def shaped(df: DataFrame, config: TrainingConfig) -> DataFrame:
     for f in df.schema:
         if isinstance(f.dataType, T.ArrayType):
             out = out.withColumn(f"{f.name}_vec", array_to_vector(F.col(f.name).cast("array<double>")))
+    for c in config.features or _candidates(df, config):
+        if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType)):
+            out = out.withColumn(c, F.col(c).cast("double"))
     if config.task == "classification" and config.target in df.columns:
         out = out.withColumn("target_text", F.col(config.target).cast("string"))
     elif config.task == "regression" and config.target in df.columns:
@@ -103,13 +120,23 @@ def fit(train: DataFrame, config: TrainingConfig) -> tuple[PipelineModel, object
     stages, features = _preparation(train, config)
     prepare = Pipeline(stages=stages).fit(train)
     ready = prepare.transform(train)
-    classes = len(prepare.stages[-1].labels) if config.task == "classification" else 0
+    classes = 0
+    if config.task == "classification":
+        classes = len(prepare.stages[-1].labels)
+        prepare.stages[-1].setHandleInvalid("keep")  # from here on, an unseen class is a label of its own
     if config.algorithm == "AdaBoost Classifier":
         rounds = int(config.params.get("n_estimators") or 50)
         return prepare, boost.fit_classifier(ready, classes, rounds=rounds), features
     if config.algorithm == "AdaBoost Regressor":
         rounds = int(config.params.get("n_estimators") or 50)
         return prepare, boost.fit_regressor(ready, rounds=rounds), features
+    if config.algorithm in ("KNN Classifier", "KNN Regressor"):
+        votes = config.algorithm == "KNN Classifier"
+        return prepare, fit_neighbors(ready, config.key, int(config.params.get("n_neighbors") or 5), votes), features
+    if config.algorithm in ("DBSCAN", "DBSCAN Clustering"):
+        width = len(ready.select("features").first()[0])
+        need = int(config.params.get("min_samples") or 5)
+        return prepare, DensityModel(config.key, float(config.params.get("eps") or 0.5), need, width), features
     rows = ready.count()
     stage = estimator(config.task, config.algorithm, config.params, rows=rows, classes=classes)
     return prepare, stage.fit(ready), features
@@ -120,15 +147,18 @@ def score(df: DataFrame, task: str, *, auc: bool = True) -> dict[str, float]:
     if task == "classification":
         out = classification.weighted(df, "label", "prediction").first().asDict()
         if auc and "probability" in df.columns:
-            size = df.select(F.max("label")).first()[0]
             spread = df.withColumn("_p", vector_to_array("probability"))
-            cols = {float(i): f"_p{i}" for i in range(int(size) + 1)} if size is not None else {}
+            size = spread.select(F.max(F.size("_p"))).first()[0]
+            cols = {float(i): f"_p{i}" for i in range(size or 0)}
             spread = spread.withColumns({c: F.col("_p")[int(i)] for i, c in cols.items()})
             if len(cols) > 1:
                 out["roc_auc"] = classification.auc_one_vs_rest(spread, "label", cols).first()[0]
         return out
     if task == "regression":
         return regression.all_metrics(df, "label", "prediction").first().asDict()
+    if df.select("prediction").distinct().limit(2).count() < 2:
+        # One cluster has no separation to measure.
+        return {"silhouette_squared": None, "davies_bouldin": None, "calinski_harabasz": None}
     arrays = df.withColumn("_x", vector_to_array("features"))
     return {
         "silhouette_squared": clustering.silhouette_squared(arrays, "prediction", "_x"),
@@ -140,15 +170,20 @@ def score(df: DataFrame, task: str, *, auc: bool = True) -> dict[str, float]:
 def train(df: DataFrame, config: TrainingConfig) -> TrainingResult:
     """Split, fit on the training part, score the test part."""
     data = shaped(df, config)
+    marked = None
     if config.task == "clustering":
         parts, test_part = data, data
     else:
+        data = data.where(F.col(config.target).isNotNull())
         by = config.target if config.task == "classification" else None
         marked = holdout(data, config.key, config.test_fraction, config.seed, by=by).persist()
         parts, test_part = marked.where(~F.col("is_test")), marked.where("is_test")
     prepare, model, features = fit(parts, config)
     test = model.transform(prepare.transform(test_part))
-    return TrainingResult(model, prepare, test, score(test, config.task), features, parts.count())
+    result = TrainingResult(model, prepare, test, score(test, config.task), features, parts.count())
+    if marked is not None:
+        marked.unpersist()
+    return result
 
 
 def metric_rows(spark, run_id: str, metrics: dict[str, float]) -> DataFrame:
@@ -164,9 +199,9 @@ def fit_many(df: DataFrame, configs: dict[str, TrainingConfig]) -> DataFrame:
     for run_id, config in configs.items():
         try:
             result = train(data, config)
-            rows.append((run_id, config.algorithm, True, None, {k: float(v) for k, v in result.metrics.items()}))
+            rows.append((run_id, config.algorithm, True, None, {k: float(v) for k, v in result.metrics.items() if v is not None}))
         except Exception as problem:
-            rows.append((run_id, config.algorithm, False, str(problem).splitlines()[0][:200], {}))
+            rows.append((run_id, config.algorithm, False, str(problem) or type(problem).__name__, {}))
     data.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "run_id string, algorithm string, success boolean, error string, metrics map<string,double>"
@@ -175,7 +210,7 @@ def fit_many(df: DataFrame, configs: dict[str, TrainingConfig]) -> DataFrame:
 
 def cross_validate(df: DataFrame, config: TrainingConfig, folds: int = 5) -> DataFrame:
     """``(metric, mean, std)`` of the test scores over the folds, population deviation."""
-    data = shaped(df, config)
+    data = shaped(df, config).where(F.col(config.target).isNotNull())
     if config.task == "classification":
         data = stratified_folds(data, config.key, config.target, folds, config.seed)
     else:
@@ -192,15 +227,48 @@ def cross_validate(df: DataFrame, config: TrainingConfig, folds: int = 5) -> Dat
 
 
 def save(prepare: PipelineModel, model, path: str) -> None:
-    """Preparation and model as one pipeline."""
-    PipelineModel(stages=[*prepare.stages, model]).write().overwrite().save(path)
+    """Preparation and model: one pipeline, or side by side for models that are not Spark's own."""
+    if hasattr(model, "uid"):
+        PipelineModel(stages=[*prepare.stages, model]).write().overwrite().save(path)
+        return
+    if not hasattr(model, "save"):
+        raise ValueError(f"{type(model).__name__} is bound to the rows it was given and cannot be saved")
+    spark = SparkSession.active()
+    prepare.write().overwrite().save(f"{path}/prepare")
+    model.save(spark, f"{path}/model")
+    spark.createDataFrame([(model.kind,)], "kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")
+
+
+def load(path: str) -> tuple[list, object | None]:
+    """Stages of a saved pipeline, and the model that stands beside them if it is not Spark's own."""
+    spark = SparkSession.active()
+    try:
+        kind = spark.read.schema("kind string").parquet(f"{path}/kind").first()["kind"]
+    except AnalysisException:
+        return PipelineModel.load(path).stages, None
+    kinds = {m.kind: m for m in (boost.BoostedClassifier, boost.BoostedRegressor, NeighborModel)}
+    return PipelineModel.load(f"{path}/prepare").stages, kinds[kind].load(spark, f"{path}/model")
 
 
 def predict_batch(df: DataFrame, path: str, config: TrainingConfig) -> DataFrame:
-    """Score rows with a saved pipeline. Rows need no target: the label stage is left out."""
-    loaded = PipelineModel.load(path)
-    stages = [s for s in loaded.stages if not (s.hasParam("outputCol") and s.getOrDefault("outputCol") == "label")]
-    return PipelineModel(stages=stages).transform(shaped(df, config))
+    """Score every row with a saved pipeline; ``predicted_class`` is the class as the target spelled it.
+
+    Rows need no target: the label stage only gives the names back.
+    """
+    stages, other = load(path)
+    names = [s for s in stages if isinstance(s, StringIndexerModel) and s.isSet("outputCol") and s.getOutputCol() == "label"]
+    data = shaped(df, config)
+    arrays = [c for c in config.features or _candidates(df, config) if isinstance(df.schema[c].dataType, T.ArrayType)]
+    whole = F.lit(True)
+    for c in arrays:
+        whole = whole & F.col(c).isNotNull()
+    scored = PipelineModel(stages=[s for s in stages if s not in names]).transform(data.where(whole))
+    if other is not None:
+        scored = other.transform(scored)
+    if names:
+        labels = F.array(*map(F.lit, names[0].labels))
+        scored = scored.withColumn("predicted_class", F.try_element_at(labels, F.col("prediction").cast("int") + 1))
+    return scored.unionByName(data.where(~whole), allowMissingColumns=True) if arrays else scored
 
 
 def with_confidence(scored: DataFrame) -> DataFrame:

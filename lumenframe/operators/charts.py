@@ -69,7 +69,9 @@ def box(df: DataFrame, y: str, keys: Sequence[str] = ()) -> DataFrame:
     )
     points = df.select(*keys, number(y).alias("_y")).where("_y is not null")
     if keys:
-        joined = points.join(boxes, list(keys))
+        named = boxes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "q1", "median", "q3", "_lo", "_hi")
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        joined = points.join(named, same)
     else:
         b = boxes.first()
         joined = points.withColumns({c: F.lit(b[c]) for c in boxes.columns})
@@ -87,14 +89,16 @@ def box(df: DataFrame, y: str, keys: Sequence[str] = ()) -> DataFrame:
 def density(df: DataFrame, x: str, points: int = 100, bins: int = 1024) -> DataFrame:
     """Gaussian kernel density on an even grid, Scott's bandwidth, from binned counts.
 
-    Rows are only binned; the kernel sums run over at most ``bins`` rows.
+    Rows are only binned; the kernel sums run over at most ``bins`` rows. Without any value there are no points.
     """
     s = collect_stats(
         df,
         {"n": F.count(number(x)), "s": F.stddev_samp(number(x)), "lo": F.min(number(x)), "hi": F.max(number(x))},
     )
     n, lo, hi = s["n"], s["lo"], s["hi"]
-    width = (s["s"] or 1.0) * n ** (-0.2) if n else 1.0
+    if not n:
+        return df.sparkSession.createDataFrame([], "point long, x double, density double")
+    width = (s["s"] or 1.0) * n ** (-0.2)
     step = (hi - lo) / bins or 1.0
     place = F.least(F.floor((number(x) - F.lit(lo)) / F.lit(step)), F.lit(bins - 1))
     counts = df.where(number(x).isNotNull()).groupBy(place.alias("b")).agg(F.count("*").alias("w"))

@@ -46,7 +46,8 @@ def dbscan(
 ) -> DataFrame:
     """``(key, is_core, cluster)``; a cluster is named by its smallest core key, noise is -1.
 
-    Keys are whole numbers from 0. A border row belongs to the smallest-named cluster it touches.
+    Keys are whole numbers from 0. A border row belongs to the smallest-named cluster it touches. A row
+    with a null or NaN coordinate has no neighbours and is noise.
     """
     d = len(cols)
     side = eps / sqrt(d) * (1 - 1e-12)
@@ -54,7 +55,9 @@ def dbscan(
     xs = [f"x{i}" for i in range(d)]
     cell = F.array(*[F.floor(F.col(x) / F.lit(side)) for x in xs])
     points = df.select(F.col(key).cast("long").alias("key"), *[number(c).alias(x) for c, x in zip(cols, xs)])
-    points = points.where(reduce(Column.__and__, [F.col(x).isNotNull() for x in xs])).withColumn("cell", cell)
+    placed = reduce(Column.__and__, [F.col(x).isNotNull() for x in xs])
+    unplaced = points.where(~placed).select("key", F.lit(False).alias("is_core"), F.lit(-1).cast("long").alias("cluster"))
+    points = points.where(placed).withColumn("cell", cell)
     reach = ceil(sqrt(d))
     moves = [
         m for m in product(range(-reach, reach + 1), repeat=d)
@@ -62,11 +65,9 @@ def dbscan(
     ]
 
     def around(own: bool) -> Column:
-        """Neighbouring cells, with or without the cell itself."""
-        cells = [
-            F.array(*[F.col("cell")[i] + F.lit(o).cast("long") for i, o in enumerate(m)]) for m in moves if own or any(m)
-        ]
-        return F.explode(F.array(*cells))
+        """Neighbouring cells, with or without the cell itself; the moves are one constant, added by a lambda."""
+        steps = F.array(*[F.array(*[F.lit(o).cast("long") for o in m]) for m in moves if own or any(m)])
+        return F.explode(F.transform(steps, lambda m: F.zip_with("cell", m, lambda a, b: a + b)))
 
     sizes = points.groupBy("cell").agg(F.count("*").alias("rows"))
     sized = cut_lineage(points.join(sizes, "cell"))
@@ -96,7 +97,7 @@ def dbscan(
     border = rest.select("key").join(touched, "key", "left").select(
         "key", F.lit(False).alias("is_core"), F.coalesce("cluster", F.lit(-1)).alias("cluster")
     )
-    return labelled.select("key", F.lit(True).alias("is_core"), "cluster").union(border)
+    return labelled.select("key", F.lit(True).alias("is_core"), "cluster").union(border).union(unplaced)
 
 
 def _links(named: DataFrame, names: DataFrame, d: int, eps: float, side: float, near: Column, limit: int) -> DataFrame:

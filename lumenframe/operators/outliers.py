@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.stats import collect_stats, exact_quantiles, number, numeric_columns
+from lumenframe.functions.stats import collect_stats, exact_quantiles, number, numeric_columns, top_by
 from lumenframe.operators.profile import iqr_fences
 
 # Names of the outlier handlers.
@@ -69,14 +70,19 @@ def isolation_scores(
 ) -> DataFrame:
     """Add ``score``, the isolation score of Liu et al. (2008): near 1 is easy to isolate.
 
-    Each tree sees ``rows`` rows drawn by hash, as the method prescribes, and is grown in its own
-    task. The forest is a bounded table of split nodes, which every task uses to score all rows.
+    Each tree sees ``rows`` rows (all, if there are fewer) drawn by a hash of its own, as the method
+    prescribes, and is grown in its own task. The forest is a bounded table of split nodes, which every
+    task uses to score all rows.
     """
     clean = [F.coalesce(number(c), F.lit(0.0)) for c in cols]
     slim = df.select(F.array(*clean).alias("x"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"))
-    drawn = slim.orderBy("h").limit(trees * rows)
-    # Consecutive hashes are spread over the trees by a second hash.
-    drawn = drawn.withColumn("tree", F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.lit(trees)))
+    # A tree's rows are those with its smallest hashes; a threshold keeps all but a few of the others away.
+    many = max(1, slim.count())
+    share = min(1.0, 2.0 * rows / many + 40.0 / many)
+    mine = lambda t: F.pmod(F.xxhash64("h", t), F.lit(1 << 30))
+    near = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: mine(t) < int(share * (1 << 30)))
+    drawn = slim.withColumn("tree", F.explode(near)).withColumn("turn", mine(F.col("tree")))
+    drawn = top_by(drawn, ["tree"], [F.col("turn"), F.col("h")], rows).select("x", "h", "tree")
     width = len(cols)
 
     def grow(key_: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -184,11 +190,12 @@ def _chi2_quantile(p: float, k: int) -> float:
     return k * (1 - 2 / (9 * k) + z * np.sqrt(2 / (9 * k))) ** 3
 
 
-def elliptic_distances(df: DataFrame, cols: Sequence[str], *, steps: int = 10) -> DataFrame:
+def elliptic_distances(df: DataFrame, cols: Sequence[str], *, steps: int | None = None) -> DataFrame:
     """Add ``distance``: squared Mahalanobis distance from a minimum-covariance-determinant fit.
 
     Concentration steps (Rousseeuw and Van Driessen, 1999) over the whole table: keep the half with
-    the smallest distances, refit, repeat until the determinant stops falling; then reweight.
+    the smallest distances, refit, repeat until the determinant stops falling (it cannot rise, so this
+    ends) or after ``steps``; then reweight. A row with a missing value has a null distance.
     """
     present = df.where(reduce(Column.__and__, [number(c).isNotNull() for c in cols]))
     k = len(cols)
@@ -197,7 +204,7 @@ def elliptic_distances(df: DataFrame, cols: Sequence[str], *, steps: int = 10) -
     mean = np.array([centre[c][0] for c in cols])
     share = min(1.0, (n + k + 1) // 2 / max(n, 1))
     last = np.inf
-    for _ in range(steps):
+    for _ in count() if steps is None else range(steps):
         measured = present.withColumn("distance", _mahalanobis(cols, mean, cov))
         cut = exact_quantiles(measured, ["distance"], (share,))["distance"][0]
         new_mean, new_cov, _ = _moments(measured.where(F.col("distance") <= F.lit(cut)), cols)
@@ -217,10 +224,10 @@ def elliptic_distances(df: DataFrame, cols: Sequence[str], *, steps: int = 10) -
 
 
 def elliptic_envelope(df: DataFrame, cols: Sequence[str] | None = None, *, contamination: float = 0.05) -> DataFrame:
-    """Drop the ``contamination`` share of rows farthest from the robust ellipse."""
+    """Drop the ``contamination`` share of rows farthest from the robust ellipse; rows with a missing value stay."""
     measured = elliptic_distances(df, list(cols or numeric_columns(df)))
     cut = exact_quantiles(measured, ["distance"], (1.0 - contamination,))["distance"][0]
-    return measured.where(F.col("distance") <= F.lit(cut)).drop("distance")
+    return measured.where(F.col("distance").isNull() | (F.col("distance") <= F.lit(cut))).drop("distance")
 
 
 def handle(

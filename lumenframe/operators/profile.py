@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from lumenframe.functions.ordering import seeded_hash
 from lumenframe.functions.stats import (
     bessel_kurtosis,
     bessel_skewness,
+    collect_stats,
     exact_quantiles,
     frequencies,
     long_numbers,
@@ -39,10 +41,17 @@ def _kind_name(t: T.DataType) -> str:
     return "string"
 
 
+def held(df: DataFrame, name: str) -> Column:
+    """The column with NaN read as missing."""
+    c = F.col(name)
+    floating = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+    return F.when(~F.isnan(c), c) if floating else c
+
+
 def column_kinds(df: DataFrame, target: str | None = None) -> DataFrame:
     """Kind per non-target column that really holds a value somewhere in the table."""
     kinds = {f.name: _kind_name(f.dataType) for f in df.schema if f.name != target}
-    row = df.agg(*[F.count(c).alias(c) for c in kinds])
+    row = df.agg(*[F.count(held(df, c)).alias(c) for c in kinds])
     cells = [
         F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.col(c).alias("n_values")) for c, k in kinds.items()
     ]
@@ -51,7 +60,7 @@ def column_kinds(df: DataFrame, target: str | None = None) -> DataFrame:
 
 def data_info(df: DataFrame) -> DataFrame:
     """Name, type and non-null count per column, with the row count of the table."""
-    row = df.agg(F.count("*").alias("n_rows"), *[F.count(c).alias(f"c_{c}") for c in df.columns])
+    row = df.agg(F.count("*").alias("n_rows"), *[F.count(held(df, c)).alias(f"c_{c}") for c in df.columns])
     cells = [
         F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"c_{c}").alias("non_null"), F.col("n_rows"))
         for c, t in df.dtypes
@@ -80,7 +89,7 @@ def column_info(df: DataFrame) -> DataFrame:
 
 def dataset_info(df: DataFrame) -> DataFrame:
     """Rows, columns, type map and a has-missing flag in one pass."""
-    missing = reduce(Column.__or__, [F.bool_or(F.col(c).isNull()) for c in df.columns])
+    missing = reduce(Column.__or__, [F.bool_or(held(df, c).isNull()) for c in df.columns])
     types = ",".join(f"{c}:{t}" for c, t in df.dtypes)
     return df.agg(
         F.count("*").alias("n_rows"),
@@ -93,7 +102,7 @@ def dataset_info(df: DataFrame) -> DataFrame:
 def validate(df: DataFrame, target: str) -> DataFrame:
     """Nulls per column with a validity flag; an absent target is reported, not raised."""
     ok = target in df.columns
-    row = df.agg(F.count("*").alias("n_rows"), *[(F.count("*") - F.count(c)).alias(f"c_{c}") for c in df.columns])
+    row = df.agg(F.count("*").alias("n_rows"), *[(F.count("*") - F.count(held(df, c))).alias(f"c_{c}") for c in df.columns])
     error = F.lit(None).cast("string") if ok else F.lit(f"target column {target} not found")
     cells = [
         F.struct(
@@ -141,18 +150,13 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, stat string, value double")
     quartiles = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
-    table = F.array(*[F.array(*[F.lit(v).cast("double") for v in quartiles[c]]) for c in cols])
-    moments = long_numbers(df, cols).groupBy("i").agg(
-        F.count("x").cast("double").alias("count"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-    )
-    placed = moments.withColumns({s: table[F.col("i")][j] for j, s in enumerate(("q25", "median", "q75"))})
+    forms = {"count": lambda x: F.count(x).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = collect_stats(df, {(i, s): form(number(c)).cast("double") for i, c in enumerate(cols) for s, form in forms.items()})
     stats = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
-    names = F.array(*map(F.lit, cols))
-    return placed.withColumn("column", names[F.col("i")]).unpivot("column", stats, "stat", "value")
+    rows = [(c, s, found[i, s]) for i, c in enumerate(cols) for s in forms]
+    rows += [(c, s, quartiles[c][j]) for c in cols for j, s in enumerate(("q25", "median", "q75"))]
+    rows.sort(key=lambda r: (cols.index(r[0]), stats.index(r[1])))
+    return df.sparkSession.createDataFrame(rows, "column string, stat string, value double")
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -182,16 +186,49 @@ def quality_totals(df: DataFrame) -> DataFrame:
     return quality(df).agg(F.sum("nulls").alias("total_nulls"), F.sum("duplicates").alias("total_duplicates"))
 
 
+def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(a, b, corr)`` for each pair of column numbers ``a <= b``, from one pass over the rows.
+
+    A task adds up matrices of counts, sums and products over its rows; only those matrices are shuffled.
+    Values are taken relative to some present value of their column, so that large means lose no digits.
+    """
+    k = len(cols)
+    some = df.agg(*[F.any_value(number(c), F.lit(True)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    shift = np.array([some[i] if some[i] is not None and np.isfinite(some[i]) else 0.0 for i in range(k)])
+    upper = np.triu_indices(k)
+
+    def add(batches):
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift
+            here = ~np.isnan(x)
+            x[~here] = 0.0
+            m = here.astype(float)
+            square = x * x
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x])
+        a, b = upper
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), *[pa.array(t[upper]) for t in total]], names=["a", "b", "n", "sx", "sy", "xx", "yy", "xy"]
+        )
+
+    cells = df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    parts = cells.mapInArrow(add, "a long, b long, n double, sx double, sy double, xx double, yy double, xy double")
+    sums = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")])
+    vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")
+    cov = F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")
+    # A spread within rounding error of zero is none.
+    flat = (vx <= 1e-12 * F.col("xx")) | (vy <= 1e-12 * F.col("yy"))
+    spread = F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))
+    corr = F.when(F.col("n") > 0, F.when(flat, F.lit(None)).when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(cov / F.nullif(spread, F.lit(0.0))))
+    return sums.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), corr.cast("double").alias("corr"))
+
+
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(row, col, corr)``; each pair uses the rows where both are present."""
     cols = list(cols or numeric_columns(df))
     if not cols:
         return df.sparkSession.createDataFrame([], "row string, col string, corr double")
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i, j in combinations_with_replacement(range(len(cols)), 2)]
-    )
-    rows = df.select(F.array(*[number(c) for c in cols]).alias("x")).select("x", F.inline(pairs))
-    found = rows.groupBy("a", "b").agg(F.corr(F.col("x")[F.col("a")], F.col("x")[F.col("b")]).alias("corr"))
+    found = _pair_sums(df, cols)
     names = F.array(*map(F.lit, cols))
     both = F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("a").alias("q")))
     sides = F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)

@@ -83,11 +83,15 @@ def eliminate(
     present = df.where(reduce(Column.__and__, [number(c).isNotNull() for c in left]) & F.col(target).isNotNull())
     index = StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc").fit(present)
     data = index.transform(present).select("_y", *[number(c).alias(c) for c in left]).persist()
+    rows_ = max(1, data.count())
     try:
         while len(left) > keep:
             table = VectorAssembler(inputCols=left, outputCol="_x").transform(data)
             if model == "logistic":
-                fit = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=100, standardization=False).fit(table)
+                # The named model has C = 1 and up to 1,000 steps; Spark's penalty is per row.
+                fit = LogisticRegression(
+                    featuresCol="_x", labelCol="_y", maxIter=1000, regParam=1.0 / rows_, standardization=False
+                ).fit(table)
                 rows = fit.coefficientMatrix.toArray()
                 weight = (rows**2).sum(axis=0)
             else:

@@ -11,6 +11,7 @@ from lumenframe.functions.stats import numeric_columns, string_columns
 from lumenframe.operators import encode, nulls, outliers, scale, select
 from lumenframe.operators.project import drop_columns, fill_zero, replace_infinite
 from lumenframe.plans.roles import Roles
+from lumenframe.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,8 @@ def clean(df: DataFrame, config: CleaningConfig) -> DataFrame:
     target = roles.target_of(df)
     df = handle_nulls(prepare(df, config), config)
     if config.outliers and config.outlier_mode != "report":
-        df = outliers.handle(df, config.outliers, mode=config.outlier_mode, key=config.key)
+        # Every later step fits on this table; it is computed once, not again for each fit.
+        df = cut_lineage(outliers.handle(df, config.outliers, mode=config.outlier_mode, key=config.key))
     if config.encoder:
         df = encode.handle(df, config.encoder, [c for c in string_columns(df) if c not in (target, config.key)])
         if target in df.columns:

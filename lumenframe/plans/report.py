@@ -12,6 +12,7 @@ from lumenframe.functions.stats import numeric_columns, string_columns
 from lumenframe.functions.text import fixed
 from lumenframe.operators import charts, profile
 from lumenframe.plans.clean import CleaningConfig, clean, masked, prepare
+from lumenframe.session import cut_lineage
 
 
 def _long(df: DataFrame, section: str, item: str, stat: Column, value: Column, text: Column | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def statistics(df: DataFrame, config: CleaningConfig, descriptions: DataFrame |
     Statistics and correlations are of the cleaned table, quality figures of the table as loaded
     (with outlier cells blanked), descriptions are joined by column name.
     """
-    cleaned = clean(df, config)
+    cleaned = cut_lineage(clean(df, config))
     cols = [c for c in numeric_columns(cleaned) if c != config.key]
     parts = [_long(profile.describe_numeric(cleaned, cols), "describe", "column", F.col("stat"), F.col("value"))]
     parts.append(_long(profile.correlation(cleaned, cols), "correlation", "row", F.col("col"), F.col("corr")))
@@ -60,7 +61,7 @@ def inspect(df: DataFrame, key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def automatic_charts(df: DataFrame, max_cols: int = 5) -> DataFrame:
+def automatic_charts(df: DataFrame, max_cols: int = 5, max_slices: int = 15, max_heat: int = 20) -> DataFrame:
     """Chart data for the first columns of each kind: histogram, box and density per number, a
     correlation map, and shares for texts with few values. ``(chart, item, label, x, y)``."""
 
@@ -82,26 +83,33 @@ def automatic_charts(df: DataFrame, max_cols: int = 5) -> DataFrame:
         curve = charts.density(df, c)
         parts.append(rows(curve, "violin", c, F.col("point"), F.col("x"), F.col("density")))
         parts.append(rows(curve, "kde", c, F.col("point"), F.col("x"), F.col("density")))
-    if 2 <= len(numbers) <= 20:
+    if 2 <= len(numbers) <= max_heat:
         heat = profile.correlation(df, numbers)
         parts.append(rows(heat, "heatmap", "all", F.concat_ws("|", "row", "col"), none, F.col("corr")))
     texts = string_columns(df)[:max_cols]
     if texts:
         distinct = df.agg(*[F.count_distinct(c).alias(c) for c in texts]).first()
         for c in texts:
-            if distinct[c] <= 15:
+            if distinct[c] <= max_slices:
                 parts.append(rows(charts.pie(df, c), "pie", c, F.col(c), F.col("n"), F.col("share")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def apply_user(df: DataFrame, step: Callable[[DataFrame], DataFrame] | str, view: str = "df") -> DataFrame:
-    """Run a user's step on a table: a function, or SQL over the view ``df``. It must give a table."""
+    """Run a user's step on a table: a function, or SQL over the view ``df``. It must give a table.
+
+    A view of the caller with that name is there again afterwards.
+    """
     if isinstance(step, str):
+        spark = df.sparkSession
+        before = spark.table(view) if spark.catalog.tableExists(view) else None
         df.createOrReplaceTempView(view)
-        out = df.sparkSession.sql(step)
-        # The plan is resolved; the name is no longer needed.
-        df.sparkSession.catalog.dropTempView(view)
-        return out
+        try:
+            return spark.sql(step)  # the plan is resolved; the name is no longer needed
+        finally:
+            spark.catalog.dropTempView(view)
+            if before is not None:
+                before.createOrReplaceTempView(view)
     out = step(df)
     if not isinstance(out, DataFrame):
         raise TypeError("the step must return a DataFrame")

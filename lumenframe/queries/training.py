@@ -152,7 +152,7 @@ def _(t):
     return out.select("run_id", "algorithm", "success", "error", r(F.try_element_at("metrics", F.lit("f1"))).alias("f1"))
 
 
-@query("ml_train_run")
+@query("ml_pipeline")
 def _(t):
     """Split, encode, scale, fit, score, save, and read the saved metrics back."""
     config = classify("Random Forest Classifier", n_estimators=10, max_depth=5)
@@ -171,17 +171,20 @@ def saved_model(t):
     return path, config
 
 
-@query("ml_predict_batch")
+@query("ml_predict_batch", "SELECT o_orderkey, true AS has_class FROM orders")
 def _(t):
+    """Every row is scored, those with a missing feature too; the classes are the target's own."""
     path, config = saved_model(t)
-    return M.predict_batch(orders(t).drop("kind"), path, config).select("o_orderkey", "prediction")
+    gaps = orders(t).drop("kind").withColumn("o_totalprice", F.expr("case when o_orderkey % 10 > 0 then o_totalprice end"))
+    scored = M.predict_batch(gaps, path, config)
+    return scored.select("o_orderkey", F.coalesce(F.col("predicted_class").isin("large", "urgent", "plain"), F.lit(False)).alias("has_class"))
 
 
 @query("ml_predict_conf")
 def _(t):
     path, config = saved_model(t)
     scored = M.with_confidence(M.predict_batch(orders(t).drop("kind"), path, config))
-    return scored.select("o_orderkey", "prediction", r("confidence", 4).alias("confidence"))
+    return scored.select("o_orderkey", "predicted_class", r("confidence", 4).alias("confidence"))
 
 
 @query("ml_importance")

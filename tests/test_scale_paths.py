@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from lumenframe.functions.ordering import dense_codes, running_totals, seeded_rank
 from lumenframe.functions.stats import exact_quantiles, grouped_quantiles
 from lumenframe.metrics import classification, clustering
+from lumenframe.models import training as T
+from lumenframe.operators import charts, profile
 from lumenframe.operators.density import dbscan
 from lumenframe.operators.graph import connected_components
 from lumenframe.operators.joins import latest_events
 from lumenframe.operators.neighbors import nearest
 from lumenframe.operators.nulls import _bayesian_ridge, fill_iterative
+from lumenframe.operators.outliers import elliptic_envelope
+from lumenframe.operators.profile import correlation
 from lumenframe.operators.splits import holdout, k_folds, stratified_folds
+from lumenframe.plans.recommend import ALGORITHMS
+from lumenframe.plans.report import apply_user
 
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
 
@@ -188,3 +194,125 @@ def test_status_events_keep_last_given(spark):
     df = spark.createDataFrame(rows, "k int, t int, s string, v int")
     got = {r["k"]: (r["s"], r["v"]) for r in latest_events(df, "k", ["t"], ["s", "v"]).collect()}
     assert got == {1: ("b", 5), 2: (None, None)}
+
+
+GAPPED = [("a", 1.0), ("a", None), ("a", float("nan")), ("a", 3.0), ("b", None), (None, 2.0), (None, 5.0), ("b", None)]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_with_gaps(spark, descending):
+    """Null and NaN come last, whichever way the rows are ordered and however many there are."""
+    rows = [(k, float(k) if k < 40 else None if k == 40 else float("nan"), 1) for k in range(42)]
+    df = spark.createDataFrame(rows[:41], "k int, x double, w int").union(spark.createDataFrame([], "k int, x double, w int"))
+    got = [sorted((r.k, r.cum_w) for r in running_totals(df, "x", ["w"], descending=descending, bucket_rows=b).collect()) for b in (None, 5)]
+    assert got[0] == got[1] and dict(got[0])[40] == 41 and len(got[0]) == 41
+    nan = spark.createDataFrame([rows[1], rows[41], rows[7]], "k int, x double, w int")
+    for b in (None, 1):
+        assert {r.k: r.cum_w for r in running_totals(nan, "x", ["w"], descending=descending, bucket_rows=b).collect()}[41] == 3
+
+
+def test_grouped_quantiles_with_gaps(spark):
+    df = spark.createDataFrame(GAPPED, "g string, x double")
+    want = {"a": [2.0], "b": None, None: [3.5]}
+    for limit, bucket in ((None, None), (1, None), (1, 2)):
+        assert {r.g: r.q for r in grouped_quantiles(df, ["g"], "x", (0.5,), direct_values=limit, bucket_rows=bucket).collect()} == want
+
+
+def test_curves_with_missing_scores(spark):
+    rows = [(None, True), (0.2, True), (float("nan"), False), (0.9, True), (0.5, False), (0.2, False)] * 3
+    df = spark.createDataFrame(rows, "s double, y boolean")
+    for f in (classification.auc, classification.average_precision, classification.roc, classification.precision_recall):
+        one, two = (sorted(map(str, f(df, "s", F.col("y"), bucket_rows=b).collect())) for b in (None, 1))
+        assert one == two
+    assert classification.roc(df, "s", F.col("y")).agg(F.max("tpr"), F.max("fpr")).first() == (1.0, 1.0)
+
+
+def test_boxes_with_gaps(spark):
+    df = spark.createDataFrame(GAPPED, "g string, x double")
+    assert {r.g: r.median for r in charts.box(df, "x", ["g"]).collect()} == {"a": 2.0, None: 3.5}
+    none = spark.createDataFrame([("a", None)], "g string, x double")
+    assert charts.density(none, "x").collect() == [] and charts.violin(none, "x").collect() == []
+
+
+def test_density_of_three_columns(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.2, (50, 3)), rng.normal(4, 0.2, (50, 3))])
+    rows = [(i, *map(float, p)) for i, p in enumerate(x)] + [(100, None, 0.0, 0.0), (101, float("nan"), 0.0, 0.0)]
+    got = {r.key: r.cluster for r in dbscan(spark.createDataFrame(rows, "k long, a double, b double, c double"), "k", ["a", "b", "c"], 0.6, 4).collect()}
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) <= 0.36
+    core = near.sum(1) >= 4
+    assert len(got) == 102 and got[100] == got[101] == -1
+    for i in range(100):
+        for j in range(100):
+            if core[i] and core[j] and near[i, j]:
+                assert got[i] == got[j] >= 0
+
+
+def test_ellipse_keeps_rows_with_gaps(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, *map(float, rng.normal(size=2))) for i in range(80)] + [(80, None, 0.0), (81, 50.0, 50.0)]
+    kept = {r.k for r in elliptic_envelope(spark.createDataFrame(rows, "k long, a double, b double"), ["a", "b"]).collect()}
+    assert 80 in kept and 81 not in kept
+
+
+def test_correlation_with_gaps(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame(rng.normal(size=(300, 4)) + 1e6, columns=list("abcd"))
+    pdf["b"] += 2 * pdf["a"]
+    pdf["d"] = 5.0
+    pdf[rng.random((300, 4)) < 0.2] = np.nan
+    want = pdf.corr()
+    for r in correlation(spark.createDataFrame(pdf)).collect():
+        assert r["corr"] is None if "d" in (r.row, r.col) else r["corr"] == pytest.approx(want.loc[r.row, r.col], abs=1e-7)
+
+
+def test_missing_numbers_count_as_missing(spark):
+    df = spark.createDataFrame([(1, float("nan"), "x"), (2, 1.0, None)], "k int, v double, s string")
+    assert {r.column: r.missing for r in profile.column_info(df).collect()} == {"k": 0, "v": 1, "s": 1}
+    assert {r.column: r.non_null for r in profile.data_info(df).collect()} == {"k": 2, "v": 1, "s": 1}
+    assert profile.dataset_info(df.drop("s")).first().has_missing
+
+
+def test_user_step_leaves_views_alone(spark):
+    spark.createDataFrame([(7,)], "x int").createOrReplaceTempView("df")
+    out = apply_user(spark.createDataFrame([(1,), (2,)], "x int"), "SELECT sum(x) AS s FROM df")
+    assert out.first().s == 3 and spark.table("df").first().x == 7
+    spark.catalog.dropTempView("df")
+
+
+SPLIT_NAMES = [(task.lower(), name) for task, names in ALGORITHMS.items() for name in names] + [("clustering", "DBSCAN")]
+
+
+@pytest.mark.parametrize("task, name", SPLIT_NAMES)
+def test_every_offered_algorithm(spark, tmp_path, task, name):
+    """Each trains, is saved and loaded, and predicts one value per row, also where features are missing."""
+    rng = np.random.default_rng(8)
+    rows = [(i, float(x), float(y), "AB"[i % 2], ("low", "mid", "high")[int(np.clip(x + 1.5, 0, 2.9))], float(2 * x + y))
+            for i, (x, y) in enumerate(rng.normal(size=(90, 2)))]
+    df = spark.createDataFrame(rows, "k long, x double, y double, t string, kind string, value double")
+    target = {"classification": "kind", "regression": "value"}.get(task)
+    features = ("x", "y") if task == "clustering" else ("x", "y", "t")
+    params = {"n_estimators": 3, "max_depth": 3, "n_clusters": 2, "n_neighbors": 3, "eps": 1.0}
+    config = T.TrainingConfig(task, name, "k", target, features, params)
+    result = T.train(df, config)
+    assert result.metrics and result.test.count() > 0
+    if name == "DBSCAN":
+        with pytest.raises(ValueError):
+            T.save(result.prepare, result.model, str(tmp_path / "m"))
+        return
+    T.save(result.prepare, result.model, str(tmp_path / "m"))
+    gaps = df.drop("kind", "value").withColumn("x", F.when(F.col("k") % 9 > 0, F.col("x")))
+    got = T.predict_batch(gaps, str(tmp_path / "m"), config)
+    assert got.count() == 90 and got.where("prediction is null").count() == 0
+    if task == "classification":
+        assert {r[0] for r in got.select("predicted_class").distinct().collect()} <= {"low", "mid", "high"}
+
+
+def test_unseen_class_counts_as_wrong(spark):
+    rows = [(i, float(i % 5), "new" if i == 3 else "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, x double, c string")
+    config = T.TrainingConfig("classification", "Decision Tree Classifier", "k", "c", ("x",), {"max_depth": 2})
+    data = T.shaped(df, config)
+    prepare, model, _ = T.fit(data.where("k <> 3"), config)
+    test = model.transform(prepare.transform(data.where("k < 10")))
+    assert test.count() == 10 and test.where("label <> prediction").where("k = 3").count() == 1
