@@ -1,22 +1,17 @@
-"""Readers for the supported file kinds and for SQL sources.
+"""Readers for the supported file kinds and for SQL sources, all read in parallel by Spark itself.
 
-Workbooks and array files cannot be split, so they are read one file per task; every other kind is
-read in parallel by Spark itself.
+Workbooks and binary array files have no Spark reader: sheets come as CSV exports, matrices as delimited numbers.
 """
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.text import file_extension
-from lumenframe.sources.workbook import sheet_frame
 
 # Extensions accepted at upload, and those the reader knows.
 UPLOAD_KINDS = ("csv", "xlsx", "json")
@@ -41,57 +36,15 @@ def read_xml(spark: SparkSession, path: str, row_tag: str = "row", schema: T.Str
     return reader.xml(path, rowTag=row_tag)
 
 
-def _fit(pdf: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
-    """Columns by name, in the order and types of the schema."""
-    out = {}
-    for f in schema:
-        col = pdf[f.name] if f.name in pdf.columns else pd.Series([None] * len(pdf))
-        if isinstance(f.dataType, T.IntegralType):
-            col = pd.to_numeric(col, errors="coerce").astype("Int64")
-        elif isinstance(f.dataType, T.FractionalType):
-            col = pd.to_numeric(col, errors="coerce").astype("float64")
-        elif isinstance(f.dataType, T.StringType):
-            col = col.map(lambda v: None if pd.isna(v) else str(v))
-        out[f.name] = col
-    return pd.DataFrame(out)
+def read_sheet(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Sheets as spreadsheet programs export them: CSV with quoted cells, doubled quotes and a UTF-8 mark."""
+    return spark.read.schema(schema).csv(path, header=True, escape='"', enforceSchema=True)
 
 
-def parse_workbooks(files: DataFrame, schema: T.StructType | str) -> DataFrame:
-    """First sheet of every workbook in ``files(content)``; the first row names the columns."""
-    typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b["content"]:
-                yield _fit(sheet_frame(content), typed)
-
-    return files.select("content").mapInPandas(parse, typed)
-
-
-def read_excel(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Workbooks under ``path``, one per task."""
-    return parse_workbooks(spark.read.format("binaryFile").load(path), schema)
-
-
-def parse_arrays(files: DataFrame, width: int) -> DataFrame:
-    """Rows of every 2-D array in ``files(content)`` as columns ``0 .. width-1``; pickled data is refused."""
+def read_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """Rows of a matrix written as delimited numbers, as columns ``0 .. width-1``; other widths are an error."""
     schema = T.StructType([T.StructField(str(i), T.DoubleType()) for i in range(width)])
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b["content"]:
-                rows = np.load(io.BytesIO(content), allow_pickle=False)
-                rows = rows.reshape(len(rows), -1)
-                if rows.shape[1] != width:
-                    raise ValueError(f"array with {rows.shape[1]} columns where {width} are expected")
-                yield pd.DataFrame(rows.astype(float), columns=schema.names)
-
-    return files.select("content").mapInPandas(parse, schema)
-
-
-def read_npy(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """``.npy`` matrices under ``path``, one file per task."""
-    return parse_arrays(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path), width)
+    return spark.read.schema(schema).csv(path, header=False, mode="FAILFAST")
 
 
 def read_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame] | None = None, **connection) -> DataFrame:
@@ -111,9 +64,7 @@ def load(spark: SparkSession, path: str, kind: str, schema: T.StructType | str |
     if kind == "xml":
         return read_xml(spark, path, schema=schema)
     if kind in EXCEL_KINDS:
-        if schema is None:
-            raise ValueError("reading workbooks needs a schema")
-        return read_excel(spark, path, schema)
+        raise ValueError(f"{kind} files have no parallel reader: export the sheet as CSV and use read_sheet")
     raise ValueError(f"unsupported file kind: {kind}")
 
 

@@ -12,7 +12,8 @@ from lumenframe.models import boost
 from lumenframe.operators import encode, nulls, outliers, project, scale
 from lumenframe.plans import clean as C
 from lumenframe.plans.report import apply_user
-from lumenframe.sources.workbook import sheet_bytes, sheet_frame
+from lumenframe.sources import readers as R
+from lumenframe.sources import writers as W
 
 
 @pytest.fixture(scope="module")
@@ -133,10 +134,13 @@ def test_code_block(spark):
     assert [r[0] for r in df.select(X.code_block(F.col("t"))).collect()] == ["x = 1", "y", "import os\nz", None]
 
 
-def test_workbook_round_trip():
-    frame = pd.DataFrame({"a": [1, 2], "b": ["x <&> y", None], "c": [1.5, 2.25]})
-    back = sheet_frame(sheet_bytes(frame))
-    assert list(back.columns) == ["a", "b", "c"] and back["b"][0] == "x <&> y" and back["c"].tolist() == [1.5, 2.25]
+def test_sheet_round_trip(spark, tmp_path):
+    rows = [(1, 'x "<&>" y', 1.5), (2, None, 2.25), (3, "a,b", None)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    W.write(df, str(tmp_path / "s"), "excel")
+    assert sorted(tuple(r) for r in R.read_sheet(spark, str(tmp_path / "s"), df.schema).collect()) == rows
+    with pytest.raises(ValueError):
+        R.load(spark, "x.xlsx", "xlsx")
 
 
 def test_clean_order_and_defaults(spark):
