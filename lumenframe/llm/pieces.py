@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterable
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,11 +176,11 @@ def decode(df: DataFrame, path: str | None = None, key: str = "doc_id") -> DataF
         for batch in batches:
             text = []
             ids = batch.column(1)
-            flat, offsets = ids.flatten(), ids.offsets.to_pylist()
-            first = offsets[0] if offsets else 0
-            for k, fine in enumerate(ids.is_valid().to_pylist()):
-                mine = flat[offsets[k] - first : offsets[k + 1] - first].to_pylist() if fine else None
-                text.append(None if mine is None else vocab.decode(mine))
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            fine = ids.is_valid().to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.cumsum(np.where(fine, np.diff(ids.offsets.to_numpy()), 0))]).tolist()
+            for k, there in enumerate(fine.tolist()):
+                text.append(vocab.decode(flat[edges[k] : edges[k + 1]].tolist()) if there else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(text, pa.string())], names=[key, "ids", "text"])
 
     return df.select(key, "ids").mapInArrow(run, f"{key} long, ids array<int>, text string")
