@@ -149,6 +149,15 @@ def _marker(n: int, m: int, shift: int, length: int, gram: int):
     return run
 
 
+def _shared(values: np.ndarray) -> np.ndarray:
+    """Whether each value occurs more than once."""
+    ordered = np.sort(values)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return np.zeros(len(values), bool)
+    return twice[np.minimum(np.searchsorted(twice, values), len(twice) - 1)] == values
+
+
 def _settler(m: int, shift: int, length: int, crowd: int):
     """Reduce side of a bucket of anchors: settle equal segments, pass on those that need their bytes."""
 
@@ -159,15 +168,18 @@ def _settler(m: int, shift: int, length: int, crowd: int):
         cols = {f: table.filter(pa.array(kind == 1)).column(f).to_pylist() for f in FIELDS}
         if cols["ids"]:
             doc = np.concatenate([A.unpack_rising(x) for x in cols["ids"]])
-            pos = np.concatenate([A.unpack(x, np.uint32) for x in cols["a"]]).astype(np.int64)
-            left = np.concatenate([A.unpack(x, np.uint8) for x in cols["b"]]).astype(np.int64)
-            right = np.concatenate([A.unpack(x, np.uint8) for x in cols["c"]]).astype(np.int64)
+            pos = np.concatenate([A.unpack(x, np.uint32) for x in cols["a"]])
+            left = np.concatenate([A.unpack(x, np.uint8) for x in cols["b"]])
+            right = np.concatenate([A.unpack(x, np.uint8) for x in cols["c"]])
             anchor = A.from_six_bytes(b"".join(cols["d"]))
             segment = A.from_six_bytes(b"".join(cols["e"]))
+            cols.clear()
+            # Most anchors occur once: only the others go on, as whole numbers.
+            more = np.flatnonzero(_shared(anchor))
+            doc, anchor, segment = doc[more], anchor[more], segment[more]
+            pos, left, right = (v[more].astype(np.int64) for v in (pos, left, right))
             order = np.argsort(anchor, kind="stable")
-            same = np.concatenate([[0], np.cumsum(np.diff(anchor[order]) != 0)])
-            more = np.bincount(same)[same] > 1  # most anchors occur once
-            order, same = order[more], same[more]
+            same = np.concatenate([[0], np.cumsum(np.diff(anchor[order]) != 0)]) if len(order) else order
             order = order[np.lexsort((doc[order], segment[order], same))]
             if len(order):
                 same = np.concatenate([[0], np.cumsum(np.diff(anchor[order]) != 0)])
@@ -307,13 +319,13 @@ def common_extension(hashes: A.PrefixHash, x: np.ndarray, y: np.ndarray, most: i
         hi = np.where(same | ~wide, hi, mid - 1)
 
 
-def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, length: int, hashes: A.PrefixHash | None = None) -> np.ndarray:
     """Order of suffixes by group and then by their first ``length`` bytes: a mergesort of all groups at once.
 
     ``group`` rises. Runs of a group double in each round; a suffix finds its place in the sister run by binary
     search, and each comparison finds the common extension of two suffixes by hashes and then looks at one byte.
     """
-    hashes = A.PrefixHash(data, A.BASE_A)
+    hashes = hashes or A.PrefixHash(data, A.BASE_A)
     padded = np.concatenate([data, np.zeros(1, np.uint8)])
     order = np.arange(len(suffix))
     begin = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0])) if len(group) else np.zeros(0, np.int64)
@@ -351,12 +363,12 @@ def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, lengt
 
 def repeated(data, suffix, group, level, length: int) -> np.ndarray:
     """Which suffixes have an equal one (in the same group, over ``length`` bytes) of a smaller level."""
-    order = sort_suffixes(data, suffix, group, length)
+    hashes = A.PrefixHash(data, A.BASE_A)
+    order = sort_suffixes(data, suffix, group, length, hashes)
     flags = np.zeros(len(suffix), bool)
     if len(order) < 2:
         return flags
     byte = np.arange(length)
-    hashes = A.PrefixHash(data, A.BASE_A)
     a, b = suffix[order[:-1]], suffix[order[1:]]
     equal = (group[order[:-1]] == group[order[1:]]) & (hashes.ranges(a, a + length) == hashes.ranges(b, b + length))
     k = np.flatnonzero(equal)
@@ -407,7 +419,11 @@ def _sorter(m: int, shift: int, length: int, entries: int):
                 owner, step = owner[by], step[by]
                 change = (np.diff(key[owner]) != 0) | (np.diff(left[owner] - step) != 0)
                 group = np.concatenate([[0], np.cumsum(change)])
-                hit = repeated(data, base[owner] + step, group, doc[owner] >> shift, length)
+                # The bytes of these segments alone, side by side.
+                mine = data[np.repeat(base[x], size[x]) + A.ranges_of(size[x])]
+                at_x = np.zeros(len(base), np.int64)
+                at_x[x] = np.cumsum(size[x]) - size[x]
+                hit = repeated(mine, at_x[owner] + step, group, doc[owner] >> shift, length)
                 found.append((doc[owner[hit]], start[owner[hit]] + step[hit]))
             ids, first = (np.concatenate(v) for v in zip(*found))
             rows += _flag_rows(*_merge(ids, first, first + 1), m)
