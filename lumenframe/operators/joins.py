@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.stats import number
@@ -102,10 +102,10 @@ def pair_predictions(truth: DataFrame, predicted: DataFrame, key: str) -> DataFr
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
-    """Insert or replace: the row with the latest version per key."""
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
+    """Insert or replace: the row with the latest version per key; versions of a busy key combine before the shuffle."""
     both = old.unionByName(new)
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    last = F.max_by(F.struct(*[F.col(c) for c in both.columns]), F.struct(version))
+    return both.groupBy(key).agg(last.alias("_row")).select(*[F.col("_row")[c].alias(c) for c in both.columns])
 
 
 def upsert_partial(old: DataFrame, new: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:

@@ -183,7 +183,10 @@ SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (P
 def _(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
     old, new = rows.where("o_orderstatus <> 'P'"), rows.where("o_orderstatus = 'P'")
-    return J.upsert(old, new, "o_custkey", "o_orderkey")
+    path = scratch_path(t.spark, "stored")
+    W.store(old, path)
+    W.update_stored(t.spark, path, lambda stored: J.upsert(stored, new, "o_custkey", "o_orderkey"))
+    return W.read_stored(t.spark, path)
 
 
 @query("snk_upsert_partial", """
@@ -194,11 +197,14 @@ SELECT coalesce(o.k, n.k) AS k, coalesce(n.algorithm, o.algorithm, CASE WHEN o.k
 def _(t):
     old = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("algorithm"), F.col("c_acctbal").alias("split"))
     new = t.events.groupBy(F.col("user_id").alias("k")).agg(F.expr("case when count(*) % 2 = 0 then 'updated' end").alias("algorithm"))
-    return J.upsert_partial(old, new, "k", {"algorithm": "default", "split": 0.2})
+    path = scratch_path(t.spark, "stored")
+    W.store(old, path)
+    W.update_stored(t.spark, path, lambda stored: J.upsert_partial(stored, new, "k", {"algorithm": "default", "split": 0.2}))
+    return W.read_stored(t.spark, path)
 
 
 TABLE_HTML = ("concat('<h1>', page_id, '</h1><table class=\"t\"><tr><th> page </th><th>url</th></tr>\n<tr><td>', page_id, "
-              "'</td><td> <b>', url, '</b>\n</td></tr></table><table><tr><td>second</td></tr></table>')")
+              "'</td><td> <b>', html, '</b>\n</td></tr></table><table><tr><td>second</td></tr></table>')")
 
 
 @query("snk_csv_from_html", r"""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -43,3 +46,23 @@ def write(df: DataFrame, path: str, kind: str = "csv") -> None:
     writers[kind](df, path)
 
 
+def _newest(spark: SparkSession, path: str) -> int:
+    """Number of the newest complete version of a stored table; files of a failed write are not listed."""
+    found = re.findall(r"/version=(\d+)/", "\n".join(spark.read.parquet(path).inputFiles()))
+    return max(map(int, found), default=0)
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a stored table."""
+    return spark.read.parquet(f"{path}/version={_newest(spark, path)}")
+
+
+def store(df: DataFrame, path: str) -> None:
+    """Start a stored table: a folder of versions, of which readers take the newest."""
+    df.write.parquet(f"{path}/version=0")
+
+
+def update_stored(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Write ``change`` of the newest version as the next one; it counts once its files are committed."""
+    n = _newest(spark, path)
+    change(spark.read.parquet(f"{path}/version={n}")).write.parquet(f"{path}/version={n + 1}")
