@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 CHART_START = "<<<PLOTLY_START>>>"
 CHART_END = "<<<PLOTLY_END>>>"
 
-# Elements kept from program output.
-BLOCK_TAGS = "table|h[1-6]|p|b|i|div|span|ul|ol|li"
+# Fixed value: elements kept from program output.
+BLOCK_PATTERN = r"(?is)(<(?:table|h[1-6]|p|b|i|div|span|ul|ol|li)[^>]*?>.*?</(?:table|h[1-6]|p|b|i|div|span|ul|ol|li)>|<img[^>]+/?>)"
+
+# Fixed value: fences around JSON in an answer.
+FENCE_PATTERN = "```json|```"
 
 
 def strip(c: Column) -> Column:
@@ -46,7 +49,7 @@ def first_json(raw: Column) -> Column:
             fixed = F.replace(fixed, F.lit(python), F.lit(json))
         return _once(fixed, lambda f: F.when(F.try_parse_json(f).isNotNull(), f))
 
-    clean = strip(F.regexp_replace(raw, "```json|```", ""))
+    clean = strip(F.regexp_replace(raw, FENCE_PATTERN, ""))
     # Everything from the first brace on; null when there is none.
     tail = F.regexp_extract(clean, r"(?s)\{.*", 0)
     return _once(_once(F.nullif(tail, F.lit("")), cut), valid)
@@ -57,12 +60,18 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+# Patterns of code in an answer, tried in this order.
+CODE_PATTERNS = (
+    r"(?s)```python\s*(.*?)```",
+    r"(?s)```(.*?)```",
+    r"(?s)((?:^|\n)(?:import |from |def |class ).*)",
+)
+
+
 def code_block(raw: Column) -> Column:
     """Code of a ``python`` fence, else of any fence, else from the first line that starts like code."""
     clean = strip(raw)
-    tagged = r"(?s)```python\s*(.*?)```"
-    fenced = r"(?s)```(.*?)```"
-    bare = r"(?s)((?:^|\n)(?:import |from |def |class ).*)"
+    tagged, fenced, bare = CODE_PATTERNS
     return (
         F.when(F.regexp_like(clean, F.lit(tagged)), strip(F.regexp_extract(clean, tagged, 1)))
         .when(F.regexp_like(clean, F.lit(fenced)), strip(F.regexp_extract(clean, fenced, 1)))
@@ -85,8 +94,7 @@ def marked_blocks(df: DataFrame, key: str, text: str, start: str = CHART_START,
 
 def html_blocks(df: DataFrame, key: str, html: str) -> DataFrame:
     """``(key, block_no, block)``: tables, headings, paragraphs, lists and images in order."""
-    pattern = rf"(?is)(<(?:{BLOCK_TAGS})[^>]*?>.*?</(?:{BLOCK_TAGS})>|<img[^>]+/?>)"
-    found = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
+    found = F.regexp_extract_all(F.col(html), F.lit(BLOCK_PATTERN), F.lit(1))
     return df.select(key, F.posexplode(found).alias("no", "block")).select(
         key, F.col("no").cast("long").alias("block_no"), "block"
     )

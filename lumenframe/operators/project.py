@@ -33,8 +33,30 @@ MODEL_ALIASES = {
     "DBSCAN": "DBSCAN",
 }
 
-# Official model names that are not the target of an alias.
-UNALIASED_MODELS = ("XGBoost", "LightGBM", "Ridge")
+# Official model names.
+OFFICIAL_MODELS = (
+    "Random Forest Classifier",
+    "Random Forest Regressor",
+    "Logistic Regression",
+    "Support Vector Classifier",
+    "Support Vector Regressor",
+    "KNN Classifier",
+    "KNN Regressor",
+    "Decision Tree Classifier",
+    "Decision Tree Regressor",
+    "Gradient Boosting Classifier",
+    "Gradient Boosting Regressor",
+    "AdaBoost Classifier",
+    "AdaBoost Regressor",
+    "Gaussian Naive Bayes",
+    "XGBoost",
+    "LightGBM",
+    "Linear Regression",
+    "Ridge",
+    "ElasticNet",
+    "KMeans Clustering",
+    "DBSCAN",
+)
 
 
 def split_roles(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
@@ -106,5 +128,4 @@ def checked_method(col: Column, allowed: Sequence[str], default: str) -> Column:
 def official_model(col: Column) -> Column:
     """Official model name of an alias or an official name; null when it is neither."""
     table = F.create_map(*[F.lit(x) for pair in MODEL_ALIASES.items() for x in pair])
-    official = sorted({*MODEL_ALIASES.values(), *UNALIASED_MODELS})
-    return F.coalesce(F.try_element_at(table, col), F.when(col.isin(official), col))
+    return F.coalesce(F.try_element_at(table, col), F.when(col.isin(list(OFFICIAL_MODELS)), col))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenframe.operators import project as J
-from lumenframe.operators.project import MODEL_ALIASES, UNALIASED_MODELS
+from lumenframe.operators.project import MODEL_ALIASES, OFFICIAL_MODELS
 from lumenframe.queries.registry import query
 
 WILD = (
@@ -106,7 +106,7 @@ ASKED = ["SVM", "KMeans", "Ridge", "XGBoost", "RandomForest", "Random Forest Cla
 
 def _asked_sql():
     cases = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(ASKED))
-    official = "', '".join(sorted({*MODEL_ALIASES.values(), *UNALIASED_MODELS}))
+    official = "', '".join(OFFICIAL_MODELS)
     alias = " ".join(f"WHEN '{a}' THEN '{o}'" for a, o in MODEL_ALIASES.items())
     return f"""
 WITH a AS (SELECT event_id, CASE event_id % {len(ASKED)} {cases} END AS asked FROM events)

@@ -220,7 +220,7 @@ def _(t):
 
 
 @query("snk_blocks_from_html", rf"""
-WITH b AS (SELECT page_id, regexp_extract_all(html, '(?is)(<(?:{X.BLOCK_TAGS})[^>]*?>.*?</(?:{X.BLOCK_TAGS})>|<img[^>]+/?>)', 1) AS b FROM pages)
+WITH b AS (SELECT page_id, regexp_extract_all(html, '{X.BLOCK_PATTERN}', 1) AS b FROM pages)
 SELECT page_id, unnest(range(len(b))) AS block_no, unnest(b) AS block FROM b""")
 def _(t):
     return X.html_blocks(t.pages, "page_id", "html")
