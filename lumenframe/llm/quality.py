@@ -136,14 +136,18 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _platt(columns: np.ndarray, y: np.ndarray, epochs: int = 100) -> np.ndarray:
-    """Logistic regression on a few real columns by Newton steps; the last weight is the bias."""
+def _platt(columns: np.ndarray, y: np.ndarray, epochs: int = 100, penalty: float = 1.0) -> np.ndarray:
+    """Logistic regression on a few real columns by Newton steps; the last weight is the bias.
+
+    The penalty keeps weights finite where the classes are separable, as one good view alone makes them.
+    """
     x = np.column_stack([columns, np.ones(len(y))])
     w = np.zeros(x.shape[1])
+    ridge = np.append(np.full(x.shape[1] - 1, penalty), 1e-3)
     for _ in range(epochs):
         s = _sigmoid(np.clip(x @ w, -30, 30))
-        hess = (x * (s * (1 - s))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (s - y) + 1e-3 * w)
+        hess = (x * (s * (1 - s))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(hess, x.T @ (s - y) + ridge * w)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
