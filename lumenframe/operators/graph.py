@@ -33,7 +33,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     stars = cut_lineage(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct())
     mark = None
     while True:
-        stars = cut_lineage(_small_star(_large_star(stars)))
+        stars = cut_lineage(_small_star(_large_star(stars)), replaces=stars)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -38,12 +38,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write a table to the shared folder and go on from its files.
 
     The new plan is a plain scan: it survives a lost executor, and loops do not carry the
-    expressions of earlier rounds along.
+    expressions of earlier rounds along. ``replaces`` is the table of the round before, if nothing
+    else reads it: its files go once the new ones are there.
     """
-    path = scratch_path(df.sparkSession, "step")
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step_path = path
+    if replaces is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(replaces._step_path)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return out
