@@ -208,34 +208,48 @@ def _settler(m: int, shift: int, length: int, crowd: int):
 
 
 class _Documents:
-    """Texts of one group of documents with the window starts that are settled so far."""
+    """Texts of one group of documents, with the settled window starts and the open segments of each."""
 
     def __init__(self, texts: pa.Table, found: pa.Table, length: int):
         self.length = length
         uid = texts.column("uid").to_numpy()
         self.uid, first, self.of = np.unique(uid, return_index=True, return_inverse=True)
         self.data, self.offsets = A.utf8(texts.column("text").take(pa.array(first)) if len(uid) else texts.column("text"))
-        self.delta = np.zeros(len(self.data) + 1, np.int32)
-        kinds, bucket_columns = found.column("kind").to_numpy(), {f: found.column(f).to_pylist() for f in FIELDS}
-        for k in np.flatnonzero(kinds == 0):
-            ids = A.unpack_rising(bucket_columns["ids"][k])
-            start = A.unpack(bucket_columns["a"][k], np.uint32).astype(np.int64)
-            self.flag(ids, start, start + A.unpack(bucket_columns["b"][k], np.uint32).astype(np.int64))
-        self.checks = [
-            tuple(bucket_columns[f][k] for f in FIELDS) for k in np.flatnonzero(kinds == 1)
+        kinds, columns = found.column("kind").to_numpy(), {f: found.column(f).to_pylist() for f in FIELDS}
+        flags = [[np.zeros(0, np.int64)] * 3] + [
+            (A.unpack_rising(columns["ids"][k]), A.unpack(columns["a"][k], np.uint32), A.unpack(columns["b"][k], np.uint32))
+            for k in np.flatnonzero(kinds == 0)
         ]
-
-    def base(self, ids: np.ndarray) -> np.ndarray:
-        return self.offsets[np.searchsorted(self.uid, ids)]
-
-    def flag(self, ids, start, stop) -> None:
-        base = self.base(ids)
-        np.add.at(self.delta, base + start, 1)
-        np.add.at(self.delta, base + stop, -1)
-
-    def flagged(self) -> np.ndarray:
-        """Whether the window that starts at each byte is settled."""
-        return np.cumsum(self.delta[:-1]) > 0
+        self.flags = self._by_row(flags)
+        checks = [[np.zeros(0, np.int64)] * 6] + [
+            (A.unpack_rising(columns["ids"][k]), *(A.unpack(columns[f][k], t) for f, t in zip("abcde", (np.uint32, np.uint8, np.uint8, np.uint64, np.bool_))))
+            for k in np.flatnonzero(kinds == 1)
+        ]
+        self.checks = self._by_row(checks)
+
+    def _by_row(self, parts):
+        """Columns of all parts, ordered by the row of the document in their first column."""
+        first, *rest = (np.concatenate(x) for x in zip(*parts))
+        row = np.searchsorted(self.uid, first)
+        order = np.argsort(row, kind="stable")
+        return [row[order], *(x[order] for x in rest)]
+
+    def parts(self):
+        """A bounded number of bytes at a time: ``(first row, data, offsets, delta, checks)``.
+
+        The running sum of ``delta`` is positive where the window that starts at a byte is settled.
+        """
+        for lo, hi in A.slices(self.offsets, SLICE):
+            base = self.offsets[lo]
+            data, offsets = self.data[base : self.offsets[hi]], self.offsets[lo : hi + 1] - base
+            delta = np.zeros(len(data) + 1, np.int32)
+            i, j = np.searchsorted(self.flags[0], (lo, hi))
+            row, start, size = (x[i:j] for x in self.flags)
+            at = offsets[row - lo] + start.astype(np.int64)
+            np.add.at(delta, at, 1)
+            np.add.at(delta, at + size.astype(np.int64), -1)
+            i, j = np.searchsorted(self.checks[0], (lo, hi))
+            yield lo, data, offsets, delta, [x[i:j] for x in self.checks]
 
 
 def _cutter(n: int, m: int, shift: int, length: int):
@@ -243,24 +257,24 @@ def _cutter(n: int, m: int, shift: int, length: int):
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         docs = _Documents(texts, found, length)
-        keys, ids, starts, lefts, pieces, rows = [], [], [], [], [], []
-        if docs.checks:
-            flagged = docs.flagged()
+        keys, ids, starts, lefts, pieces, flagged_rows = [], [], [], [], [], []
+        for first, data, offsets, delta, (row, pos, left, right, anchor, crowded) in docs.parts():
+            if not len(row):
+                continue
+            doc, base = docs.uid[row], offsets[row - first]
+            crowded = crowded.astype(bool)
+            at = base + pos.astype(np.int64)
+            flagged = np.cumsum(delta[:-1]) > 0
             settled = np.concatenate([[0], np.cumsum(flagged)])
-            doc = np.concatenate([A.unpack_rising(c[0]) for c in docs.checks])
-            pos, left, right = (np.concatenate([A.unpack(c[i], t) for c in docs.checks]).astype(np.int64)
-                                for i, t in ((1, np.uint32), (2, np.uint8), (3, np.uint8)))
-            anchor = np.concatenate([A.unpack(c[4], np.uint64) for c in docs.checks])
-            crowded = np.concatenate([A.unpack(c[5], np.bool_) for c in docs.checks])
-            base = docs.base(doc)
-            lo, hi = base + pos - left, base + pos + right - length + 1  # window starts
+            lo, hi = at - left.astype(np.int64), at + right.astype(np.int64) - length + 1  # window starts
             live = settled[hi] - settled[lo] < hi - lo
-            doc, base, lo, hi, anchor, crowded = (x[live] for x in (doc, base, lo, hi, anchor, crowded))
-            at = (base + pos[live])
+            doc, base, at, lo, hi, anchor, crowded = (x[live] for x in (doc, base, at, lo, hi, anchor, crowded))
+            if not len(doc):
+                continue
             free = np.flatnonzero(~flagged)
             lo = free[np.searchsorted(free, lo)]
             hi = free[np.searchsorted(free, hi) - 1] + 1
-            raw = docs.data.tobytes()
+            raw = data.tobytes()
             plain = np.flatnonzero(~crowded)
             keys.append(anchor[plain].astype(np.int64))
             ids.append(doc[plain])
@@ -276,22 +290,26 @@ def _cutter(n: int, m: int, shift: int, length: int):
                 wdoc, wbase = wdoc[pick], wbase[pick]
                 keep = ~flagged[w]
                 w, wdoc, wbase = w[keep], wdoc[keep], wbase[keep]
-                h = A.mix(A.PrefixHash(docs.data, A.BASE_B).ranges(w, w + length))
+                h = A.mix(A.PrefixHash(data, A.BASE_B).ranges(w, w + length))
                 order = np.lexsort((wdoc, h))
-                first = np.ones(len(order), bool)
-                first[1:] = np.diff(h[order]) != 0
-                head = order[first][np.cumsum(first) - 1]
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = np.diff(h[order]) != 0
+                head = order[fresh][np.cumsum(fresh) - 1]
                 byte = np.arange(length)
-                same = (docs.data[w[order][:, None] + byte] == docs.data[w[head][:, None] + byte]).all(axis=1)
+                same = (data[w[order][:, None] + byte] == data[w[head][:, None] + byte]).all(axis=1)
                 later = ((wdoc[order] >> shift) > (wdoc[head] >> shift)) & same
                 x = order[later]
-                rows += _flag_rows(*_merge(wdoc[x], (w - wbase)[x], (w - wbase)[x] + 1), m)
+                flagged_rows.append((wdoc[x], (w - wbase)[x]))
                 x = order[~later]
                 keys.append((h[x] & np.uint64((1 << 48) - 1)).astype(np.int64))
                 ids.append(wdoc[x])
                 starts.append((w - wbase)[x])
                 lefts.append(np.zeros(len(x), np.int64))
                 pieces += [raw[a : a + length] for a in w[x].tolist()]
+        rows = []
+        if flagged_rows:
+            doc, start = (np.concatenate(x) for x in zip(*flagged_rows))
+            rows += _flag_rows(*_merge(doc, start, start + 1), m)
         if pieces:
             key, doc, start, left = (np.concatenate(x) for x in (keys, ids, starts, lefts))
             bucket = key % n
@@ -300,7 +318,7 @@ def _cutter(n: int, m: int, shift: int, length: int):
                 x = order[i:j]
                 mine = [pieces[k] for k in x.tolist()]
                 rows.append((1, b, A.pack_rising(doc[x]), A.pack(key[x]), A.pack(start[x].astype(np.uint32)), A.pack(left[x].astype(np.uint8)),
-                             A.pack(np.array([len(m) for m in mine], np.uint32)), A.pack(np.frombuffer(b"".join(mine), np.uint8))))
+                             A.pack(np.array([len(p) for p in mine], np.uint32)), A.pack(np.frombuffer(b"".join(mine), np.uint8))))
         return pa.Table.from_batches([_table(rows)])
 
     return run
@@ -440,25 +458,29 @@ def _finisher(length: int):
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         docs = _Documents(texts, found, length)
-        cover = np.zeros(len(docs.data) + 1, np.int32)
-        start = np.flatnonzero(docs.flagged())
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        sums = np.concatenate([[0], np.cumsum(gone)])
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        head = docs.offsets[:-1][np.diff(docs.offsets) > 0]
-        opens[head] = gone[head]  # a run never continues from the document before
-        spans = np.concatenate([[0], np.cumsum(opens)])
-        lo, hi = docs.offsets[:-1], docs.offsets[1:]
-        kept = docs.data[~gone].tobytes()
-        edge = np.arange(len(docs.data) + 1) - sums
-        kept = [kept[a:b] for a, b in zip(edge[lo].tolist(), edge[hi].tolist())]
+        n = len(docs.uid)
+        size, removed, runs_, kept = np.diff(docs.offsets), np.zeros(n, np.int64), np.zeros(n, np.int64), []
+        for first, data, offsets, delta, _ in docs.parts():
+            cover = np.zeros(len(data) + 1, np.int32)
+            start = np.flatnonzero(np.cumsum(delta[:-1]) > 0)
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + length, -1)
+            gone = np.cumsum(cover[:-1]) > 0
+            sums = np.concatenate([[0], np.cumsum(gone)])
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            head = offsets[:-1][np.diff(offsets) > 0]
+            opens[head] = gone[head]  # a run never continues from the document before
+            spans = np.concatenate([[0], np.cumsum(opens)])
+            rows = slice(first, first + len(offsets) - 1)
+            removed[rows], runs_[rows] = np.diff(sums[offsets]), np.diff(spans[offsets])
+            left = data[~gone].tobytes()
+            edge = (offsets - sums[offsets]).tolist()
+            kept += [left[a:b] for a, b in zip(edge[:-1], edge[1:])]
         of = docs.of
         return pa.table({
-            "uid": texts.column("uid"), "doc_id": texts.column("doc_id"), "n_bytes": pa.array((hi - lo)[of]),
-            "n_removed": pa.array((sums[hi] - sums[lo])[of]), "n_spans": pa.array((spans[hi] - spans[lo])[of]),
+            "uid": texts.column("uid"), "doc_id": texts.column("doc_id"), "n_bytes": pa.array(size[of]),
+            "n_removed": pa.array(removed[of]), "n_spans": pa.array(runs_[of]),
             "kept": pa.array([kept[i] for i in of.tolist()], pa.binary()),
         })
 
@@ -469,7 +491,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     A.small_batches(spark)
-    n, m = A.buckets(spark), 4 * A.buckets(spark)  # of anchors, and of documents (their texts need more room)
+    n = m = A.buckets(spark)  # of anchors, and of documents
     known = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known, shift = numbered(known)
     marked = known.select("uid", "text").mapInArrow(_marker(n, m, shift, length, gram), PACKED)
