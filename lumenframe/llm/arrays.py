@@ -5,7 +5,8 @@ Everything here works on one Arrow batch (or a slice of it) at a time; Spark dec
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,50 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_SYSTEM = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between stages, beside the heap of their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_SYSTEM, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def each(work: Callable) -> Callable:
+    """Work on single Arrow batches as a function of all of them; nothing is kept in between."""
+
+    def run(batches):
+        for batch in batches:
+            yield work(batch)
+            release()
+
+    return run
+
+
+def group(work: Callable) -> Callable:
+    """Work on the table of a group, with its memory given back."""
+
+    def run(table):
+        out = work(table)
+        release()
+        return out
+
+    return run
+
+
+def cogroup(work: Callable) -> Callable:
+    """Work on two tables of a group, with its memory given back."""
+
+    def run(left, right):
+        out = work(left, right)
+        release()
+        return out
+
+    return run
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bytes, offsets)`` of a string column; row i is ``bytes[offsets[i]:offsets[i + 1]]``, null is empty."""
     if isinstance(column, pa.ChunkedArray):

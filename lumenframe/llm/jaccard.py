@@ -40,7 +40,7 @@ FREQUENT = 64
 #: Members of a hub compared with one document at a time.
 BLOCK = 128
 #: Bytes of text whose hashes are in memory at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 TIERS = 8  # steps per doubling of the frequency
 
 PACKED = "kind int, bucket int, ids binary, a binary, b binary, c binary"
@@ -87,49 +87,48 @@ def _columns(table: pa.Table, kind: int) -> dict[str, list]:
 def _marker(n: int, size: int):
     """Map side: shingles of a batch by bucket (kind 1), and the digest of every set by its own bucket (kind 0)."""
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            if not len(ids):
-                continue
-            data, offsets = A.utf8(batch.column(1))
-            rows_, codes = [], []
-            for lo, hi in A.slices(offsets, SLICE):
-                base = offsets[lo]
-                row, code = shingles(data[base : offsets[hi]], offsets[lo : hi + 1] - base, size)
-                rows_.append(row + lo)
-                codes.append(code)
-            row, code = np.concatenate(rows_), np.concatenate(codes)
-            count = np.bincount(row, minlength=len(ids))
-            digest = np.zeros(len(ids), np.uint64)
-            np.add.at(digest, row, A.mix(code ^ np.uint64(A.BASE_B)))
-            digest = A.mix(digest + count.astype(np.uint64))
-            empty = count == 0
-            digest[empty] = A.mix(ids[empty].astype(np.uint64))
-            rows = []
-            bucket = (digest >> np.uint64(33)).astype(np.int64) % n
-            order = np.lexsort((ids, digest, bucket))
-            for b, i, j in runs(bucket[order]):
-                x = order[i:j]
-                rows.append((0, b, A.pack(ids[x]), A.pack(digest[x]), A.pack(count[x].astype(np.uint32)), b""))
-            # Equal sets of a batch are sent once.
-            order = np.lexsort((ids, digest))
-            first = np.ones(len(order), bool)
-            first[1:] = np.diff(digest[order]) != 0
-            alone = np.zeros(len(ids), bool)
-            alone[order[first]] = True
-            keep = alone[row]
-            doc, code = ids[row[keep]], code[keep]
-            bucket = ((code >> np.uint64(48)) % np.uint64(n)).astype(np.int64)
-            order = np.lexsort((doc, bucket))
-            doc, code, bucket = doc[order], code[order], bucket[order]
-            for b, i, j in runs(bucket):
-                fresh = np.flatnonzero(np.concatenate([[True], np.diff(doc[i:j]) != 0]))
-                sizes = np.diff(np.append(fresh, j - i)).astype(np.uint32)
-                rows.append((1, b, A.pack_rising(doc[i:j][fresh]), A.pack(sizes), A.six_bytes(code[i:j]), b""))
-            yield _table(rows)
-
-    return run
+    def one(batch):
+        ids = batch.column(0).to_numpy()
+        if not len(ids):
+            return _table([])
+        data, offsets = A.utf8(batch.column(1))
+        rows_, codes = [], []
+        for lo, hi in A.slices(offsets, SLICE):
+            base = offsets[lo]
+            row, code = shingles(data[base : offsets[hi]], offsets[lo : hi + 1] - base, size)
+            rows_.append(row + lo)
+            codes.append(code)
+        row, code = np.concatenate(rows_), np.concatenate(codes)
+        count = np.bincount(row, minlength=len(ids))
+        digest = np.zeros(len(ids), np.uint64)
+        np.add.at(digest, row, A.mix(code ^ np.uint64(A.BASE_B)))
+        digest = A.mix(digest + count.astype(np.uint64))
+        empty = count == 0
+        digest[empty] = A.mix(ids[empty].astype(np.uint64))
+        rows = []
+        bucket = (digest >> np.uint64(33)).astype(np.int64) % n
+        order = np.lexsort((ids, digest, bucket))
+        for b, i, j in runs(bucket[order]):
+            x = order[i:j]
+            rows.append((0, b, A.pack(ids[x]), A.pack(digest[x]), A.pack(count[x].astype(np.uint32)), b""))
+        # Equal sets of a batch are sent once.
+        order = np.lexsort((ids, digest))
+        first = np.ones(len(order), bool)
+        first[1:] = np.diff(digest[order]) != 0
+        alone = np.zeros(len(ids), bool)
+        alone[order[first]] = True
+        keep = alone[row]
+        doc, code = ids[row[keep]], code[keep]
+        bucket = ((code >> np.uint64(48)) % np.uint64(n)).astype(np.int64)
+        order = np.lexsort((doc, bucket))
+        doc, code, bucket = doc[order], code[order], bucket[order]
+        for b, i, j in runs(bucket):
+            fresh = np.flatnonzero(np.concatenate([[True], np.diff(doc[i:j]) != 0]))
+            sizes = np.diff(np.append(fresh, j - i)).astype(np.uint32)
+            rows.append((1, b, A.pack_rising(doc[i:j][fresh]), A.pack(sizes), A.six_bytes(code[i:j]), b""))
+        return _table(rows)
+
+    return A.each(one)
 
 
 def _counter(n: int):
@@ -170,7 +169,7 @@ def _counter(n: int):
                 rows.append((1, b, A.pack_rising(doc[i:j]), A.pack(tier[i:j]), A.pack(np.array([mine])), A.six_bytes(code[i:j])))
         return pa.Table.from_batches([_table(rows)])
 
-    return run
+    return A.group(run)
 
 
 LIVE = "id long, n int, shared int, codes binary, tiers binary, first long"
@@ -214,7 +213,7 @@ def _gather(percent: int):
             out["tiers"].append(pa.array([flat[a:b] for a, b in zip(edge[:-1], edge[1:])], pa.binary()))
         return pa.table({k: pa.chunked_array(v) for k, v in out.items()})
 
-    return run
+    return A.group(run)
 
 
 def least_overlap(n, percent: int):
@@ -266,21 +265,20 @@ def signatures(n: int, codes: np.ndarray, tiers: np.ndarray, percent: int, frequ
 def _indexer(n: int, percent: int, frequent: int):
     """Map side of the index: entries of each live document, packed by bucket."""
 
-    def run(batches):
-        for batch in batches:
-            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(ids):
-                continue
-            entries = [
-                signatures(int(k), np.frombuffer(c, np.uint64), np.frombuffer(t, np.uint8), percent, frequent)
-                for k, c, t in zip(sizes, batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
-            doc, entry = np.repeat(ids, [len(e) for e in entries]), np.concatenate(entries)
-            bucket = ((entry >> np.uint64(48)) % np.uint64(n)).astype(np.int64)
-            order = np.lexsort((doc, bucket))
-            yield _table([(1, b, A.pack_rising(doc[order[i:j]]), A.six_bytes(entry[order[i:j]]), b"", b"") for b, i, j in runs(bucket[order])])
+    def one(batch):
+        ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(ids):
+            return _table([])
+        entries = [
+            signatures(int(k), np.frombuffer(c, np.uint64), np.frombuffer(t, np.uint8), percent, frequent)
+            for k, c, t in zip(sizes, batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        ]
+        doc, entry = np.repeat(ids, [len(e) for e in entries]), np.concatenate(entries)
+        bucket = ((entry >> np.uint64(48)) % np.uint64(n)).astype(np.int64)
+        order = np.lexsort((doc, bucket))
+        return _table([(1, b, A.pack_rising(doc[order[i:j]]), A.six_bytes(entry[order[i:j]]), b"", b"") for b, i, j in runs(bucket[order])])
 
-    return run
+    return A.each(one)
 
 
 def _hubs(n: int):
@@ -298,7 +296,7 @@ def _hubs(n: int):
         doc, hub = doc[doc != hub], hub[doc != hub]
         return pa.Table.from_batches([_table(_pair_rows(doc, hub, n))])
 
-    return run
+    return A.group(run)
 
 
 def _pair_rows(doc, hub, n: int):
@@ -340,7 +338,7 @@ def _verifier(percent: int):
         src, dst = zip(*found) if found else ((), ())
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return run
+    return A.cogroup(run)
 
 
 def _verify(asked: DataFrame, members: DataFrame, live: DataFrame, percent: int) -> DataFrame:
@@ -361,7 +359,7 @@ def _links(live: DataFrame, percent: int, frequent: int, block: int, n: int) ->
     """``(src, dst)``: links that connect what the join connects."""
     index = live.select("id", "n", "codes", "tiers").mapInArrow(_indexer(n, percent, frequent), PACKED)
     packed = index.groupBy("bucket").applyInArrow(_hubs(n), PACKED)
-    pairs = cut_lineage(packed.groupBy("bucket").applyInArrow(_unique_pairs, "id long, hub long"))
+    pairs = cut_lineage(packed.groupBy("bucket").applyInArrow(A.group(_unique_pairs), "id long, hub long"))
     facts = live.select("id", "n", "shared")
     a = facts.alias("a")
     b = facts.withColumnRenamed("id", "hub").alias("b")

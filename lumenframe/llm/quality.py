@@ -102,6 +102,7 @@ def _content_rows(batches):
             rows += [r.tobytes() for r in content(data[base : offsets[hi]], offsets[lo : hi + 1] - base)]
         names = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, pa.binary())], names=[*names, "content"])
+        A.release()
 
 
 def _edges(x: np.ndarray) -> np.ndarray:

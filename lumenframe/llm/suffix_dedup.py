@@ -35,7 +35,7 @@ from lumenframe.session import cut_lineage
 LENGTH = 50
 GRAM = 24
 #: Bytes of text whose hashes are in memory at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Segments of one anchor beyond which its windows are dealt out by their own hash.
 CROWD = 256
 #: Suffixes sorted at a time.
@@ -114,39 +114,38 @@ def _merge(ids, start, stop):
 def _marker(n: int, m: int, shift: int, length: int, gram: int):
     """Map side: anchors of a batch, equal segments combined, packed by bucket of the anchor."""
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            data, offsets = A.utf8(batch.column(1))
-            parts = []
-            for lo, hi in A.slices(offsets, SLICE):
-                base = offsets[lo]
-                pos, row, left, right, anchor, segment = anchors(data[base : offsets[hi]], offsets[lo : hi + 1] - base, length, gram)
-                parts.append((ids[row + lo], pos, left.astype(np.uint8), right.astype(np.uint8), anchor, segment))
-            if not parts:
-                continue
-            doc, pos, left, right, anchor, segment = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((doc, segment, anchor))
-            first = np.ones(len(order), bool)
-            first[1:] = (np.diff(anchor[order]) != 0) | (np.diff(segment[order]) != 0)
-            group = np.cumsum(first) - 1
-            least = (doc[order][first] >> shift)[group]
-            settled = order[(doc[order] >> shift) > least]
-            kept = order[(doc[order] >> shift) == least]
-            rows = []
-            if len(settled):
-                start = pos[settled] - left[settled]
-                rows += _flag_rows(*_merge(doc[settled], start, pos[settled] + right[settled] - length + 1), m)
-            bucket = ((anchor[kept] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-            kept = kept[np.lexsort((pos[kept], doc[kept], bucket))]
-            bucket = ((anchor[kept] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-            for b, i, j in runs(bucket):
-                k = kept[i:j]
-                rows.append((1, b, A.pack_rising(doc[k]), A.pack(pos[k].astype(np.uint32)), A.pack(left[k]), A.pack(right[k]),
-                             A.six_bytes(anchor[k]), A.six_bytes(segment[k])))
-            yield _table(rows)
-
-    return run
+    def one(batch):
+        ids = batch.column(0).to_numpy()
+        data, offsets = A.utf8(batch.column(1))
+        parts = []
+        for lo, hi in A.slices(offsets, SLICE):
+            base = offsets[lo]
+            pos, row, left, right, anchor, segment = anchors(data[base : offsets[hi]], offsets[lo : hi + 1] - base, length, gram)
+            parts.append((ids[row + lo], pos, left.astype(np.uint8), right.astype(np.uint8), anchor, segment))
+        if not parts:
+            return _table([])
+        doc, pos, left, right, anchor, segment = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((doc, segment, anchor))
+        first = np.ones(len(order), bool)
+        first[1:] = (np.diff(anchor[order]) != 0) | (np.diff(segment[order]) != 0)
+        group = np.cumsum(first) - 1
+        least = (doc[order][first] >> shift)[group]
+        settled = order[(doc[order] >> shift) > least]
+        kept = order[(doc[order] >> shift) == least]
+        rows = []
+        if len(settled):
+            start = pos[settled] - left[settled]
+            rows += _flag_rows(*_merge(doc[settled], start, pos[settled] + right[settled] - length + 1), m)
+        bucket = ((anchor[kept] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+        kept = kept[np.lexsort((pos[kept], doc[kept], bucket))]
+        bucket = ((anchor[kept] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+        for b, i, j in runs(bucket):
+            k = kept[i:j]
+            rows.append((1, b, A.pack_rising(doc[k]), A.pack(pos[k].astype(np.uint32)), A.pack(left[k]), A.pack(right[k]),
+                         A.six_bytes(anchor[k]), A.six_bytes(segment[k])))
+        return _table(rows)
+
+    return A.each(one)
 
 
 def _shared(values: np.ndarray) -> np.ndarray:
@@ -204,7 +203,7 @@ def _settler(m: int, shift: int, length: int, crowd: int):
                                  A.pack(right[x].astype(np.uint8)), A.pack(anchor[x]), A.pack(crowded[i:j])))
         return pa.Table.from_batches([_table(rows)])
 
-    return run
+    return A.group(run)
 
 
 class _Documents:
@@ -321,7 +320,7 @@ def _cutter(n: int, m: int, shift: int, length: int):
                              A.pack(np.array([len(p) for p in mine], np.uint32)), A.pack(np.frombuffer(b"".join(mine), np.uint8))))
         return pa.Table.from_batches([_table(rows)])
 
-    return run
+    return A.cogroup(run)
 
 
 def common_extension(hashes: A.PrefixHash, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -447,7 +446,7 @@ def _sorter(m: int, shift: int, length: int, entries: int):
             rows += _flag_rows(*_merge(ids, first, first + 1), m)
         return pa.Table.from_batches([_table(rows)])
 
-    return run
+    return A.group(run)
 
 
 RESULT = "uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -484,7 +483,7 @@ def _finisher(length: int):
             "kept": pa.array([kept[i] for i in of.tolist()], pa.binary()),
         })
 
-    return run
+    return A.cogroup(run)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, entries: int = SORT_ENTRIES) -> DataFrame:

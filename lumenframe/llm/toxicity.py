@@ -159,6 +159,7 @@ def _chosen_features(chosen: np.ndarray):
                 place = np.searchsorted(chosen, code).astype(np.uint16)
                 rows += [place[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["places", "toxic"])
+            A.release()
 
     return run
 
@@ -225,6 +226,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for batch in batches:
             scores = pa.array(_scores(model, batch.column(2), tables))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "held_out", "score"])
+            A.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -239,5 +241,6 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         tables = _tables(model)
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column("text"), tables) < threshold))
+            A.release()
 
     return docs.mapInArrow(run, docs.schema)
