@@ -168,6 +168,33 @@ def test_best_run_without_marks():
     assert html.extract(page, {}) == "The first paragraph has many words in it.\nSo has the second one, and more."
 
 
+LONG = "These are many words of an article that must all be found again, with " + "and so on " * 10 + "an end."
+WRAPPERS = ["<div class='has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<div class='elementor-widget-container'>{}</div>",
+            "<div class='modal'><div id='search'>{}</div></div>", "<form>{}</form>", "<div data-id='ad' data-class=\"menu\" title='id=nav'>{}</div>"]
+KEPT = ["<section id='related-work'><h2>Related</h2><p>{}</p></section>", "<h2 id='social-history'>Related</h2><p>{}</p>",
+        "<h2 id='search'>Related</h2><p>{}</p>", "<div class='section' id='comments'><h2>Related</h2><p>{}</p></div>",
+        "<h2 id='ad-hoc-networks'>Related</h2><p>{}</p>", "<div class='article-header'><h1>Related</h1></div><p>{}</p>",
+        "<div class='header'><h1>Related</h1></div><p>{}</p>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["<article><p>{}</p></article>", "<main><p>{}</p></main>", "<p>{}</p>"])
+def test_layout_wrappers(wrapper, inner):
+    page = "<body><nav><a>x y</a></nav><div class='ad'>buy this</div>" + wrapper.format(inner.format(LONG)) + "<div class='ad big'>and that</div>"
+    assert html.extract(page, {}) == LONG
+
+
+@pytest.mark.parametrize("part", KEPT)
+def test_names_of_parts(part):
+    page = "<body><article>" + part.format(LONG) + "<div class='x ads'>no</div></article><div class='related'><article>a b</article></div>"
+    assert html.extract(page, {}) == "Related\n" + LONG
+
+
+def test_text_in_math_labels_and_objects():
+    page = f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <label>a label</label></p><object data='x'><p>in its place</p></object></article>"
+    assert html.extract(page, {}) == f"{LONG} x=2 a label\nin its place"
+
+
 def test_pipeline(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     frames = []
