@@ -3,7 +3,7 @@
 A page is a sequence of words (positive) and tags (negative). The weight of a word follows from the element it stands in,
 that of a tag from its name; both are log-odds of lying inside or outside the article, counted on labelled pages:
 pages of a bounded sample (``LABELLED``) that mark exactly one ``article`` element. One linear scan finds the contiguous run with the
-highest sum. A run inside an ``article`` or ``main`` element grows to that whole element, else to whole blocks.
+highest sum. A run inside an ``article`` or ``main`` element grows to the outermost such element around it, else to whole blocks.
 
 What is never text is left out before: scripts, styles, head, comments in markup. Menus, headers and footers of the page, sidebars,
 notices, adverts, forms and reader comments are noise, by element or by a whole name in ``class``, ``id`` or ``role``. What holds an
@@ -170,7 +170,7 @@ def tokens(page: str):
 def counts(page: str) -> Counter:
     """Words and tags inside and outside the article of a labelled page; empty for other pages."""
     found = [t for t in tokens(page) if not t[5]]
-    if len({h[-1] for _, _, _, h, _, _ in found if h}) != 1:
+    if len({h[0] for _, _, _, h, _, _ in found if h}) != 1:
         return Counter()
     c = Counter()
     for kind, value, element, holder, _, _ in found:
@@ -216,10 +216,10 @@ def _run(found: list, weight: dict[str, float]) -> str:
     inside = Counter()
     for kind, value, _, holder, _, _ in found[lo : hi + 1]:
         if kind == "text":
-            inside[holder[-1] if holder else 0] += len(value)
+            inside[holder[0] if holder else 0] += len(value)
     holder = max(inside, key=lambda h: (inside[h], h))
     if holder:
-        picked = [t for t in found if t[3] and t[3][-1] == holder]
+        picked = [t for t in found if t[3] and t[3][0] == holder]
     else:
         first, last = found[lo][4], found[hi][4]
         picked = [t for t in found if first <= t[4] <= last]

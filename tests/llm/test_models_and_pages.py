@@ -195,6 +195,18 @@ def test_text_in_math_labels_and_objects():
     assert html.extract(page, {}) == f"{LONG} x=2 a label\nin its place"
 
 
+NESTED = {
+    f"<article><h1>T</h1><p>intro</p><article>update 1</article><article>{LONG}</article><p>end</p></article>": f"T\nintro\nupdate 1\n{LONG}\nend",
+    f"<article>title<main>{LONG}</main></article>": f"title\n{LONG}", f"<main><h1>T</h1><article>{LONG}</article></main>": f"T\n{LONG}",
+    f"<main><h1>T</h1><article>{LONG}</article><div id='comments'><article>no</article></div></main>": f"T\n{LONG}",
+}
+
+
+def test_nested_articles():
+    for page, text in NESTED.items():
+        assert html.extract(f"<nav>a</nav><p>before</p>{page}<aside><article>b</article></aside>", {}) == text
+
+
 def test_pipeline(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     frames = []
