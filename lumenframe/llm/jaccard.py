@@ -156,7 +156,11 @@ def _counter(n: int):
             mine = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48)
             doc = np.concatenate([np.repeat(A.unpack_rising(x), A.unpack(s, np.uint32)) for x, s in zip(cols["ids"], cols["a"])])
             code = A.from_six_bytes(b"".join(cols["b"]))
-            order = np.argsort(code, kind="stable")
+            # A repeated row sends its shingles from each batch that holds it: they count once.
+            order = np.lexsort((doc, code))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (np.diff(code[order]) != 0) | (np.diff(doc[order]) != 0)
+            order = order[fresh]
             same = np.concatenate([[0], np.cumsum(np.diff(code[order]) != 0)])
             held = np.bincount(same)[same]
             order, held = order[held > 1], held[held > 1]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import queries
+from lumenframe.llm import jaccard, queries
 from lumenframe.llm.jaccard import components, signatures
 from lumenframe.llm.suffix_dedup import remove_repeats, repeated, sort_suffixes, text_of
 
@@ -97,6 +97,18 @@ def test_near_copies(make, frequent):
     assert joined(make(rows), frequent=frequent, block=16) == brute.components(rows)
 
 
+@pytest.mark.parametrize("copies", [2, 10])
+def test_repeated_rows_in_several_batches(spark, monkeypatch, copies):
+    """Unlike documents with common boilerplate, each row repeated in several partitions, stay apart; near copies still link."""
+    rng = random.Random(4)
+    own = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    boilerplate, near = own(46), own(100)
+    rows = [(i, f"{boilerplate} {own(58)}") for i in range(6)] + [(10, near), (11, near + " end")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows * copies, copies), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "numbered", lambda docs: (docs.withColumn("uid", F.col("doc_id")), 0))  # copies stay in their partitions
+    assert joined(df) == brute.components(rows * copies)
+
+
 def test_prefixes_share_an_entry():
     """Any two sets that link have an index entry in common."""
     rng = np.random.default_rng(3)
