@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import packing, quality, toxicity
-from lumenframe.llm.jaccard import components
+from lumenframe.llm.jaccard import components_of_rows
+from lumenframe.llm.rows import numbered
 from lumenframe.llm.suffix_dedup import remove_repeats, text_of
 from lumenframe.session import prepare, scratch_path
 
@@ -40,18 +41,18 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near copies; of rows that share it, one.
+    """The row of the smallest id of each component of near copies; of rows of one component that share it, one.
 
-    Documents without an id are in no component and stay.
+    Rows that only share an id are different documents. Rows without an id or without words are in no component and stay.
     """
     docs = _columns(docs)
-    found = components(docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():
-        kept = kept.withColumn("order", F.xxhash64("text")).groupBy("doc_id").agg(
-            F.min(F.struct("order", "text", "lang", "source", "n_chars")).alias("row")
-        ).select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars")
+    known, shift = numbered(docs.where("doc_id is not null"))
+    found = components_of_rows(known)
+    first = found.where("uid = component").groupBy("uid").agg(F.max("n_shingles").alias("words"))
+    kept = known.join(first, "uid")
+    if shift:
+        once = kept.where("words > 0").groupBy("uid").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+        kept = once.union(_columns(kept.where("words = 0")))
     return _columns(kept).union(_columns(docs.where("doc_id is null")))
 
 
@@ -61,9 +62,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document of which nothing remains stays with an empty text.
     """
     docs = _columns(docs)
-    kept = text_of(remove_repeats(docs))
-    meta = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    named = kept.where("doc_id is not null").join(meta, "doc_id")
+    kept = text_of(remove_repeats(docs, numbers=True)).where("doc_id is not null")
+    known, shift = numbered(docs.where("doc_id is not null"))
+    if shift:
+        kept = kept.dropDuplicates(["uid"])  # equal rows have equal remains, each row meets them with its own columns
+    named = kept.join(known.select("uid", "lang", "source"), "uid")
     rows = named.select("doc_id", "text", "lang", "source").union(docs.where("doc_id is null").select("doc_id", "text", "lang", "source"))
     return _columns(rows.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")))
 

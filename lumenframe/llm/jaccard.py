@@ -413,11 +413,20 @@ def _links(live: DataFrame, percent: int, frequent: int, block: int, n: int) ->
 
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
+    known, shift = numbered(docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    row_id = lambda c: F.shiftright(c, shift) if shift else F.col(c)
+    out = components_of_rows(known, size, percent, frequent, block).select(
+        row_id("uid").alias("doc_id"), "n_shingles", row_id("component").alias("component_id")
+    )
+    return out.union(_unnamed(docs, size))
+
+
+def components_of_rows(known: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
+    """``uid, n_shingles, component`` (its smallest uid) for each row of ``known(uid, text)`` as :func:`numbered` gives it."""
+    spark = known.sparkSession
     A.small_batches(spark)
     n = A.buckets(spark)
-    known, shift = numbered(docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    marked = known.select("uid", "text").mapInArrow(_marker(n, size), PACKED)
+    marked = known.select("uid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_marker(n, size), PACKED)
     counted = marked.groupBy("bucket").applyInArrow(_counter(n), PACKED)
     gathered = cut_lineage(counted.groupBy("bucket").applyInArrow(_gather(percent), LIVE))
     live = gathered.where("codes is not null")
@@ -425,11 +434,7 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, freque
     part = connected_components(live.select(F.col("id").alias("node")), links)
     info = gathered.where("codes is null").select("id", F.col("n").cast("long").alias("n_shingles"), "first")
     joined = info.join(part.select(F.col("node").alias("first"), "component"), "first", "left")
-    row_id = lambda c: F.shiftright(c, shift) if shift else c
-    out = joined.select(
-        row_id(F.col("id")).alias("doc_id"), "n_shingles", row_id(F.coalesce("component", "first")).alias("component_id")
-    )
-    return out.union(_unnamed(docs, size))
+    return joined.select(F.col("id").alias("uid"), "n_shingles", F.coalesce("component", "first").alias("component"))
 
 
 def _unnamed(docs: DataFrame, size: int) -> DataFrame:

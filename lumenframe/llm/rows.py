@@ -26,17 +26,17 @@ def runs(values: np.ndarray):
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs(doc_id, text)`` with a number ``uid`` per different row, and a shift: ``uid >> shift`` is the id.
+    """``docs(doc_id, text, ...)`` with a number ``uid`` per different row, and a shift: ``uid >> shift`` is the id.
 
     Where no id repeats, the number is the id itself.
     """
     most = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     if most == 1:
         return docs.withColumn("uid", F.col("doc_id")), 0
-    hashed = docs.withColumn("version", F.xxhash64("text"))
+    hashed = docs.withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
     versions = hashed.groupBy("doc_id").agg(F.array_sort(F.collect_set("version")).alias("versions"))
     shift = int(most).bit_length()
     numbers = hashed.join(versions, "doc_id").withColumn(
         "uid", F.col("doc_id") * F.lit(1 << shift) + F.array_position("versions", F.col("version")) - 1
     )
-    return numbers.select("doc_id", "text", "uid"), shift
+    return numbers.select(*docs.columns, "uid"), shift

@@ -486,8 +486,12 @@ def _finisher(length: int):
     return A.cogroup(run)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, entries: int = SORT_ENTRIES) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for each row of ``docs(doc_id, text)``."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, entries: int = SORT_ENTRIES,
+                   numbers: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for each row of ``docs(doc_id, text)``.
+
+    With ``numbers`` also the ``uid`` that :func:`numbered` gives the row, null where the id is.
+    """
     spark = docs.sparkSession
     A.small_batches(spark)
     n = m = A.buckets(spark)  # of anchors, and of documents
@@ -504,15 +508,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"),
     )
+    if numbers:
+        return done.select(*unnamed.columns, "uid").union(unnamed.withColumn("uid", F.lit(None).cast("long")))
     return done.drop("uid").union(unnamed)
 
 
 def text_of(removed: DataFrame) -> DataFrame:
-    """``doc_id, n_removed, text``: what remains, as text; bytes of a character that was cut apart go too."""
+    """``doc_id, n_removed, text[, uid]``: what remains, as text; bytes of a character that was cut apart go too."""
+    more = ["uid"] if "uid" in removed.columns else []
 
     def run(batches):
         for batch in batches:
             text = [b.decode("utf-8", "ignore") for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["doc_id", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), *batch.columns[3:]], names=["doc_id", "n_removed", "text", *more])
 
-    return removed.select("doc_id", "n_removed", "kept").mapInArrow(run, "doc_id long, n_removed long, text string")
+    return removed.select("doc_id", "n_removed", "kept", *more).mapInArrow(run, "doc_id long, n_removed long, text string" + ", uid long" * len(more))

@@ -229,6 +229,19 @@ def test_pipeline(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == packed.count()
 
 
+def test_rows_that_share_an_id_stay(spark):
+    """Only near copies go: rows are decided one by one, with their own columns."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(3, text(0), "en", "a", 1), (5, text(0) + " end", "de", "b", 1), (5, text(1), "fr", "c", 1), (7, text(2), "en", "d", 1),
+            (7, text(3), "de", "e", 1), (7, text(3), "de", "e", 1), (8, None, "en", "f", 0), (8, "", "de", "g", 0), (None, text(0), "en", "h", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(r.source for r in near.collect()) == ["a", "c", "d", "e", "f", "g", "h"]
+    cut = corpus_pipeline.repeated_passages(spark, near, "")
+    want = {s: t or "" for _, t, _, s, _ in rows}
+    assert sorted((r.source, r.text) for r in cut.collect()) == sorted((s, want[s]) for s in "acdefgh")
+
+
 def test_pipeline_of_nothing(spark, make, odd_rows, folder):
     for docs in (make([]), make([*odd_rows, (None, "x"), (None, None)])):
         for _, stage in corpus_pipeline.STAGES[:-1]:
