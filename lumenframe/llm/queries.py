@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, fingerprints, html, packing, pieces, quality, topk, toxicity
+from lumenframe.llm import chat, fim, fingerprints, html, packing, pieces, quality, resampling, sharding, topk, toxicity
 from lumenframe.llm.jaccard import components
 from lumenframe.llm.suffix_dedup import remove_repeats
 from lumenframe.session import prepare
@@ -69,12 +69,30 @@ def op10_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the benchmark's distribution of words."""
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Form, cuts and digests of the fill-in-the-middle output of every document."""
+    return fim.transform(fim.store(table(spark, folder, "documents")))
+
+
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in one of forty shards, and the shard it takes when there is one more."""
+    return sharding.assign(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_exact_topk, op5_sentencepiece, op6_toxicity, op7_perspectives,
-        op8_fingerprints, op9_quality, op10_html_main_text,
+        op8_fingerprints, op9_quality, op10_html_main_text, op11_importance_resampling, op12_fill_in_middle, op13_sharding,
     )
 }
 
-ORACLES: dict[str, str] = {"op4_exact_topk": topk.oracle(), "op7_perspectives": chat.oracle()}
+ORACLES: dict[str, str] = {
+    "op4_exact_topk": topk.oracle(), "op7_perspectives": chat.oracle(), "op11_importance_resampling": resampling.oracle(),
+    "op12_fill_in_middle": fim.oracle(), "op13_sharding": sharding.oracle(),
+}
