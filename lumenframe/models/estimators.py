@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
@@ -54,8 +53,6 @@ def _classifier(name: str, params: dict, rows: int, classes: int) -> Estimator:
         return DecisionTreeClassifier(**_trees(params))
     if name == "Random Forest Classifier":
         return RandomForestClassifier(**_trees(params, count="numTrees"))
-    if name in ("Gradient Boosting Classifier", "XGBoost", "LightGBM"):
-        return for_classes(GBTClassifier(**_boost(params)))
     if name == "Support Vector Classifier":
         penalty = 1.0 / (float(params.get("C") or 1.0) * max(rows, 1))
         return for_classes(LinearSVC(regParam=penalty, standardization=False, maxIter=int(params.get("max_iter") or 100)))
@@ -79,7 +76,7 @@ def _regressor(name: str, params: dict, rows: int) -> Estimator:
         return DecisionTreeRegressor(**_trees(params))
     if name == "Random Forest Regressor":
         return RandomForestRegressor(**_trees(params, count="numTrees"))
-    if name in ("Gradient Boosting Regressor", "XGBoost", "LightGBM"):
+    if name == "Gradient Boosting Regressor":
         return GBTRegressor(**_boost(params))
     if name == "Support Vector Regressor":
         # A robust linear fit stands in: Spark has no support vector regression.

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from lumenframe.functions.stats import number, string_columns
 from lumenframe.metrics import classification, clustering, regression
-from lumenframe.models import boost, importance
+from lumenframe.models import boost, histogram, importance
 from lumenframe.models.neighbors import DensityModel, NeighborModel, fit_neighbors
 from lumenframe.models.estimators import estimator
 from lumenframe.operators.splits import holdout, k_folds, stratified_folds
@@ -56,6 +56,14 @@ class TrainingResult:
     train_rows: int
 
 
+#: Boosting on histograms; the first two keep missing values, whose side is learned.
+LEARN_GAPS = ("XGBoost", "LightGBM")
+
+
+def _on_histograms(config: TrainingConfig) -> bool:
+    return config.algorithm in (*LEARN_GAPS, "Gradient Boosting Classifier")
+
+
 # Columns that the steps of this module add to a table.
 HELPERS = ("label", "target_text", "is_test", "fold")
 
@@ -84,12 +92,14 @@ def _preparation(df: DataFrame, config: TrainingConfig) -> tuple[list, list[str]
         held = df.agg(*[F.count(number(c)).alias(c) for c in plain]).first()
         features = [c for c in features if c not in plain or held[c]]
         plain = [c for c in plain if held[c]]
-    if plain:
+    gaps = config.algorithm in LEARN_GAPS
+    if plain and not gaps:
         stages.append(Imputer(inputCols=plain, outputCols=[f"{c}_full" for c in plain], strategy="mean"))
-    inputs = [f"{c}_code" if c in texts else f"{c}_vec" if c in arrays else f"{c}_full" for c in features]
-    raw = "raw_features" if config.scale else "features"
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=raw, handleInvalid="skip"))
-    if config.scale:
+    inputs = [f"{c}_code" if c in texts else f"{c}_vec" if c in arrays else c if gaps else f"{c}_full" for c in features]
+    scale = config.scale and not gaps  # a tree asks for the order of values only, and a gap has no mean to subtract
+    raw = "raw_features" if scale else "features"
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=raw, handleInvalid="keep" if gaps and not arrays else "skip"))
+    if scale:
         stages.append(StandardScaler(inputCol=raw, outputCol="features", withMean=True, withStd=True))
     if config.task == "classification":
         # Labels are indexed as text, so every kind of target works the same way.
@@ -130,6 +140,8 @@ def fit(train: DataFrame, config: TrainingConfig) -> tuple[PipelineModel, object
     if config.algorithm == "AdaBoost Regressor":
         rounds = int(config.params.get("n_estimators") or 50)
         return prepare, boost.fit_regressor(ready, rounds=rounds), features
+    if _on_histograms(config):
+        return prepare, histogram.fit(ready, classes, histogram.settings(config.algorithm, config.params)), features
     if config.algorithm in ("KNN Classifier", "KNN Regressor"):
         votes = config.algorithm == "KNN Classifier"
         return prepare, fit_neighbors(ready, config.key, int(config.params.get("n_neighbors") or 5), votes), features
@@ -246,7 +258,7 @@ def load(path: str) -> tuple[list, object | None]:
         kind = spark.read.schema("kind string").parquet(f"{path}/kind").first()["kind"]
     except AnalysisException:
         return PipelineModel.load(path).stages, None
-    kinds = {m.kind: m for m in (boost.BoostedClassifier, boost.BoostedRegressor, NeighborModel)}
+    kinds = {m.kind: m for m in (boost.BoostedClassifier, boost.BoostedRegressor, histogram.BoostedTrees, NeighborModel)}
     return PipelineModel.load(f"{path}/prepare").stages, kinds[kind].load(spark, f"{path}/model")
 
 

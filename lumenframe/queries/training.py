@@ -3,6 +3,7 @@
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from lumenframe.models import histogram as H
 from lumenframe.models import neighbors as NB
 from lumenframe.models import training as M
 from lumenframe.models.training import TrainingConfig
@@ -65,6 +66,42 @@ for _name, _config in MODELS.items():
         return trained(t, _config)
 
 
+@query("ml_xgb_gains", f"""
+WITH cells AS (SELECT CASE WHEN l_linenumber < 7 THEN l_quantity END AS x, l_extendedprice / 100000 AS y FROM lineitem),
+g AS (SELECT x, sum((SELECT avg(y) FROM cells) - y) AS g, count(*) AS n FROM cells GROUP BY x),
+total AS (SELECT sum(g) AS tg, sum(n) AS tn, sum(g) FILTER (x IS NULL) AS gg, sum(n) FILTER (x IS NULL) AS gn, max(x) AS most FROM g),
+seen AS (SELECT x, sum(g) OVER (ORDER BY x) AS gl, sum(n) OVER (ORDER BY x) AS nl FROM g WHERE x IS NOT NULL),
+sides AS (SELECT x, s.missing_left, gl + CASE WHEN s.missing_left THEN gg ELSE 0 END AS gl, nl + CASE WHEN s.missing_left THEN gn ELSE 0 END AS nl, tg, tn
+ FROM seen, total, (VALUES (true), (false)) s(missing_left) WHERE x < most)
+SELECT x::DOUBLE AS threshold, missing_left, {sr('0.5 * (gl * gl / (nl + 1) + (tg - gl) * (tg - gl) / (tn - nl + 1) - tg * tg / (tn + 1))', 4)} AS gain FROM sides""")
+def _(t):
+    """Gain of every split of the first node of a regression on one column with gaps, missing values on either side."""
+    x = F.expr("case when l_linenumber < 7 then l_quantity end")
+    rows = t.lineitem.select(F.array(x.cast("double")).alias("features"), (F.col("l_extendedprice") / 100000).alias("label"))
+    found = H.first_gains(rows, 0, H.settings("XGBoost", {}))
+    return found.select("threshold", "missing_left", r("gain", 4).alias("gain"))
+
+
+BANDS = "CASE WHEN o_totalprice > 300000 THEN 0 WHEN o_orderpriority < '3' THEN 1 ELSE 2 END"
+
+
+@query("ml_gbt_round", f"""
+WITH cells AS (SELECT floor(o_totalprice / 10000) AS x, {BANDS} AS y FROM orders),
+share AS (SELECT k, (SELECT count(*) FROM cells WHERE y = k) / (SELECT count(*) FROM cells)::DOUBLE AS p FROM range(3) c(k)),
+g AS (SELECT k, p, x, sum(p - (y = k)::INT) AS g, count(*) AS n FROM cells, share GROUP BY k, p, x),
+seen AS (SELECT k, p, x, sum(g) OVER (PARTITION BY k ORDER BY x) AS gl, sum(n) OVER (PARTITION BY k ORDER BY x) AS nl, sum(g) OVER (PARTITION BY k) AS tg,
+  sum(n) OVER (PARTITION BY k) AS tn FROM g),
+best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gl * gl / nl + (tg - gl) * (tg - gl) / (tn - nl) DESC, x) AS place FROM seen WHERE nl < tn)
+SELECT k::INTEGER AS class, x::DOUBLE AS threshold, {sr('-0.1 * gl / (1.5 * p * (1 - p) * nl)')} AS left_value,
+  {sr('-0.1 * (tg - gl) / (1.5 * p * (1 - p) * (tn - nl))')} AS right_value FROM best WHERE place = 1""")
+def _(t):
+    """The trees of one round over three classes: best split by least squares, Newton steps in the leaves."""
+    rows = t.orders.select(F.array(F.floor(F.col("o_totalprice") / 10000).cast("double")).alias("features"), F.expr(BANDS).cast("double").alias("label"))
+    model = H.fit(rows, 3, H.Settings(rounds=1, max_depth=1, by_rows=True))
+    out = [(k, float(tree.threshold[0]), *(float(tree.value[x[0]]) for x in (tree.left, tree.right))) for k, tree in enumerate(model.rounds[0])]
+    return rounded(t.spark.createDataFrame(out, "class int, threshold double, left_value double, right_value double"))
+
+
 @query("ml_linreg", f"""
 SELECT {sr('regr_slope(l_extendedprice, l_quantity)', 3)} AS slope, {sr('regr_intercept(l_extendedprice, l_quantity)', 3)} AS intercept FROM lineitem""")
 def _(t):
