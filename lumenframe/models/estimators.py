@@ -3,41 +3,17 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressor,
-    LinearRegression,
-    RandomForestRegressor,
-)
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 
 SEED = 42
-# Depth used where a model asks for no limit: the deepest tree that Spark grows.
-OPEN_DEPTH = 30
 
 
-def _trees(params: dict, *, count: str | None = None, default: int = 100) -> dict:
-    depth = int(params.get("max_depth") or OPEN_DEPTH)
-    if depth > OPEN_DEPTH:
-        raise ValueError(f"max_depth {depth}: trees grow to a depth of {OPEN_DEPTH} at most")
-    out = {"maxDepth": depth, "seed": SEED}
+def _boost(params: dict) -> dict:
+    out = {"maxDepth": int(params.get("max_depth") or 3), "seed": SEED, "maxIter": int(params.get("n_estimators") or 100)}
     if params.get("min_samples_leaf"):
         out["minInstancesPerNode"] = int(params["min_samples_leaf"])
-    if count:
-        out[count] = int(params.get("n_estimators") or default)
-    return out
-
-
-def _boost(params: dict) -> dict:
-    out = _trees({**params, "max_depth": params.get("max_depth") or 3}, count="maxIter")
     return {**out, "stepSize": float(params.get("learning_rate") or 0.1)}
 
 
@@ -49,10 +25,6 @@ def _classifier(name: str, params: dict, rows: int, classes: int) -> Estimator:
     if name == "Logistic Regression":
         penalty = 1.0 / (float(params.get("C") or 1.0) * max(rows, 1))
         return LogisticRegression(maxIter=int(params.get("max_iter") or 100), regParam=penalty, standardization=False)
-    if name == "Decision Tree Classifier":
-        return DecisionTreeClassifier(**_trees(params))
-    if name == "Random Forest Classifier":
-        return RandomForestClassifier(**_trees(params, count="numTrees"))
     if name == "Support Vector Classifier":
         penalty = 1.0 / (float(params.get("C") or 1.0) * max(rows, 1))
         return for_classes(LinearSVC(regParam=penalty, standardization=False, maxIter=int(params.get("max_iter") or 100)))
@@ -72,10 +44,6 @@ def _regressor(name: str, params: dict, rows: int) -> Estimator:
     if name == "ElasticNet":
         mix = float(params.get("l1_ratio", 0.5))
         return LinearRegression(elasticNetParam=mix, regParam=alpha, standardization=False)
-    if name == "Decision Tree Regressor":
-        return DecisionTreeRegressor(**_trees(params))
-    if name == "Random Forest Regressor":
-        return RandomForestRegressor(**_trees(params, count="numTrees"))
     if name == "Gradient Boosting Regressor":
         return GBTRegressor(**_boost(params))
     if name == "Support Vector Regressor":

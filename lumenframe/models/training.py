@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 
 from lumenframe.functions.stats import number, string_columns
 from lumenframe.metrics import classification, clustering, regression
-from lumenframe.models import boost, histogram, importance
+from lumenframe.models import boost, forest, histogram, importance
 from lumenframe.models.neighbors import DensityModel, NeighborModel, fit_neighbors
 from lumenframe.models.estimators import estimator
 from lumenframe.operators.splits import holdout, k_folds, stratified_folds
+from lumenframe.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -142,6 +143,10 @@ def fit(train: DataFrame, config: TrainingConfig) -> tuple[PipelineModel, object
         return prepare, boost.fit_regressor(ready, rounds=rounds), features
     if _on_histograms(config):
         return prepare, histogram.fit(ready, classes, histogram.settings(config.algorithm, config.params)), features
+    if config.algorithm.startswith(("Decision Tree", "Random Forest")):
+        first = ready.select("features").first()
+        s = forest.settings(config.algorithm, config.params, len(first[0]) if first else 1)
+        return prepare, forest.fit(ready, classes, s), features
     if config.algorithm in ("KNN Classifier", "KNN Regressor"):
         votes = config.algorithm == "KNN Classifier"
         return prepare, fit_neighbors(ready, config.key, int(config.params.get("n_neighbors") or 5), votes), features
@@ -192,7 +197,10 @@ def train(df: DataFrame, config: TrainingConfig) -> TrainingResult:
         parts, test_part = marked.where(~F.col("is_test")), marked.where("is_test")
     prepare, model, features = fit(parts, config)
     test = model.transform(prepare.transform(test_part))
-    result = TrainingResult(model, prepare, test, score(test, config.task), features, parts.count())
+    # Test rows go through the model once; every metric reads what was written.
+    read = ("label", "prediction", "probability", "features" if config.task == "clustering" else "prediction")
+    scored = cut_lineage(test.select(*[c for c in dict.fromkeys(read) if c in test.columns]))
+    result = TrainingResult(model, prepare, test, score(scored, config.task), features, parts.count())
     if marked is not None:
         marked.unpersist()
     return result
@@ -258,7 +266,7 @@ def load(path: str) -> tuple[list, object | None]:
         kind = spark.read.schema("kind string").parquet(f"{path}/kind").first()["kind"]
     except AnalysisException:
         return PipelineModel.load(path).stages, None
-    kinds = {m.kind: m for m in (boost.BoostedClassifier, boost.BoostedRegressor, histogram.BoostedTrees, NeighborModel)}
+    kinds = {m.kind: m for m in (boost.BoostedClassifier, boost.BoostedRegressor, histogram.BoostedTrees, forest.Forest, NeighborModel)}
     return PipelineModel.load(f"{path}/prepare").stages, kinds[kind].load(spark, f"{path}/model")
 
 

@@ -3,6 +3,7 @@
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from lumenframe.models import forest as T
 from lumenframe.models import histogram as H
 from lumenframe.models import neighbors as NB
 from lumenframe.models import training as M
@@ -102,6 +103,25 @@ def _(t):
     return rounded(t.spark.createDataFrame(out, "class int, threshold double, left_value double, right_value double"))
 
 
+@query("ml_tree_split", f"""
+WITH cells AS (SELECT floor(o_totalprice / 10000) AS x, {BANDS} AS y FROM orders),
+n AS (SELECT x, k, count(*) FILTER (y = k) AS n FROM cells, range(3) c(k) GROUP BY x, k),
+seen AS (SELECT x, k, sum(n) OVER (PARTITION BY k ORDER BY x) AS l, sum(n) OVER (PARTITION BY k) AS t FROM n),
+gains AS (SELECT x, sum(l * l) / sum(l) + sum((t - l) * (t - l)) / sum(t - l) AS gain, list(l / (SELECT sum(s.l) FROM seen s WHERE s.x = seen.x) ORDER BY k) AS shares
+ FROM seen GROUP BY x HAVING sum(t - l) > 0),
+best AS (SELECT x, shares FROM gains ORDER BY gain DESC, x LIMIT 1)
+SELECT 'halfway' AS source, (x + (SELECT min(c.x) FROM cells c WHERE c.x > best.x)) / 2 AS threshold, {sr('shares[1]')} AS left_0, {sr('shares[2]')} AS left_1 FROM best
+UNION ALL SELECT 'bin', x, {sr('shares[1]')}, {sr('shares[2]')} FROM best""")
+def _(t):
+    """The first split of a tree over three classes, once finished in a task and once from sums over the cluster."""
+    rows = t.orders.select(F.array(F.floor(F.col("o_totalprice") / 10000).cast("double")).alias("features"), F.expr(BANDS).cast("double").alias("label"))
+    out = []
+    for name, limit in (("halfway", T.LIMIT), ("bin", 50)):
+        tree, shares = T.fit(rows, 3, T.Settings(max_depth=1, limit=max(limit, 2))).trees[0]
+        out.append((name, float(tree.threshold[0]), *(float(v) for v in shares[tree.left[0]][:2])))
+    return rounded(t.spark.createDataFrame(out, "source string, threshold double, left_0 double, left_1 double"))
+
+
 @query("ml_linreg", f"""
 SELECT {sr('regr_slope(l_extendedprice, l_quantity)', 3)} AS slope, {sr('regr_intercept(l_extendedprice, l_quantity)', 3)} AS intercept FROM lineitem""")
 def _(t):
