@@ -1,10 +1,13 @@
 """Exact nearest neighbours between two tables of any size.
 
-When one side is small it is shipped to the tasks that hold the other. When both are large, rows
-are grouped around pivot points, and the triangle inequality decides which donors can matter for
-which group of queries (Lu et al., "Efficient processing of k nearest neighbor joins using
-MapReduce", 2012). Groups are cut into blocks of bounded size, so a crowded region becomes many
-tasks. Every block returns only its ``k`` best donors per query.
+When one side is small it is shipped to the tasks that hold the other. When both are large, donors are cut into units of about
+equally many rows (:mod:`lumenframe.operators.boxes`). Each query first meets one unit near it, which bounds the distance of its
+k-th neighbour; then it meets only the units whose boxes come nearer than that bound of its own. Units and the queries that want
+them are cut into blocks of bounded size, so a crowded region becomes many tasks. Every block returns only its ``k`` best
+donors per query. Distances that skip missing features are bounded the same way, by the features that a unit and a query share.
+
+Defined cases: a row whose array of features is null, or of another length than the longest donor's, has no neighbours and is
+no neighbour; so is, without ``nan_aware``, a row with a missing feature; equal distances go to the smaller donor key.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.stats import number
+from lumenframe.operators import boxes as X
+from lumenframe.session import cut_lineage
 
 # Rows and numbers of a side that may be shipped whole, and rows of one block.
 SHIP_ROWS = 20_000
 SHIP_NUMBERS = 4_000_000
 BLOCK_ROWS = 5_000
-PIVOTS = 256
 _TILE = 4_000_000
 
 _PAIR = "qk long, dk long, dist double, val double"
@@ -79,7 +83,7 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 def _slim(df: DataFrame, key: str, features: Sequence[str] | str, carry: str | None) -> DataFrame:
     if isinstance(features, str):
-        cells = F.col(features).cast("array<double>")
+        cells = F.transform(F.col(features).cast("array<double>"), lambda v: F.coalesce(v, F.lit(float("nan"))))
     else:
         # NaN marks a missing feature on both sides.
         cells = F.array(*[F.coalesce(number(c), F.lit(float("nan"))) for c in features])
@@ -105,25 +109,24 @@ def nearest(
 
     Keys are whole numbers. ``features`` is a list of numeric columns, or one array column.
 
-    With ``nan_aware`` distances skip missing features and are scaled up for them. The scaled
-    distance obeys no triangle inequality, so then every block of queries meets every block of donors.
+    With ``nan_aware`` distances skip missing features and are scaled up for them.
     """
     q = _slim(queries, query_key, features, None)
     d = _slim(donors, donor_key, features, carry)
+    width = (d.agg(F.max(F.size("x"))).first()[0] or 0) if isinstance(features, str) else len(features)
+    if isinstance(features, str):
+        q, d = (rows.where(F.size("x") == width) for rows in (q, d))
     limit = ship_rows
     if limit is None:
-        first = d.select(F.size("x")).first()
-        limit = min(SHIP_ROWS, SHIP_NUMBERS // max(1, first[0] if first else 1))
+        limit = min(SHIP_ROWS, SHIP_NUMBERS // max(1, width))
     block = block_rows or BLOCK_ROWS
     # limit + 1 rows are enough to know whether a side is small.
     if q.limit(limit + 1).count() <= limit:
         found = _ship_queries(q, d, k, nan_aware, exclude_same_key)
     elif d.limit(limit + 1).count() <= limit:
         found = _ship_donors(q, d, k, nan_aware, exclude_same_key)
-    elif nan_aware:
-        found = _all_blocks(q, d, k, exclude_same_key, block)
     else:
-        found = _pivot_blocks(q, d, k, exclude_same_key, block)
+        found = _by_units(q, d, k, nan_aware, exclude_same_key, block, width)
     best = Window.partitionBy("qk").orderBy("dist", "dk")
     return (
         found.withColumn("rank", F.row_number().over(best).cast("long"))
@@ -175,82 +178,136 @@ def _ship_donors(q: DataFrame, d: DataFrame, k: int, nan_aware: bool, same: bool
 
 
 def _meet(q: DataFrame, d: DataFrame, on: Sequence[str], k: int, nan_aware: bool, same: bool) -> DataFrame:
+    """The best donors of each query in its group, as far as ``reach``."""
+
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"qk": [], "dk": [], "dist": [], "val": []})
-        return _best(
+        out = _best(
             left["key"].to_numpy(), _matrix(left["x"]), right["key"].to_numpy(), _matrix(right["x"]),
             right["val"].to_numpy(), k, nan_aware, same,
         )
+        reach = left.groupby("key")["reach"].max()
+        return out[out["dist"].to_numpy() <= reach.reindex(out["qk"]).to_numpy()]
 
     return q.groupBy(*on).cogroup(d.groupBy(*on)).applyInPandas(near, _PAIR)
 
 
-def _all_blocks(q: DataFrame, d: DataFrame, k: int, same: bool, block: int) -> DataFrame:
-    nq = -(-q.count() // block)
-    nd = -(-d.count() // block)
-    hashed = F.xxhash64("key")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = q.withColumn("qb", F.pmod(hashed, F.lit(nq))).withColumn("db", each(nd))
-    right = d.withColumn("db", F.pmod(hashed, F.lit(nd))).withColumn("qb", each(nq))
-    return _meet(left, right, ["qb", "db"], k, True, same)
+def _parts(rows: DataFrame, by: str, size: int) -> dict[int, int]:
+    """In how many blocks of at most about ``size`` rows each value of ``by`` (a unit) is cut."""
+    return {r[0]: -(-r[1] // size) for r in rows.groupBy(by).count().collect()}
 
 
-def _pivot_blocks(q: DataFrame, d: DataFrame, k: int, same: bool, block: int) -> DataFrame:
+def _as_table(spark, parts: dict[int, int], names: str) -> DataFrame:
+    """A row per unit: their number is bounded where units are planned."""
+    return F.broadcast(spark.createDataFrame([(int(u), int(n)) for u, n in parts.items()], names))
+
+
+def _spread(q: DataFrame, d: DataFrame, q_parts: dict[int, int], d_parts: dict[int, int], first_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``unit, qb, db``: every block of queries of a unit meets every block of its donors (or the first one)."""
     spark = q.sparkSession
-    # Rows with a missing feature have no plain distance.
-    whole = ~F.exists("x", lambda v: F.isnan(v))
-    q, d = q.where(whole), d.where(whole)
-    drawn = d.orderBy(F.md5(F.col("key").cast("string"))).limit(PIVOTS).select("x").toPandas()
-    if drawn.empty:
+    hashed = F.xxhash64("key")
+    many = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    met = d_parts if not first_only else dict.fromkeys(d_parts, 1)
+    left = q.join(_as_table(spark, q_parts, "unit long, nq long"), "unit").withColumn("qb", F.pmod(hashed, F.col("nq")))
+    left = left.join(_as_table(spark, met, "unit long, nd long"), "unit").withColumn("db", many("nd")).drop("nq", "nd")
+    right = d.join(_as_table(spark, d_parts, "unit long, nd long"), "unit").withColumn("db", F.pmod(hashed, F.col("nd")))
+    if first_only:
+        right = right.where("db = 0")
+    right = right.join(_as_table(spark, q_parts, "unit long, nq long"), "unit").withColumn("qb", many("nq")).drop("nq", "nd")
+    return left, right
+
+
+def _by_units(q: DataFrame, d: DataFrame, k: int, nan_aware: bool, same: bool, block: int, width: int) -> DataFrame:
+    spark = q.sparkSession
+    if not nan_aware:
+        # Rows with a missing feature have no plain distance.
+        whole = ~F.exists("x", lambda v: F.isnan(v))
+        q, d = q.where(whole), d.where(whole)
+    need = k + 1 if same else k
+    size = max(1, min(block // 4, X.UNIT_ROWS))
+    n = d.count()
+    if not n or not width:
         return spark.createDataFrame([], _PAIR)
-    pivots = np.unique(_matrix(drawn["x"]), axis=0)
-    shipped = spark.sparkContext.broadcast(pivots)
+    wanted = int(np.clip(-(-n // size), 1, max(1, X.NUMBERS // width)))
+    units = X.plan_units(X.sampled(d, X.DRAWN * wanted), n, size)
 
-    def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                dist = _distances(_matrix(b["x"]), shipped.value, False)
-                yield b.assign(cell=dist.argmin(axis=1), r=dist.min(axis=1))
-
-    schema = "key long, x array<double>, val double, cell long, r double"
-    qc, dc = q.mapInPandas(cell, schema), d.mapInPandas(cell, schema)
-    q_stats = {s["cell"]: (s["far"], s["n"]) for s in
-               qc.groupBy("cell").agg(F.max("r").alias("far"), F.count("*").alias("n")).collect()}
-    # The smallest radii of each donor cell bound the k-th neighbour distance; k + 1 in case one is the query itself.
-    need = k + 1 if same else k
-    near_pivot = Window.partitionBy("cell").orderBy("r")
-    radii = dc.select("cell", "r").withColumn("i", F.row_number().over(near_pivot)).where(F.col("i") <= need).collect()
-    between = _distances(pivots, pivots, False)
-    reach = np.full(len(pivots), -np.inf)
-    for c, (far, _) in q_stats.items():
-        upper = sorted(far + between[c, s["cell"]] + s["r"] for s in radii)
-        # Fewer donors than asked for: every donor is wanted.
-        bound = upper[need - 1] if len(upper) >= need else np.inf
-        reach[c] = (bound + far) * (1 + 1e-9) + 1e-9
-    reach_b = spark.sparkContext.broadcast(reach)
-
-    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                yield b.assign(unit=units.of_rows(_matrix(b["x"])))
+
+    schema = "key long, x array<double>, val double, unit long"
+    donors = cut_lineage(d.mapInPandas(place, schema))
+    found = X.measure(donors, units.count, width)
+    home = _homes(found, nan_aware, need)
+    search = X.Search(found, nan_aware)
+    d_parts = {u: int(-(-c // block)) for u, c in enumerate(found.rows) if c}
+
+    # One unit near each query bounds its reach.
+    def near_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                row, cells = np.nonzero(_distances(_matrix(b["x"]), shipped.value, False) <= reach_b.value)
-                yield b.iloc[row].assign(cell=cells)
-
-    sent = d.mapInPandas(wanted, "key long, x array<double>, val double, cell long")
-    d_sizes = {s["cell"]: s["n"] for s in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    rows = [(int(c), -(-n // block), max(1, -(-d_sizes.get(c, 0) // block))) for c, (_, n) in q_stats.items()]
-    # One row per pivot at most. Each side gets its own copy, so columns of the two stay apart.
-    for_q = spark.createDataFrame(rows, "cell long, nq long, nd long")
-    for_d = spark.createDataFrame(rows, "cell long, mq long, md long")
-    hashed = F.xxhash64("key")
-    left = (
-        qc.join(F.broadcast(for_q), "cell").withColumn("qb", F.pmod(hashed, F.col("nq")))
-        .withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nd") - 1)))
-        .drop("nq", "nd")
-    )
-    right = (
-        sent.join(F.broadcast(for_d), "cell").withColumn("db", F.pmod(hashed, F.col("md")))
-        .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mq") - 1)))
-        .drop("mq", "md")
-    )
-    return _meet(left, right, ["cell", "qb", "db"], k, False, same)
+                yield b.assign(unit=home(units, _matrix(b["x"])))
+
+    at_home = q.mapInPandas(near_home, schema)
+    left, right = _spread(at_home, donors, _parts(at_home, "unit", block), d_parts, first_only=True)
+    probed = cut_lineage(_reaches(left, right, need, nan_aware, same))
+
+    def wants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                for rows, unit in search.within(_matrix(b["x"]), b["reach"].to_numpy()):
+                    yield b.iloc[rows].assign(unit=unit)
+
+    asked = probed.mapInPandas(wants, "key long, x array<double>, reach double, unit long")
+    left, right = _spread(asked, donors, _parts(asked, "unit", block), d_parts, first_only=False)
+    return _meet(left, right, ["unit", "qb", "db"], k, nan_aware, same)
+
+
+def _homes(found: X.Boxes, nan_aware: bool, need: int):
+    """Where a query looks first: its own unit, or the unit nearest to that which has enough rows in a block (the fullest, where features are
+    missing: a query shares most features with rows that have all)."""
+    rich = np.flatnonzero(found.rows >= need)
+    if not len(rich):
+        rich = np.array([int(found.rows.argmax())])
+    if nan_aware:
+        complete = rich[found.always[rich].sum(axis=1) == found.always[rich].sum(axis=1).max()]
+        middle = (np.where(found.always[complete], found.low[complete], 0) + np.where(found.always[complete], found.high[complete], 0)) / 2
+
+        def home(units: X.Units, x: np.ndarray) -> np.ndarray:
+            there = ~np.isnan(x)
+            out = np.empty(len(x), np.int64)
+            step = max(1, _TILE // max(1, len(complete)))
+            for a in range(0, len(x), step):
+                off = np.zeros((len(x[a : a + step]), len(complete)))
+                for j in range(x.shape[1]):
+                    gap = np.where(there[a : a + step, j], x[a : a + step, j], 0)[:, None] - middle[None, :, j]
+                    off += np.where(there[a : a + step, j][:, None], gap * gap, 0)
+                out[a : a + step] = complete[off.argmin(axis=1)]
+            return out
+
+        return home
+    # Neighbours in number lie close together.
+    near = rich[np.minimum(np.searchsorted(rich, np.arange(len(found.rows))), len(rich) - 1)]
+    return lambda units, x: near[units.of_rows(x)]
+
+
+def _reaches(q: DataFrame, d: DataFrame, need: int, nan_aware: bool, same: bool) -> DataFrame:
+    """``key, x, reach``: the distance of the ``need``-th donor that a query met, infinite where it met fewer."""
+
+    def bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"key": [], "x": [], "reach": []})
+        reach = np.full(len(left), np.inf)
+        if len(right) >= need:
+            x, dx = _matrix(left["x"]), _matrix(right["x"])
+            step = max(1, _TILE // len(dx))
+            for a in range(0, len(x), step):
+                dist = _distances(x[a : a + step], dx, nan_aware)
+                dist = np.where(np.isnan(dist), np.inf, dist)
+                reach[a : a + step] = np.partition(dist, need - 1, axis=1)[:, need - 1]
+        return left[["key", "x"]].assign(reach=reach)
+
+    on = ["unit", "qb", "db"]
+    return q.groupBy(*on).cogroup(d.groupBy(*on)).applyInPandas(bound, "key long, x array<double>, reach double")

@@ -134,8 +134,8 @@ def test_trained_saved_and_loaded(spark, tmp_path, algorithm):
     for r in result.test.select("id", "prediction").collect():
         assert math.isclose(back[r.id], r.prediction)
     assert M.feature_importance(result).orderBy("rank").first().feature == "a"
-    ready = result.prepare.transform(M.shaped(df, config)).withColumn("label", (F.col("id") % (3 if cls else 50)).cast("double"))
-    apart = T.fit(ready, 3 if cls else 0, T.Settings(limit=100), ship=0)
+    ready = result.prepare.transform(M.shaped(df, config)).withColumn("label", (F.col("id") % (5 if cls else 50)).cast("double"))
+    apart = T.fit(ready, 5 if cls else 0, T.Settings(limit=100), ship=0)
     apart.save(spark, f"{tmp_path}/apart")
     loaded = T.Forest.load(spark, f"{tmp_path}/apart")
     assert loaded.subtrees is not None
