@@ -4,10 +4,10 @@ Only confirmed toxic texts are taken as labelled; every other text is unlabelled
 ``prior * E+[loss(f, 1)] + max(0, Eu[loss(f, -1)] - prior * E+[loss(f, -1)])`` (Kiryo et al., "Positive-unlabeled
 learning with non-negative risk estimator", 2017) with the logistic loss, so its output estimates a probability.
 
-Features are the words of a text and the pieces of ``GRAM`` bytes of its words, hashed, present or not. Those that are
-much more frequent in toxic than in unlabelled texts are selected by counts that tasks add up first. Fitting reads
-a bounded sample (``POSITIVES`` and ``UNLABELLED`` documents by the hash of their text, repeated texts once);
-scoring reads every whole text.
+Features are the words of a text, the beginnings of its words and the pieces of ``GRAM`` bytes of them, hashed, present or not; a
+beginning gathers the forms of a word that are each too rare to be learned. Those that are much more frequent in toxic than in
+unlabelled texts are selected by counts that tasks add up first. Fitting reads a bounded sample (``POSITIVES`` and
+``UNLABELLED`` documents by the hash of their text, repeated texts once); scoring reads every whole text.
 
 Labels are read only from rows whose ``crc32(doc_id as text) % 3`` is not 1. Labels, language, source and id are no
 inputs of a score. Defined cases: null and empty texts have no features and get the score of the bias; without a
@@ -28,6 +28,8 @@ from lumenframe.llm import arrays as A
 
 BITS = 20
 GRAM = 5
+#: Bytes of the beginnings of longer words.
+BEGINNINGS = (4, 5, 6, 7, 8)
 POSITIVES, UNLABELLED = 20_000, 40_000
 #: A feature is used when toxic texts have it this many times as often, and this many standard deviations above.
 LIFT, DEVIATIONS, MOST = 5.0, 6.0, 4096
@@ -51,6 +53,11 @@ def features(data, offsets, wanted: np.ndarray | None = None):
     mask = np.uint64((1 << BITS) - 1)
     code = [(A.mix(hashes.ranges(start, end) + (end - start).astype(np.uint64)) & mask).astype(np.int64)]
     rows = [row]
+    for k in BEGINNINGS:
+        long = np.flatnonzero(end - start > k)
+        code.append((A.mix(hashes.ranges(start[long], start[long] + k) + np.uint64(k * A.BASE_B % (1 << 64))) & mask).astype(np.int64))
+        rows.append(row[long])
+    words_end = len(code)
     grams = hashes.windows(GRAM)
     if len(grams):
         inside = np.concatenate([[0], np.cumsum(GAP[low])])
@@ -67,8 +74,9 @@ def features(data, offsets, wanted: np.ndarray | None = None):
         code.append(gram)
         rows.append(np.searchsorted(offsets, at, side="right") - 1)
     if wanted is not None:
-        hit = wanted[code[0]]
-        code[0], rows[0] = code[0][hit], rows[0][hit]
+        for i in range(words_end):
+            hit = wanted[code[i]]
+            code[i], rows[i] = code[i][hit], rows[i][hit]
     both = np.unique((np.concatenate(rows) << BITS) + np.concatenate(code))
     return both >> BITS, both & ((1 << BITS) - 1)
 
