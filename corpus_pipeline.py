@@ -34,9 +34,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic.
+
+    The model is fitted on all documents, also those that went before: their labels count for the prior, and toxic texts are rare.
+    """
     docs = _columns(docs)
-    model = toxicity.fit(docs, _labels(spark, sf_dir))
+    model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), _labels(spark, sf_dir))
     return _columns(toxicity.clean(docs, model))
 
 
