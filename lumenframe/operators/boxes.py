@@ -4,11 +4,13 @@ Rows with the same features present form a pattern. Each frequent pattern gets a
 share one. A leaf is a unit, and its box is measured on all its rows, not on the sample. For a query the nearest possible row of a unit
 follows from the box on the features that both have, also where distances skip missing features and are scaled up for them.
 Boxes are compared in two steps: first those around groups of units, then the units of the groups that are near enough.
+
+A unit and the rows that ask for it meet in blocks of bounded size, so a crowded unit is many tasks on both sides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.session import cut_lineage
+
 #: Rows of a unit that is aimed at, and numbers in all boxes.
 UNIT_ROWS = 1_000
 NUMBERS = 1_000_000
@@ -23,6 +27,8 @@ NUMBERS = 1_000_000
 DRAWN = 4
 PATTERNS = 64
 _TILE = 4_000_000
+#: Rows of a block where all pairs within reach come out.
+PAIR_ROWS = 1_000
 
 
 def patterns_of(x: np.ndarray) -> np.ndarray:
@@ -249,3 +255,88 @@ def sampled(rows: DataFrame, n: int) -> np.ndarray:
     """``x`` of at most ``n`` rows, drawn by a digest of their key; bounded by the numbers that all boxes may have."""
     drawn = rows.orderBy(F.md5(F.col("key").cast("string"))).limit(n).select("x").toPandas()
     return np.array(drawn["x"].tolist(), float).reshape(len(drawn), -1)
+
+
+def parts(rows: DataFrame, size: int) -> dict[int, int]:
+    """In how many blocks of about ``size`` rows each unit of ``rows`` is cut; one row per unit comes to the driver."""
+    return {r[0]: -(-r[1] // size) for r in rows.groupBy("unit").count().collect()}
+
+
+def _as_table(spark, cuts: dict[int, int], names: str) -> DataFrame:
+    """A row per unit: their number is bounded where units are planned."""
+    return F.broadcast(spark.createDataFrame([(int(u), int(n)) for u, n in cuts.items()], names))
+
+
+def spread(q: DataFrame, d: DataFrame, q_parts: dict[int, int], d_parts: dict[int, int], first_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``unit, qb, db``: every block of rows that ask for a unit meets every block of its own rows (or the first one)."""
+    spark = q.sparkSession
+    hashed = F.xxhash64("key")
+    many = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    met = d_parts if not first_only else dict.fromkeys(d_parts, 1)
+    left = q.join(_as_table(spark, q_parts, "unit long, nq long"), "unit").withColumn("qb", F.pmod(hashed, F.col("nq")))
+    left = left.join(_as_table(spark, met, "unit long, nd long"), "unit").withColumn("db", many("nd")).drop("nq", "nd")
+    right = d.join(_as_table(spark, d_parts, "unit long, nd long"), "unit").withColumn("db", F.pmod(hashed, F.col("nd")))
+    if first_only:
+        right = right.where("db = 0")
+    right = right.join(_as_table(spark, q_parts, "unit long, nq long"), "unit").withColumn("qb", many("nq")).drop("nq", "nd")
+    return left, right
+
+
+def as_matrix(col: pd.Series) -> np.ndarray:
+    return np.array(col.tolist(), dtype=float).reshape(len(col), -1)
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a to all rows of b, feature by feature."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        gap = a[:, j : j + 1] - b[None, :, j]
+        total += gap * gap
+    return total
+
+
+def range_pairs(points: DataFrame, width: int, reach: float, limit: float, power: Callable = squares, both: bool = False,
+                block: int = PAIR_ROWS) -> DataFrame:
+    """``left, right, square`` for rows of ``points(key, x)`` with ``power(x of left, x of right) <= limit``.
+
+    Such rows are no farther apart than ``reach``, which boxes tell. Smaller keys stand left; with ``both``, every pair comes in both orders and
+    every row with itself. Features have no gaps.
+    """
+    spark = points.sparkSession
+    kind = points.schema["key"].dataType.simpleString()
+    schema = f"left {kind}, right {kind}, square double"
+    n = points.count()
+    if not n or not width:
+        return spark.createDataFrame([], schema)
+    size = max(1, min(block // 4, UNIT_ROWS))
+    wanted = int(np.clip(-(-n // size), 1, max(1, NUMBERS // width)))
+    units = plan_units(sampled(points, DRAWN * wanted), n, size)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(unit=units.of_rows(as_matrix(b["x"])))
+
+    placed = cut_lineage(points.select("key", "x").mapInPandas(place, f"key {kind}, x array<double>, unit long"))
+    found = measure(placed, units.count, width)
+    search = Search(found, False)
+
+    def wants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                for rows, unit in search.within(as_matrix(b["x"]), np.full(len(b), reach)):
+                    yield b.iloc[rows].assign(unit=unit)
+
+    asked = placed.select("key", "x").mapInPandas(wants, f"key {kind}, x array<double>, unit long")
+    left, right = spread(asked, placed, parts(asked, block), {u: int(-(-c // block)) for u, c in enumerate(found.rows) if c})
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"left": [], "right": [], "square": []})
+        keys_a, keys_b = a["key"].to_numpy(), b["key"].to_numpy()
+        square = power(as_matrix(a["x"]), as_matrix(b["x"]))
+        i, j = np.nonzero((square <= limit) & (True if both else keys_a[:, None] < keys_b[None, :]))
+        return pd.DataFrame({"left": keys_a[i], "right": keys_b[j], "square": square[i, j]})
+
+    on: Sequence[str] = ["unit", "qb", "db"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(meet, schema)

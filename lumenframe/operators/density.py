@@ -2,7 +2,8 @@
 
 Cells are so small that all rows of one cell are within the radius of each other (Gunawan, 2013).
 A cell with enough rows is dense as a whole and needs no pairs. Only rows of thin cells are compared
-with neighbouring cells. Two cells are linked when some core rows are close; bounding boxes decide
+with neighbouring cells. Which occupied cells are neighbours is found once, by a range search over boxes around cells, so the number of
+columns does not multiply anything. Two cells are linked when some core rows are close; bounding boxes decide
 most links, and boxes too full to compare row by row are split until they decide.
 """
 
@@ -10,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import product
-from math import ceil, sqrt
+from math import sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.stats import number
+from lumenframe.operators.boxes import range_pairs
 from lumenframe.operators.graph import connected_components
 from lumenframe.session import cut_lineage
 
@@ -41,6 +43,25 @@ def _box_gaps(d: int) -> tuple[Column, Column]:
     return reduce(Column.__add__, near), reduce(Column.__add__, far)
 
 
+def _between_cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared number of whole cells between the cells of a and b."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        gap = np.maximum(np.abs(a[:, j : j + 1] - b[None, :, j]) - 1, 0.0)
+        total += gap * gap
+    return total
+
+
+def _neighbours(cells: DataFrame, d: int) -> DataFrame:
+    """``(cell, near)`` for occupied cells that may hold rows within the radius of each other, each cell with itself.
+
+    The side of a cell is the radius over the root of d. At most root of d cells between two cells add up to no more than twice that root between
+    their places.
+    """
+    found = range_pairs(cells, d, 2 * sqrt(d) + 1e-6, d * (1 + 1e-9), _between_cells, both=True)
+    return cut_lineage(found.select(F.col("left").alias("cell"), F.col("right").alias("near")))
+
+
 def dbscan(
     df: DataFrame, key: str, cols: Sequence[str], eps: float, min_samples: int = 5, *, direct_pairs: int | None = None
 ) -> DataFrame:
@@ -53,29 +74,20 @@ def dbscan(
     side = eps / sqrt(d) * (1 - 1e-12)
     limit = DIRECT_PAIRS if direct_pairs is None else direct_pairs
     xs = [f"x{i}" for i in range(d)]
-    cell = F.array(*[F.floor(F.col(x) / F.lit(side)) for x in xs])
+    place = F.array(*[F.floor(F.col(x) / F.lit(side)).cast("double") for x in xs])
+    cell = F.array_join(F.transform(place, lambda v: v.cast("long").cast("string")), ",")
     points = df.select(F.col(key).cast("long").alias("key"), *[number(c).alias(x) for c, x in zip(cols, xs)])
     placed = reduce(Column.__and__, [F.col(x).isNotNull() for x in xs])
     unplaced = points.where(~placed).select("key", F.lit(False).alias("is_core"), F.lit(-1).cast("long").alias("cluster"))
     points = points.where(placed).withColumn("cell", cell)
-    reach = ceil(sqrt(d))
-    moves = [
-        m for m in product(range(-reach, reach + 1), repeat=d)
-        if sum((max(abs(o) - 1, 0) * side) ** 2 for o in m) <= eps * eps
-    ]
-
-    def around(own: bool) -> Column:
-        """Neighbouring cells, with or without the cell itself; the moves are one constant, added by a lambda."""
-        steps = F.array(*[F.array(*[F.lit(o).cast("long") for o in m]) for m in moves if own or any(m)])
-        return F.explode(F.transform(steps, lambda m: F.zip_with("cell", m, lambda a, b: a + b)))
-
     sizes = points.groupBy("cell").agg(F.count("*").alias("rows"))
     sized = cut_lineage(points.join(sizes, "cell"))
+    near = _neighbours(sized.groupBy("cell").agg(F.first(place).alias("x")).withColumnRenamed("cell", "key"), d)
     dense = sized.where(F.col("rows") >= min_samples)
     thin = sized.where(F.col("rows") < min_samples)
     # Rows at the same place are merged before they are compared with anything.
     places = sized.groupBy("cell", *xs).agg(F.count("*").alias("weight"))
-    met = thin.select("key", *xs, around(True).alias("near")).alias("a").join(
+    met = thin.select("key", *xs, "cell").join(near, "cell").alias("a").join(
         places.alias("b"), F.col("a.near") == F.col("b.cell")
     )
     close = met.where(_square_gap(d, "a", "b") <= eps * eps)
@@ -85,13 +97,13 @@ def dbscan(
     names = core.groupBy("cell").agg(F.min("key").alias("name"))
     # Cells never hold more names than rows; the links are found between names.
     named = core.join(names, "cell")
-    links = _links(named, names, d, eps, side, around(False), limit)
+    links = _links(named, names, d, eps, side, near.where("cell <> near"), limit)
     components = connected_components(names.select(F.col("name").alias("node")), links)
     labelled = named.join(components, F.col("name") == F.col("node")).select("key", "cell", *xs, F.col("component").alias("cluster"))
     labelled = cut_lineage(labelled)
     rest = thin.join(core.select("key"), "key", "left_anti")
     spots = labelled.select("cell", *xs, "cluster").distinct()
-    touched = rest.select("key", *xs, around(True).alias("near")).alias("a").join(
+    touched = rest.select("key", *xs, "cell").join(near, "cell").alias("a").join(
         spots.alias("b"), F.col("a.near") == F.col("b.cell")
     ).where(_square_gap(d, "a", "b") <= eps * eps).groupBy("a.key").agg(F.min("b.cluster").alias("cluster"))
     border = rest.select("key").join(touched, "key", "left").select(
@@ -100,12 +112,12 @@ def dbscan(
     return labelled.select("key", F.lit(True).alias("is_core"), "cluster").union(border).union(unplaced)
 
 
-def _links(named: DataFrame, names: DataFrame, d: int, eps: float, side: float, near: Column, limit: int) -> DataFrame:
+def _links(named: DataFrame, names: DataFrame, d: int, eps: float, side: float, near: DataFrame, limit: int) -> DataFrame:
     """``(src, dst)`` for neighbouring cells with core rows within the radius."""
     xs = [f"x{i}" for i in range(d)]
     spots = named.select("name", "cell", *xs).distinct().withColumn("box", F.lit(""))
     pairs = (
-        names.select(F.col("name").alias("src"), near.alias("near"))
+        names.select(F.col("name").alias("src"), "cell").join(near, "cell").drop("cell")
         .join(names.select(F.col("name").alias("dst"), "cell"), F.col("near") == F.col("cell"))
         .where("src < dst")
         .select("src", "dst", F.lit("").alias("src_box"), F.lit("").alias("dst_box"))

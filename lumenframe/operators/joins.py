@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.stats import number
+from lumenframe.operators.boxes import range_pairs
 
 
 def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -65,24 +65,14 @@ def follow(df: DataFrame, steps: Sequence[tuple[DataFrame, str, str]]) -> DataFr
 def pairs_within(df: DataFrame, key: str, cols: Sequence[str], radius: float) -> DataFrame:
     """Pairs of rows (smaller key first) no farther apart than ``radius``.
 
-    Rows meet only in grid cells of that width: one side is copied to the neighbouring cells.
+    Rows meet only where the boxes of their units come that near; a crowded unit is cut into blocks on both sides. A row with a
+    missing value, or without a key, is in no pair.
     """
-    cells = [F.floor(number(c) / F.lit(radius)).alias(f"g{i}") for i, c in enumerate(cols)]
-    base = df.select(F.col(key).alias("k"), *[number(c).alias(f"x{i}") for i, c in enumerate(cols)], *cells)
-    names = [f"g{i}" for i in range(len(cols))]
-    steps = [
-        F.struct(*[F.lit(d).cast("long").alias(f"d{i}") for i, d in enumerate(move)])
-        for move in product((-1, 0, 1), repeat=len(cols))
-    ]
-    spread = base.withColumn("m", F.explode(F.array(*steps)))
-    spread = spread.withColumns({n: F.col(n) + F.col(f"m.d{i}") for i, n in enumerate(names)}).drop("m")
-    a, b = base.alias("a"), spread.alias("b")
-    same = reduce(Column.__and__, [F.col(f"a.{n}") == F.col(f"b.{n}") for n in names])
-    square = reduce(
-        Column.__add__, [(F.col(f"a.x{i}") - F.col(f"b.x{i}")) * (F.col(f"a.x{i}") - F.col(f"b.x{i}")) for i in range(len(cols))]
-    )
-    met = a.join(b, same & (F.col("a.k") < F.col("b.k")) & (square <= radius * radius))
-    return met.select(F.col("a.k").alias("left_key"), F.col("b.k").alias("right_key"), F.sqrt(square).alias("distance"))
+    cells = [number(c) for c in cols]
+    known = reduce(Column.__and__, [c.isNotNull() for c in cells], F.col(key).isNotNull())
+    points = df.where(known).select(F.col(key).alias("key"), F.array(*cells).alias("x"))
+    found = range_pairs(points, len(cols), radius, radius * radius)
+    return found.select(F.col("left").alias("left_key"), F.col("right").alias("right_key"), F.sqrt("square").alias("distance"))
 
 
 def delete_children(children: DataFrame, key: str, deleted: DataFrame, other: str) -> DataFrame:

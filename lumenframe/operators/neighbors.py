@@ -77,10 +77,6 @@ def _best(qk, qx, dk, dx, dv, k: int, nan_aware: bool, same: bool) -> pd.DataFra
     return pd.concat(parts) if parts else pd.DataFrame({"qk": [], "dk": [], "dist": [], "val": []})
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.array(col.tolist(), dtype=float).reshape(len(col), -1)
-
-
 def _slim(df: DataFrame, key: str, features: Sequence[str] | str, carry: str | None) -> DataFrame:
     if isinstance(features, str):
         cells = F.transform(F.col(features).cast("array<double>"), lambda v: F.coalesce(v, F.lit(float("nan"))))
@@ -145,7 +141,7 @@ def _ship_queries(q: DataFrame, d: DataFrame, k: int, nan_aware: bool, same: boo
     rows = q.toPandas()
     if rows.empty:
         return d.sparkSession.createDataFrame([], _PAIR)
-    shipped = d.sparkSession.sparkContext.broadcast((rows["key"].to_numpy(), _matrix(rows["x"])))
+    shipped = d.sparkSession.sparkContext.broadcast((rows["key"].to_numpy(), X.as_matrix(rows["x"])))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, x = shipped.value
@@ -153,7 +149,7 @@ def _ship_queries(q: DataFrame, d: DataFrame, k: int, nan_aware: bool, same: boo
         for b in batches:
             if not len(b):
                 continue
-            new = _best(keys, x, b["key"].to_numpy(), _matrix(b["x"]), b["val"].to_numpy(), k, nan_aware, same)
+            new = _best(keys, x, b["key"].to_numpy(), X.as_matrix(b["x"]), b["val"].to_numpy(), k, nan_aware, same)
             held = new if held is None else pd.concat([held, new])
             held = held.sort_values(["qk", "dist", "dk"]).groupby("qk").head(k)
         if held is not None:
@@ -165,14 +161,14 @@ def _ship_queries(q: DataFrame, d: DataFrame, k: int, nan_aware: bool, same: boo
 def _ship_donors(q: DataFrame, d: DataFrame, k: int, nan_aware: bool, same: bool) -> DataFrame:
     rows = d.toPandas()
     shipped = d.sparkSession.sparkContext.broadcast(
-        (rows["key"].to_numpy(), _matrix(rows["x"]) if len(rows) else None, rows["val"].to_numpy())
+        (rows["key"].to_numpy(), X.as_matrix(rows["x"]) if len(rows) else None, rows["val"].to_numpy())
     )
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, x, val = shipped.value
         for b in batches:
             if len(b) and len(keys):
-                yield _best(b["key"].to_numpy(), _matrix(b["x"]), keys, x, val, k, nan_aware, same)
+                yield _best(b["key"].to_numpy(), X.as_matrix(b["x"]), keys, x, val, k, nan_aware, same)
 
     return q.mapInPandas(near, _PAIR)
 
@@ -184,7 +180,7 @@ def _meet(q: DataFrame, d: DataFrame, on: Sequence[str], k: int, nan_aware: bool
         if not len(left) or not len(right):
             return pd.DataFrame({"qk": [], "dk": [], "dist": [], "val": []})
         out = _best(
-            left["key"].to_numpy(), _matrix(left["x"]), right["key"].to_numpy(), _matrix(right["x"]),
+            left["key"].to_numpy(), X.as_matrix(left["x"]), right["key"].to_numpy(), X.as_matrix(right["x"]),
             right["val"].to_numpy(), k, nan_aware, same,
         )
         reach = left.groupby("key")["reach"].max()
@@ -193,31 +189,6 @@ def _meet(q: DataFrame, d: DataFrame, on: Sequence[str], k: int, nan_aware: bool
     return q.groupBy(*on).cogroup(d.groupBy(*on)).applyInPandas(near, _PAIR)
 
 
-def _parts(rows: DataFrame, by: str, size: int) -> dict[int, int]:
-    """In how many blocks of at most about ``size`` rows each value of ``by`` (a unit) is cut."""
-    return {r[0]: -(-r[1] // size) for r in rows.groupBy(by).count().collect()}
-
-
-def _as_table(spark, parts: dict[int, int], names: str) -> DataFrame:
-    """A row per unit: their number is bounded where units are planned."""
-    return F.broadcast(spark.createDataFrame([(int(u), int(n)) for u, n in parts.items()], names))
-
-
-def _spread(q: DataFrame, d: DataFrame, q_parts: dict[int, int], d_parts: dict[int, int], first_only: bool) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``unit, qb, db``: every block of queries of a unit meets every block of its donors (or the first one)."""
-    spark = q.sparkSession
-    hashed = F.xxhash64("key")
-    many = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    met = d_parts if not first_only else dict.fromkeys(d_parts, 1)
-    left = q.join(_as_table(spark, q_parts, "unit long, nq long"), "unit").withColumn("qb", F.pmod(hashed, F.col("nq")))
-    left = left.join(_as_table(spark, met, "unit long, nd long"), "unit").withColumn("db", many("nd")).drop("nq", "nd")
-    right = d.join(_as_table(spark, d_parts, "unit long, nd long"), "unit").withColumn("db", F.pmod(hashed, F.col("nd")))
-    if first_only:
-        right = right.where("db = 0")
-    right = right.join(_as_table(spark, q_parts, "unit long, nq long"), "unit").withColumn("qb", many("nq")).drop("nq", "nd")
-    return left, right
-
-
 def _by_units(q: DataFrame, d: DataFrame, k: int, nan_aware: bool, same: bool, block: int, width: int) -> DataFrame:
     spark = q.sparkSession
     if not nan_aware:
@@ -235,7 +206,7 @@ def _by_units(q: DataFrame, d: DataFrame, k: int, nan_aware: bool, same: bool, b
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(unit=units.of_rows(_matrix(b["x"])))
+                yield b.assign(unit=units.of_rows(X.as_matrix(b["x"])))
 
     schema = "key long, x array<double>, val double, unit long"
     donors = cut_lineage(d.mapInPandas(place, schema))
@@ -248,20 +219,20 @@ def _by_units(q: DataFrame, d: DataFrame, k: int, nan_aware: bool, same: bool, b
     def near_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(unit=home(units, _matrix(b["x"])))
+                yield b.assign(unit=home(units, X.as_matrix(b["x"])))
 
     at_home = q.mapInPandas(near_home, schema)
-    left, right = _spread(at_home, donors, _parts(at_home, "unit", block), d_parts, first_only=True)
+    left, right = X.spread(at_home, donors, X.parts(at_home, block), d_parts, first_only=True)
     probed = cut_lineage(_reaches(left, right, need, nan_aware, same))
 
     def wants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                for rows, unit in search.within(_matrix(b["x"]), b["reach"].to_numpy()):
+                for rows, unit in search.within(X.as_matrix(b["x"]), b["reach"].to_numpy()):
                     yield b.iloc[rows].assign(unit=unit)
 
     asked = probed.mapInPandas(wants, "key long, x array<double>, reach double, unit long")
-    left, right = _spread(asked, donors, _parts(asked, "unit", block), d_parts, first_only=False)
+    left, right = X.spread(asked, donors, X.parts(asked, block), d_parts)
     return _meet(left, right, ["unit", "qb", "db"], k, nan_aware, same)
 
 
@@ -301,7 +272,7 @@ def _reaches(q: DataFrame, d: DataFrame, need: int, nan_aware: bool, same: bool)
             return pd.DataFrame({"key": [], "x": [], "reach": []})
         reach = np.full(len(left), np.inf)
         if len(right) >= need:
-            x, dx = _matrix(left["x"]), _matrix(right["x"])
+            x, dx = X.as_matrix(left["x"]), X.as_matrix(right["x"])
             step = max(1, _TILE // len(dx))
             for a in range(0, len(x), step):
                 dist = _distances(x[a : a + step], dx, nan_aware)

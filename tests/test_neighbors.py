@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import boxes as X
+from lumenframe.operators import joins as J
 from lumenframe.operators import neighbors as N
+from lumenframe.operators.density import dbscan
 
 
 def brute(q, d, k, nan_aware, same=False):
@@ -116,3 +118,58 @@ def test_boxes_bound_every_row():
             assert (low <= np.where(np.isnan(dist[:, p]), np.inf, dist[:, p]).min(axis=1) + 1e-9).all()
     found = {(i, u) for rows, us in X.Search(boxes, True).within(q, np.full(len(q), 1.0)) for i, u in zip(rows, us)}
     assert found >= {(i, place[j]) for i, j in zip(*np.nonzero(dist <= 1.0))}
+
+
+def test_pairs_within_a_radius(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 4)), np.full((60, 4), 9.0), rng.normal(size=(60, 4)) * 8])
+    df = spark.createDataFrame([(f"k{i:04d}", *map(float, r)) for i, r in enumerate(x)] + [("gap", None, 1.0, 1.0, 1.0), (None, 9.0, 9.0, 9.0, 9.0)],
+                               "id string, a double, b double, c double, d double").repartition(3)
+    cols = ["a", "b", "c", "d"]
+    square = N._distances(x, x, False) ** 2
+    want = {(f"k{i:04d}", f"k{j:04d}") for i, j in zip(*np.nonzero(square <= 0.5)) if i < j}
+    for got in (J.pairs_within(df, "id", cols, np.sqrt(0.5) + 1e-12), small_blocks(df, cols)):
+        rows = got.collect()
+        assert {(r.left_key, r.right_key) for r in rows} == want and len(rows) == len(want)
+    assert J.pairs_within(df.limit(0), "id", cols, 1.0).count() == 0
+
+
+def small_blocks(df, cols):
+    points = df.where("a is not null and id is not null").select(F.col("id").alias("key"), F.array(*cols).alias("x"))
+    found = X.range_pairs(points, 4, np.sqrt(0.5) + 1e-12, 0.5 + 1e-12, block=20)
+    return found.select(F.col("left").alias("left_key"), F.col("right").alias("right_key"))
+
+
+def test_a_crowded_unit_is_many_tasks(spark, monkeypatch):
+    """A third of the rows at one place: no block of either side holds more than about its share."""
+    seen = []
+    spread = X.spread
+    monkeypatch.setattr(X, "spread", lambda *a, **k: seen.append(spread(*a, **k)) or seen[-1])
+    x = np.concatenate([np.random.default_rng(6).normal(size=(400, 2)) * 30, np.full((200, 2), 1.0)])
+    points = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "key long, x array<double>")
+    found = X.range_pairs(points, 2, 0.1, 0.01, block=20)
+    assert found.where("left >= 400").count() == 200 * 199 // 2
+    for side in seen[0]:
+        most = side.groupBy("unit", "qb", "db").count().agg(F.max("count")).first()[0]
+        assert most <= 60
+
+
+def test_density_of_many_columns(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(80, 8)) * 0.4, rng.normal(size=(60, 8)) * 0.4 + 4, rng.uniform(-6, 10, size=(40, 8)), np.full((12, 8), 2.0)])
+    cols = [f"c{i}" for i in range(8)]
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "key long, " + ", ".join(f"{c} double" for c in cols))
+    near = N._distances(x, x, False) <= 1.2
+    core = near.sum(axis=1) >= 5
+    label = {}
+    for i in np.flatnonzero(core):
+        if i not in label:
+            stack, label[i] = [i], int(i)
+            while stack:
+                for j in np.flatnonzero(near[stack.pop()] & core):
+                    if j not in label:
+                        label[j] = int(i)
+                        stack.append(j)
+    want = {i: label.get(i, min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1)) for i in range(len(x))}
+    got = dbscan(df, "key", cols, 1.2, 5).collect()
+    assert {r.key: r.cluster for r in got} == want and {r.key for r in got if r.is_core} == set(np.flatnonzero(core))
