@@ -4,7 +4,8 @@ The best segmentation of a text is the sequence of pieces with the highest sum o
 of a run of word marks (spaces), and characters that occur in no longer piece stand alone, so a text falls into marked
 words whose best segmentations are independent. The distinct words of a batch are sorted, which lays them out as a trie
 in depth-first order: going from one word to the next, the forward scores and open matches of the common prefix stay, and
-only the rest is searched. Characters without a piece are spelled in bytes.
+only the rest is searched. Characters without a piece are spelled in bytes. A worker keeps the segmentations of words that came
+more than once; a text is a list of numbers of words, and its ids are gathered from one flat array.
 
 The vocabulary is read from the model file; nothing is trained. Scores are the file's own; with a file made for merges,
 they rank pieces, and the result is the best-scoring segmentation, not the order of merges.
@@ -17,6 +18,7 @@ repeated rows are encoded each, other columns are not read, an empty table gives
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm import arrays as A
 
 MARK = "▁"
-#: Segmentations that a worker keeps between batches.
-KEPT = 300_000
-SLICE = 2 << 20
+#: Segmentations that a worker holds; past it, those of words that came once go.
+KEPT = 400_000
+SLICE = 4 << 20
 
 
 class Vocabulary:
@@ -72,47 +74,51 @@ class Vocabulary:
         """The marked words of a text."""
         return self.split.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each word; ``words`` rise and are distinct."""
         out = {}
-        best, back, open_ = [0.0], [(0, -1)], [[]]
+        # Per place: best score up to it, start and id of its last piece, and what may still grow: (score at start, start, children).
+        states: list[tuple] = [(0.0, 0, -1, ())]
         before = ""
-        root, unknown = self.root, self.unknown
+        first, unknown, spelled = self.root.get, self.unknown, self.bytes
         for word in words:
             depth, most = 0, min(len(before), len(word))
             while depth < most and before[depth] == word[depth]:
                 depth += 1
-            del best[depth + 1 :], back[depth + 1 :], open_[depth + 1 :]
+            del states[depth + 1 :]
             for d in range(depth, len(word)):
                 c = word[d]
-                matches, top, link = [], None, None
-                for start, children in open_[d]:
+                base, _, _, growing = states[d]
+                matches, top, at, piece = [], None, d, -1
+                for score, start, children in growing:
                     entry = children.get(c)
                     if entry is not None:
-                        if entry[2]:
-                            matches.append((start, entry[2]))
-                        if entry[0] >= 0 and (top is None or best[start] + entry[1] > top):
-                            top, link = best[start] + entry[1], (start, entry[0])
-                entry = root.get(c)
-                if entry is not None and entry[2]:
-                    matches.append((d, entry[2]))
-                if entry is not None and entry[0] >= 0:
-                    if top is None or best[d] + entry[1] > top:
-                        top, link = best[d] + entry[1], (d, entry[0])
-                elif top is None or best[d] + unknown > top:
-                    top, link = best[d] + unknown, (d, -1)
-                best.append(top)
-                back.append(link)
-                open_.append(matches)
+                        i, gain, more = entry
+                        if more:
+                            matches.append((score, start, more))
+                        if i >= 0 and (top is None or score + gain > top):
+                            top, at, piece = score + gain, start, i
+                entry = first(c)
+                gain = unknown
+                i = -1
+                if entry is not None:
+                    if entry[2]:
+                        matches.append((base, d, entry[2]))
+                    if entry[0] >= 0:
+                        i, gain, _ = entry
+                if top is None or base + gain > top:
+                    top, at, piece = base + gain, d, i
+                states.append((top, at, piece, matches))
             ids, at = [], len(word)
             while at:
-                start, i = back[at]
-                if i >= 0:
-                    ids.append(i)
+                _, start, piece, _ = states[at]
+                if piece >= 0:
+                    ids.append(piece)
                 else:
-                    ids += [self.bytes[b] for b in reversed(word[start].encode())]
+                    ids += [spelled[b] for b in reversed(word[start].encode())]
                 at = start
-            out[word] = tuple(reversed(ids))
+            ids.reverse()
+            out[word] = ids
             before = word
         return out
 
@@ -122,6 +128,50 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
+class Known:
+    """Segmentations by number of the word, in one flat array."""
+
+    def __init__(self, vocab: Vocabulary, most: int = KEPT):
+        self.vocab, self.most = vocab, most
+        self.number: dict[str, int] = {}
+        self.flat, self.ends = array("i"), array("q", [0])
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words used more than once since the last time, the most used ones where they are many."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: self.most // 2]])
+        ids, lengths = self.ids(keep)
+        names = list(self.number)
+        self.number = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.flat = array("i", ids.tobytes())
+        self.ends = array("q", np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64).tobytes())
+        self.uses = np.zeros(len(keep), np.int64)
+
+    def learn(self, words: Iterable[str]) -> None:
+        if len(self.number) > self.most:
+            self._forget()
+        new = set(words) - self.number.keys()
+        for word, ids in self.vocab.encode(sorted(new)).items():
+            self.number[word] = len(self.number)
+            self.flat.extend(ids)
+            self.ends.append(len(self.flat))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        uses = np.bincount(out, minlength=len(self.number))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        return out
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has."""
+        ends, flat = np.array(self.ends), np.array(self.flat, np.int32)
+        lengths = ends[numbers + 1] - ends[numbers]
+        return flat[np.repeat(ends[numbers], lengths) + A.ranges_of(lengths)], lengths
+
+
 _LOADED: dict[str, Vocabulary] = {}
 
 
@@ -144,24 +194,27 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     path = path or default_file()
 
     def run(batches):
-        vocab, known = vocabulary(path), {}
+        vocab = vocabulary(path)
+        known = Known(vocab)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             at, parts = 0, []
             while at < len(texts):
-                split, size = [], 0
-                while at < len(texts) and (not split or size < SLICE):
-                    split.append(None if texts[at] is None else vocab.words(texts[at]))
+                words, sizes, size = [], [], 0
+                while at < len(texts) and (not sizes or size < SLICE):
+                    mine = vocab.words(texts[at] or "")
+                    words += mine
+                    sizes.append(len(mine))
                     size += len(texts[at] or "")
                     at += 1
-                if len(known) > KEPT:
-                    known.clear()
-                new = set(chain.from_iterable(w for w in split if w)) - known.keys()
-                known.update(vocab.encode(sorted(new)))
-                found = [None if w is None else list(chain.from_iterable([known[x] for x in w])) for w in split]
-                parts.append(pa.array(found, pa.list_(pa.int32())))
+                known.learn(words)
+                ids, lengths = known.ids(known.numbers(words))
+                upto = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
+                gaps = np.array([t is None for t in texts[at - len(sizes) : at]])
+                parts.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(gaps)))
             ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+            A.release()
 
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, ids array<int>")
 
