@@ -38,6 +38,8 @@ GRAM = 24
 SLICE = 1 << 19
 #: Segments of one anchor beyond which its windows are dealt out by their own hash.
 CROWD = 256
+#: Bytes of a suffix that are compared as one number before its hashes.
+HEAD = 8
 #: Suffixes sorted at a time.
 SORT_ENTRIES = 300_000
 POSITION_BITS = np.uint64(26)
@@ -340,10 +342,14 @@ def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, lengt
     """Order of suffixes by group and then by their first ``length`` bytes: a mergesort of all groups at once.
 
     ``group`` rises. Runs of a group double in each round; a suffix finds its place in the sister run by binary
-    search, and each comparison finds the common extension of two suffixes by hashes and then looks at one byte.
+    search. A comparison looks at the first ``HEAD`` bytes as one number; where they are equal, it finds the common extension of two
+    suffixes by hashes and then looks at one byte.
     """
     hashes = hashes or A.PrefixHash(data, A.BASE_A)
     padded = np.concatenate([data, np.zeros(1, np.uint8)])
+    head = np.zeros(len(suffix), np.uint64)
+    for k in range(min(HEAD, length)):
+        head = (head << np.uint64(8)) | data[suffix + k]
     order = np.arange(len(suffix))
     begin = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0])) if len(group) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(group)))
@@ -358,17 +364,20 @@ def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, lengt
         paired = other < start_of[act] + size_of[act]
         act, inner, run, other, end = (v[paired] for v in (act, inner, run, other, end))
         lo, hi = other.copy(), end.copy()
-        mine = suffix[order[act]]
+        mine, mine_head = suffix[order[act]], head[order[act]]
         right = (run & 1) == 1
         while True:
             wide = np.flatnonzero(lo < hi)
             if not len(wide):
                 break
             mid = (lo[wide] + hi[wide]) >> 1
-            x, y = mine[wide], suffix[order[mid]]
+            head_x, head_y = mine_head[wide], head[order[mid]]
+            smaller = head_y < head_x
+            open_ = np.flatnonzero(head_x == head_y)
+            x, y = mine[wide[open_]], suffix[order[mid[open_]]]
             same = common_extension(hashes, x, y, length)
             tie = same == length
-            smaller = np.where(tie, right[wide], padded[np.where(tie, 0, y + same)] < padded[np.where(tie, 0, x + same)])
+            smaller[open_] = np.where(tie, right[wide[open_]], padded[np.where(tie, 0, y + same)] < padded[np.where(tie, 0, x + same)])
             lo[wide] = np.where(smaller, mid + 1, lo[wide])
             hi[wide] = np.where(smaller, hi[wide], mid)
         pair = start_of[act] + (run >> 1) * (2 * width)

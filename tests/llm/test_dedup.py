@@ -129,3 +129,22 @@ def test_prefixes_share_an_entry():
             entries.append(set(signatures(len(c), c[o], t[o], 75, 64).tolist()))
         assert entries[0] & entries[1]
     assert len(tiers)
+
+
+def test_suffixes_with_equal_heads_are_sorted_by_hashes():
+    """Groups of segments that share their middle: the order is that of the bytes, equal ones in the order they came."""
+    rng = np.random.default_rng(9)
+    pieces = []
+    for _ in range(40):
+        base = rng.integers(97, 100, 74).astype(np.uint8)
+        for _ in range(int(rng.integers(1, 6))):
+            other = base.copy()
+            other[: rng.integers(0, 20)] = 120
+            other[rng.integers(40, 74) :] = 121
+            pieces.append(other)
+    data = np.concatenate(pieces)
+    suffix = np.concatenate([np.arange(25) + 74 * i for i in range(len(pieces))])
+    group = np.repeat(np.arange(len(pieces)) // 4, 25)
+    order = sort_suffixes(data, suffix, group, 50)
+    text = [data[s : s + 50].tobytes() for s in suffix]
+    assert order.tolist() == sorted(range(len(suffix)), key=lambda i: (group[i], text[i], i))
