@@ -10,7 +10,7 @@
 4. Each piece takes a place of its length by rank. Ranks come from counts per (length, salt) and row numbers inside a
    salt, so a length that a third of all pieces share is spread over many tasks.
 
-Strings of special tokens in a text are ordinary text. Defined cases: null and empty texts are the end token alone;
+Strings of special tokens in a text get the ids that the tokenizer file gives them. Defined cases: null and empty texts are the end token alone;
 repeated rows are packed each; a null id is kept as it is; an empty table gives no sequence; other columns are not read.
 """
 
@@ -38,13 +38,14 @@ _ENCODERS: dict[tuple[str, str], object] = {}
 
 
 class Encoder:
-    """Token ids of a byte-level BPE, by its rank file; texts it cannot split go through the tokenizer file.
+    """Token ids of a byte-level BPE, by its rank file; texts it cannot split, or that spell a special token, go through the tokenizer file.
 
-    Both files hold the same vocabulary and give the same ids.
+    Both files hold the same vocabulary and give the same ids to all else.
     """
 
     def __init__(self, ranks: str, tokenizer: str):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -52,20 +53,26 @@ class Encoder:
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+        with open(tokenizer, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.file, self.slow = tokenizer, None
 
+    def _by_file(self, text: str) -> list[int]:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.file)
+        return self.slow.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> list[int]:
+        if any(s in text for s in self.special):
+            return self._by_file(text)
         try:
             return self.fast.encode_ordinary(text)
         except BaseException as e:  # the splitter gives up on very long runs of white space
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            if self.slow is None:
-                from tokenizers import Tokenizer
-
-                self.slow = Tokenizer.from_file(self.file)
-                self.slow.encode_special_tokens = True
-            return self.slow.encode(text, add_special_tokens=False).ids
+            return self._by_file(text)
 
 
 def encoder(ranks: str, tokenizer: str) -> Encoder:

@@ -14,7 +14,6 @@ from tokenizers import Tokenizer, models
 from lumenframe.llm import packing, pieces, queries
 
 BPE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-BPE.encode_special_tokens = True
 
 
 def expected(rows, limit=1024):
@@ -123,3 +122,18 @@ def test_pieces_are_the_best_segmentation(text):
     found = vocab.encode(sorted(set(words)))
     ids = [i for w in words for i in found[w]]
     assert ids == viterbi(text) and vocab.decode(ids) == text
+
+
+def test_words_that_came_once_are_forgotten():
+    """A worker that holds few segmentations gives the same ids, and keeps the words that it met again."""
+    vocab = pieces.vocabulary(pieces.default_file())
+    known = pieces.Known(vocab, 50)
+    rng = random.Random(3)
+    for _ in range(40):
+        words = vocab.words(" ".join(rng.choice(["the", "and", "of"]) if rng.random() < 0.5 else f"w{rng.randrange(10**6)}" for _ in range(60)))
+        known.learn(words)
+        ids, lengths = known.ids(known.numbers(words))
+        want = vocab.encode(sorted(set(words)))
+        assert ids.tolist() == [i for w in words for i in want[w]] and lengths.tolist() == [len(want[w]) for w in words]
+        assert len(known.number) <= 50 + 60
+    assert all(pieces.MARK + w in known.number for w in ("the", "and", "of"))
