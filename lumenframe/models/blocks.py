@@ -74,7 +74,7 @@ def rows_for_trees(df: DataFrame) -> DataFrame:
     """``x, y``: features as an array and the label; rows without either are left out."""
     x = F.col("features")
     if not isinstance(df.schema["features"].dataType, T.ArrayType):
-        x = vector_to_array(x)
+        x = F.when(x.isNotNull(), vector_to_array(x))
     return df.select(x.alias("x"), F.col("label").cast("double").alias("y")).where("x is not null and y is not null and not isnan(y)")
 
 

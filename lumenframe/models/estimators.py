@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 
@@ -17,17 +17,10 @@ def _boost(params: dict) -> dict:
     return {**out, "stepSize": float(params.get("learning_rate") or 0.1)}
 
 
-def _classifier(name: str, params: dict, rows: int, classes: int) -> Estimator:
-    def for_classes(binary):
-        """Binary learners handle more classes one against the rest."""
-        return binary if classes <= 2 else OneVsRest(classifier=binary)
-
+def _classifier(name: str, params: dict, rows: int) -> Estimator:
     if name == "Logistic Regression":
         penalty = 1.0 / (float(params.get("C") or 1.0) * max(rows, 1))
         return LogisticRegression(maxIter=int(params.get("max_iter") or 100), regParam=penalty, standardization=False)
-    if name == "Support Vector Classifier":
-        penalty = 1.0 / (float(params.get("C") or 1.0) * max(rows, 1))
-        return for_classes(LinearSVC(regParam=penalty, standardization=False, maxIter=int(params.get("max_iter") or 100)))
     if name == "Gaussian Naive Bayes":
         return NaiveBayes(modelType="gaussian")
     raise ValueError(f"unknown classification algorithm: {name}")
@@ -46,17 +39,14 @@ def _regressor(name: str, params: dict, rows: int) -> Estimator:
         return LinearRegression(elasticNetParam=mix, regParam=alpha, standardization=False)
     if name == "Gradient Boosting Regressor":
         return GBTRegressor(**_boost(params))
-    if name == "Support Vector Regressor":
-        # A robust linear fit stands in: Spark has no support vector regression.
-        return LinearRegression(loss="huber", maxIter=100)
     raise ValueError(f"unknown regression algorithm: {name}")
 
 
-def estimator(task: str, name: str, params: dict | None = None, *, rows: int = 1, classes: int = 2) -> Estimator:
+def estimator(task: str, name: str, params: dict | None = None, *, rows: int = 1) -> Estimator:
     """An estimator that reads ``features`` and ``label``."""
     params = {k: v for k, v in (params or {}).items() if v is not None}
     if task == "classification":
-        return _classifier(name, params, rows, classes)
+        return _classifier(name, params, rows)
     if task == "regression":
         return _regressor(name, params, rows)
     if task == "clustering":

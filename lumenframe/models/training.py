@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from lumenframe.functions.stats import number, string_columns
 from lumenframe.metrics import classification, clustering, regression
-from lumenframe.models import boost, forest, histogram, importance
+from lumenframe.models import boost, forest, histogram, importance, kernel
 from lumenframe.models.neighbors import DensityModel, NeighborModel, fit_neighbors
 from lumenframe.models.estimators import estimator
 from lumenframe.operators.splits import holdout, k_folds, stratified_folds
@@ -147,6 +147,8 @@ def fit(train: DataFrame, config: TrainingConfig) -> tuple[PipelineModel, object
         first = ready.select("features").first()
         s = forest.settings(config.algorithm, config.params, len(first[0]) if first else 1)
         return prepare, forest.fit(ready, classes, s), features
+    if config.algorithm.startswith("Support Vector"):
+        return prepare, kernel.fit(ready, classes, kernel.settings(config.params)), features
     if config.algorithm in ("KNN Classifier", "KNN Regressor"):
         votes = config.algorithm == "KNN Classifier"
         return prepare, fit_neighbors(ready, config.key, int(config.params.get("n_neighbors") or 5), votes), features
@@ -155,7 +157,7 @@ def fit(train: DataFrame, config: TrainingConfig) -> tuple[PipelineModel, object
         need = int(config.params.get("min_samples") or 5)
         return prepare, DensityModel(config.key, float(config.params.get("eps") or 0.5), need, width), features
     rows = ready.count()
-    stage = estimator(config.task, config.algorithm, config.params, rows=rows, classes=classes)
+    stage = estimator(config.task, config.algorithm, config.params, rows=rows)
     return prepare, stage.fit(ready), features
 
 
@@ -266,7 +268,7 @@ def load(path: str) -> tuple[list, object | None]:
         kind = spark.read.schema("kind string").parquet(f"{path}/kind").first()["kind"]
     except AnalysisException:
         return PipelineModel.load(path).stages, None
-    kinds = {m.kind: m for m in (boost.BoostedClassifier, boost.BoostedRegressor, histogram.BoostedTrees, forest.Forest, NeighborModel)}
+    kinds = {m.kind: m for m in (boost.BoostedClassifier, boost.BoostedRegressor, histogram.BoostedTrees, forest.Forest, kernel.KernelMachine, NeighborModel)}
     return PipelineModel.load(f"{path}/prepare").stages, kinds[kind].load(spark, f"{path}/model")
 
 
