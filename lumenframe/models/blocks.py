@@ -108,8 +108,8 @@ def binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
 BLOCK = "n int, bins binary, y binary, state binary"
 
 
-def blocks(rows: DataFrame, edges: Sequence[np.ndarray], state: Callable[[int, np.random.Generator], np.ndarray] | None = None) -> DataFrame:
-    """``n, bins, y, state`` per block of ``rows(x, y)``; ``state`` makes what is kept per row, none if not given."""
+def blocks(rows: DataFrame, edges: Sequence[np.ndarray]) -> DataFrame:
+    """``n, bins, y, state`` per block of ``rows(x, y)``; the state is empty until a learner writes it."""
     width = len(edges)
     most = max(256, CELLS // max(1, width))
 
@@ -122,7 +122,7 @@ def blocks(rows: DataFrame, edges: Sequence[np.ndarray], state: Callable[[int, n
                 out["n"].append(b - a)
                 out["bins"].append(binned(x[a:b], edges).tobytes())
                 out["y"].append(y[a:b].astype(float).tobytes())
-                out["state"].append(state(b - a).tobytes() if state else b"")
+                out["state"].append(b"")
             kinds = {"n": pa.int32(), "bins": pa.binary(), "y": pa.binary(), "state": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
 
