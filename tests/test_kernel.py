@@ -92,3 +92,24 @@ def test_degenerate_tables(spark):
     assert K.fit(none, 2, K.Settings()).width == 0
     with pytest.raises(ValueError):
         K.settings({"kernel": "poly"})
+
+
+def test_large_tables_begin_on_drawn_rows(spark, monkeypatch):
+    """All rows are passed at the last width only, a step takes two passes, and the optimum is that of all rows."""
+    monkeypatch.setattr(K, "START_ROWS", 60, raising=False)
+    passes, add_up = [], K.B.add_up
+
+    def counted(table, work):
+        passes.append(table.count())
+        return add_up(table, work)
+
+    monkeypatch.setattr(K.B, "add_up", counted)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 2))
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=240) / 5 > 0).astype(float)
+    s = K.Settings(gamma=0.7, landmarks=240)
+    machine = K.fit(table(spark, x, y), 2, s)
+    assert sum(n == 240 for n in passes) <= 1 + (1 + 2 * s.steps) + 12
+    assert gap(machine, x, y, s, K.gaussian(x, x, 0.7)) < 0.02
+    whole = K.fit(table(spark, x, y), 2, K.Settings(gamma=0.7, landmarks=240, steps=60))
+    assert (np.sign(machine.decide(x)) == np.sign(whole.decide(x))).mean() > 0.99
