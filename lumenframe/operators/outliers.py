@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.stats import collect_stats, exact_quantiles, number, numeric_columns, top_by
 from lumenframe.operators.profile import iqr_fences
+from lumenframe.session import cut_lineage
 
 # Names of the outlier handlers.
 Z_SCORE = "Z-Score Removal"
@@ -114,7 +115,8 @@ def isolation_scores(
     forest = drawn.groupBy("tree").applyInPandas(grow, schema).toPandas().sort_values(["tree", "node"])
     grown = [g.to_numpy(dtype=float) for _, g in forest.groupby("tree")]
     norm = _path(float(np.mean([g[0, 7] for g in grown]))) or 1.0
-    shipped = df.sparkSession.sparkContext.broadcast(grown)
+    tables = [(*(g[:, i].astype(np.int64) if i != 2 else g[:, i] for i in range(1, 5)), g[:, 5]) for g in grown]
+    shipped = df.sparkSession.sparkContext.broadcast(tables)
 
     @F.pandas_udf("double")
     def score(col: pd.Series) -> pd.Series:
@@ -123,15 +125,14 @@ def isolation_scores(
         rows_ = np.arange(len(x))
         for t in shipped.value:
             at = np.zeros(len(x), dtype=int)
-            while True:
-                feature = t[at, 1].astype(int)
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                left = x[rows_, np.maximum(feature, 0)] < t[at, 2]
-                step = np.where(left, t[at, 3], t[at, 4]).astype(int)
-                at = np.where(inner, step, at)
-            total += t[at, 5]
+            feature, cut, left, right, path = t
+            live = rows_ if feature[0] >= 0 else rows_[:0]
+            while len(live):
+                node = at[live]
+                step = np.where(x[live, feature[node]] < cut[node], left[node], right[node])
+                at[live] = step
+                live = live[feature[step] >= 0]
+            total += path[at]
         return pd.Series(2.0 ** (-total / len(shipped.value) / norm))
 
     return df.withColumn("score", score(F.array(*clean)))
@@ -151,7 +152,8 @@ def isolation_forest(
 ) -> DataFrame:
     """Drop the ``contamination`` share of rows that is easiest to isolate."""
     cols = list(cols or numeric_columns(df, [key]))
-    scored = isolation_scores(df, cols, key, seed=seed)
+    # Every pass of the quantile and the filter read the written scores.
+    scored = cut_lineage(isolation_scores(df, cols, key, seed=seed))
     cut = exact_quantiles(scored, ["score"], (1.0 - contamination,))["score"][0]
     return scored.where(F.col("score") <= F.lit(cut)).drop("score")
 

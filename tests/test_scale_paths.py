@@ -316,3 +316,48 @@ def test_unseen_class_counts_as_wrong(spark):
     prepare, model, _ = T.fit(data.where("k <> 3"), config)
     test = model.transform(prepare.transform(data.where("k < 10")))
     assert test.count() == 10 and test.where("label <> prediction").where("k = 3").count() == 1
+
+
+def test_inverse_normal_is_that_of_python():
+    from statistics import NormalDist
+
+    from lumenframe.operators.scale import inverse_normal
+
+    p = np.concatenate([[1e-7, 1 - 1e-7, 0.075, 0.925, 0.5], np.logspace(-15, -0.31, 200), np.random.default_rng(0).random(500)])
+    assert np.allclose(inverse_normal(p), [NormalDist().inv_cdf(v) for v in p], rtol=1e-13, atol=1e-13)
+
+
+@pytest.mark.parametrize("limit", [None, 10])
+def test_grid_of_quantiles_is_one_narrow_pass(spark, monkeypatch, limit):
+    """A grid of 1,000 quantiles is read off the ranks, not off 2,000 aggregates of every value."""
+    from lumenframe.functions import stats
+
+    def refused(*_, **__):
+        raise AssertionError("an aggregate for each quantile")
+
+    monkeypatch.setattr(stats, "grouped_quantiles", refused)
+    if limit is None:
+        monkeypatch.setattr(stats, "DIRECT_VALUES", 10)
+    x = np.round(np.random.default_rng(3).normal(size=900), 2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double").repartition(3)
+    grid = np.linspace(0, 1, 333)
+    assert np.allclose(exact_quantiles(df, ["x"], list(grid), direct_values=limit)["x"], np.quantile(x, grid))
+
+
+def test_isolation_scores_are_computed_once(spark, monkeypatch, tmp_path):
+    """Quantile passes and the filter read written scores; no pass walks the trees again."""
+    from lumenframe.operators import outliers
+
+    seen = []
+    quantiles = outliers.exact_quantiles
+
+    def watched(df, *rest):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return quantiles(df, *rest)
+
+    monkeypatch.setattr(outliers, "exact_quantiles", watched)
+    x = np.random.default_rng(1).normal(size=(400, 2))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, a double, b double")
+    kept = outliers.isolation_forest(df, "k", ["a", "b"])
+    assert kept.count() == 380 and kept.columns == ["k", "a", "b"]
+    assert seen and "ArrowEvalPython" not in seen[0]
