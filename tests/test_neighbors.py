@@ -173,3 +173,42 @@ def test_density_of_many_columns(spark):
     want = {i: label.get(i, min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1)) for i in range(len(x))}
     got = dbscan(df, "key", cols, 1.2, 5).collect()
     assert {r.key: r.cluster for r in got} == want and {r.key for r in got if r.is_core} == set(np.flatnonzero(core))
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_wide_rows_by_matrix_product(monkeypatch, same):
+    """Candidates come from one product, not feature by feature; near copies far from zero keep their exact distances and order."""
+
+    def refused(*_):
+        raise AssertionError("feature by feature")
+
+    monkeypatch.setattr(N, "_distances", refused)
+    rng = np.random.default_rng(4)
+    d = np.concatenate([rng.normal(size=(150, 16)), 1e6 + rng.normal(size=(150, 16)) * 1e-3])
+    d[200:220] = d[180:200]
+    q = d if same else np.concatenate([d[::3], rng.normal(size=(40, 16))])
+    keys = np.arange(len(d))
+    got = N._best(np.arange(len(q)), q, keys[::-1], d[::-1], keys[::-1] * 2.0, 5, False, same)
+    want = brute(q, d, 5, False, same)
+    found = {}
+    for row in got.itertuples():
+        rank = 1 + sum(1 for key in found if key[0] == row.qk)
+        found[row.qk, rank] = (row.dk, row.dist)
+    assert found.keys() == want.keys() and (got["val"] == got["dk"] * 2).all()
+    assert all(found[at][0] == want[at][0] and abs(found[at][1] - want[at][1]) < 1e-9 for at in want)
+
+
+def test_rows_without_order_go_to_bundles(spark, monkeypatch):
+    """Where boxes bound nothing, a query is sent to a few bundles instead of every unit."""
+    monkeypatch.setattr(N, "WHOLE", 300, raising=False)
+    sent, meet = [], N._meet
+
+    def counted(q, d, *rest):
+        sent.append(q.count())
+        return meet(q, d, *rest)
+
+    monkeypatch.setattr(N, "_meet", counted)
+    x = np.random.default_rng(6).normal(size=(900, 24))
+    got = N.nearest(table(spark, x), table(spark, x), "key", "key", "x", 4, exclude_same_key=True, ship_rows=10, block_rows=80)
+    same_rows(got, brute(x, x, 4, False, True))
+    assert sent[0] <= 900 * 6
