@@ -361,3 +361,53 @@ def test_isolation_scores_are_computed_once(spark, monkeypatch, tmp_path):
     kept = outliers.isolation_forest(df, "k", ["a", "b"])
     assert kept.count() == 380 and kept.columns == ["k", "a", "b"]
     assert seen and "ArrowEvalPython" not in seen[0]
+
+
+@pytest.mark.parametrize("ship", [None, 10])
+def test_silhouette_of_wide_rows(spark, ship):
+    """Distances of wide rows come from a matrix product; near rows far from zero are still measured exactly."""
+    rng = np.random.default_rng(2)
+    x = 1e5 + np.concatenate([rng.normal(size=(40, 12)), 3 + rng.normal(size=(30, 12)) * 1e-5, np.zeros((20, 12))])
+    c = np.repeat([0, 1, 2], [40, 30, 20])
+    df = spark.createDataFrame([(i, int(k), [float(v) for v in r]) for i, (k, r) in enumerate(zip(c, x))], "id long, c long, x array<double>")
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for i in range(len(x)):
+        a = dist[i, c == c[i]].sum() / ((c == c[i]).sum() - 1)
+        b = min(dist[i, c == k].mean() for k in range(3) if k != c[i])
+        want.append((b - a) / max(a, b))
+    got = {r["key"]: r["silhouette"] for r in clustering.silhouette_rows(df, "id", "c", "x", ship_rows=ship, block_rows=25).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-9)
+    same = df.withColumn("x", F.expr("transform(x, v -> 100000.1)"))
+    assert {r["silhouette"] for r in clustering.silhouette_rows(same, "id", "c", "x", ship_rows=ship, block_rows=25).collect()} == {0.0}
+
+
+def test_silhouette_is_not_taken_feature_by_feature():
+    """Twelve times the features must not cost twelve times the passes over all pairs."""
+    import time
+
+    rng = np.random.default_rng(0)
+    x, labels = rng.normal(size=(3000, 192)), rng.integers(0, 5, 3000)
+    seconds = []
+    for width in (16, 192):
+        start = time.process_time()
+        clustering._distance_sums(np.arange(3000), x[:, :width].copy(), x[:, :width].copy(), labels)
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 6 * seconds[0]
+
+
+def test_term_weights_send_texts_once(spark):
+    """One shuffle by key serves counts and norms; terms with their counts are shipped."""
+    from lumenframe.operators.encode import tf_idf
+
+    rows = [(1, "one two two"), (2, "two three"), (2, "two four"), (None, "one"), (3, None)]
+    out = tf_idf(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+    weights = {(r["k"], r["term"]): r["weight"] for r in out.collect()}
+    df = {"one": 2, "two": 2, "three": 1, "four": 1}
+    for key, counts in ((1, {"one": 1, "two": 2}), (2, {"two": 2, "three": 1, "four": 1}), (None, {"one": 1})):
+        raw = {t: n * (np.log(6 / (1 + df[t])) + 1) for t, n in counts.items()}
+        norm = np.sqrt(sum(v * v for v in raw.values()))
+        assert all(abs(weights.pop((key, t)) - v / norm) < 1e-12 for t, v in raw.items())
+    assert not weights
