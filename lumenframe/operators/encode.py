@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.ordering import dense_codes
 from lumenframe.functions.stats import string_columns
+from lumenframe.session import cut_lineage
 
 # Names of the encoders.
 LABEL = "Label Encoder"
@@ -23,6 +24,8 @@ METHODS = (LABEL, ONE_HOT, ORDINAL, COUNTS, TFIDF)
 # A code table up to this many rows and letters is shipped to every task.
 SHIP_CODES = 200_000
 SHIP_LETTERS = 50_000_000
+# So is a table of terms with the number of their texts.
+SHIP_TERMS = 500_000
 # Runs of two or more letters, digits or underscores, in any script.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -104,9 +107,13 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, term, weight)`` with smoothed document frequency, scaled to unit length per text."""
-    counts = term_counts(df, key, text)
+    # Texts are sent once, by key: what follows keeps that order, and only the table of terms is shuffled again.
+    counts = term_counts(df.select(key, text).repartition(key), key, text)
     docs = df.select(F.count("*")).first()[0]
-    spread = counts.groupBy("term").agg(F.count("*").alias("df"))
+    spread = cut_lineage(counts.groupBy("term").agg(F.count("*").alias("df")))
+    terms, letters = spread.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if terms <= SHIP_TERMS and letters <= SHIP_LETTERS:
+        spread = F.broadcast(spread)
     weight = F.col("n") * (F.log((1.0 + F.lit(docs)) / (1.0 + F.col("df"))) + 1.0)
     weighted = counts.join(spread, "term").select(key, "term", weight.alias("w"))
     # One group holds the distinct terms of one text.
