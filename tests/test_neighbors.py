@@ -212,3 +212,36 @@ def test_rows_without_order_go_to_bundles(spark, monkeypatch):
     got = N.nearest(table(spark, x), table(spark, x), "key", "key", "x", 4, exclude_same_key=True, ship_rows=10, block_rows=80)
     same_rows(got, brute(x, x, 4, False, True))
     assert sent[0] <= 900 * 6
+
+
+def test_rows_of_equal_features_are_searched_once(spark, compared):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 4, size=(1500, 2)).astype(float)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = table(spark, x).select("key", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
+    got = N.nearest(df, df, "key", "key", ["a", "b"], 5, nan_aware=True, ship_rows=0, block_rows=200)
+    same_rows(got, brute(x, x, 5, True))
+    assert compared[0] <= 25 * 25 * 5
+    compared[0] = 0
+    alone = N.nearest(df, df, "key", "key", ["a", "b"], 5, nan_aware=True, exclude_same_key=True, ship_rows=0, block_rows=200)
+    same_rows(alone, brute(x, x, 5, True, same=True))
+    assert compared[0] <= len(x) * 25 * 6
+
+
+def test_bounds_of_units_take_no_group_each(spark):
+    rng = np.random.default_rng(8)
+    x, unit = rng.normal(size=(900, 3)), rng.integers(0, 40, 900)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    rows = spark.createDataFrame([(int(u), [float(v) for v in r]) for u, r in zip(unit, x.tolist())], "unit long, x array<double>").repartition(5)
+    asked = []
+    group = type(rows).groupBy
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(rows), "groupBy", lambda self, *on: (asked.append(on), group(self, *on))[1])
+        found = X.measure(rows, 41, 3)
+    assert not asked
+    assert found.rows.tolist() == np.bincount(unit, minlength=41).tolist()
+    for u in range(40):
+        mine = x[unit == u]
+        assert np.array_equal(found.low[u], np.where(np.isnan(mine), np.inf, mine).min(axis=0))
+        assert np.array_equal(found.high[u], np.where(np.isnan(mine), -np.inf, mine).max(axis=0))
+        assert np.array_equal(found.always[u], ~np.isnan(mine).any(axis=0)) and np.array_equal(found.ever[u], (~np.isnan(mine)).any(axis=0))
