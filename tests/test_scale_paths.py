@@ -411,3 +411,15 @@ def test_term_weights_send_texts_once(spark):
         norm = np.sqrt(sum(v * v for v in raw.values()))
         assert all(abs(weights.pop((key, t)) - v / norm) < 1e-12 for t, v in raw.items())
     assert not weights
+
+
+def test_marking_rows_leaves_them_where_they_are(spark):
+    from lumenframe.operators.splits import holdout
+
+    rows = spark.range(4000).withColumn("c", F.when(F.col("id") % 10 == 0, "a").otherwise("b")).repartition(8)
+    marked = holdout(rows, "id", 0.25, by="c").withColumn("p", F.spark_partition_id()).persist()
+    sizes = [r["count"] for r in marked.groupBy("p").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000  # not one task per class
+    got = {r.c: (r.t, r.n) for r in marked.groupBy("c").agg(F.count_if("is_test").alias("t"), F.count("*").alias("n")).collect()}
+    marked.unpersist()
+    assert got == {"a": (100, 400), "b": (900, 3600)}
