@@ -150,3 +150,34 @@ def test_degenerate_tables(spark):
     none = spark.createDataFrame([(1, None)], "id long, x array<double>").withColumn("features", F.when(F.col("x").isNotNull(), array_to_vector("x")))
     assert model.transform(none).first().prediction is None and model.transform(table(spark, x, [0.0] * 6)).first().prediction == 5.0
     assert T.fit(table(spark, x[:0], []), 2, T.Settings()).width == 0
+
+
+def test_sums_of_classes_are_added_per_tree(monkeypatch):
+    from lumenframe.models import blocks as B
+
+    rng = np.random.default_rng(3)
+    bins, place = rng.integers(0, 256, (2, 500)).astype(np.uint8), rng.integers(-1, 4, 500)
+    y, w = rng.integers(0, 3, 500).astype(float), rng.poisson(1.0, 500).astype(float)
+    want, got = np.zeros((4, 2, B.BINS, 3)), np.zeros((4, 2, B.BINS, 3))
+    B.node_sums(bins, place, 4, [w * (y == c) for c in range(3)], want)
+    B.class_sums(bins, place, 4, y, 3, w, got)
+    assert np.array_equal(got, want)
+    # Two trees with two open nodes each: no tree is added up into the nodes of the other.
+    grown = {}
+    for t in range(2):
+        grown[t] = T.Growing(3)
+        root = grown[t].add(np.zeros(3))
+        grown[t].split(root, 0, 0.0, grown[t].add(np.zeros(3)), grown[t].add(np.zeros(3)), 1.0)
+    nodes = [T.Open(t, n, 1 + n, 1) for t in range(2) for n in (1, 2)]
+    x = rng.normal(size=(500, 2))
+    blocks = [(bins, x, y, 0)]
+    monkeypatch.setattr(T, "_unpacked", lambda batches, width: iter(blocks))
+    monkeypatch.setattr(B, "add_up", lambda table, work: work(None))
+    slots, class_sums = [], B.class_sums
+    monkeypatch.setattr(B, "class_sums", lambda *a: (slots.append(a[2]), class_sums(*a)))
+    found = T._ask(None, 2, 3, T.Settings(trees=2, bootstrap=True), grown, nodes)
+    assert slots == [2, 2]
+    for i, o in enumerate(nodes):
+        w = T.row_weights(T.Settings(trees=2, bootstrap=True), o.tree, 0, 500)
+        mine = (x[:, 0] <= 0) == (o.node == 1)
+        assert found[i][0].sum(axis=0).tolist() == [w[mine & (y == c)].sum() for c in range(3)]
