@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.stats import collect_stats, number, numeric_columns
+from lumenframe.models import cells
 
 # Names of the selectors.
 VARIANCE = "Variance Threshold"
@@ -21,6 +22,9 @@ RFE_LINEAR = "RFE (Logistic Regression)"
 RFE_FOREST = "RFE (Random Forest)"
 METHODS = (VARIANCE, ANOVA, REGRESSION, RFE_LINEAR, RFE_FOREST)
 
+#: Rows above which a forest grows on counted cells: Spark's own keeps a number per row and tree, and reads all rows once per level.
+COUNTED = 200_000
+
 
 def variances(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, variance, kept)``; a column with no spread is not kept."""
@@ -77,14 +81,21 @@ def f_regression(df: DataFrame, target: str, cols: Sequence[str], k: int = 10) -
 def eliminate(
     df: DataFrame, target: str, cols: Sequence[str], *, model: str = "logistic", keep: int = 10, trees: int = 100
 ) -> DataFrame:
-    """Recursive elimination: fit, drop the weakest column, repeat; ``(column, rank, kept)``."""
+    """Recursive elimination: fit, drop the weakest column, repeat; ``(column, rank, kept)``.
+
+    The forest of a table of more than ``COUNTED`` rows reads them once: the same kind of trees grow on rows counted by bins.
+    """
     left = list(cols)
     ranks: dict[str, int] = {}
     present = df.where(reduce(Column.__and__, [number(c).isNotNull() for c in left]) & F.col(target).isNotNull())
     index = StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc").fit(present)
     data = index.transform(present).select("_y", *[number(c).alias(c) for c in left]).persist()
     rows_ = max(1, data.count())
+    counted = None
     try:
+        if model != "logistic" and rows_ > COUNTED and len(left) > keep:
+            counted = cells.counted(data, "_y", cols)
+            data.unpersist()
         while len(left) > keep:
             table = VectorAssembler(inputCols=left, outputCol="_x").transform(data)
             if model == "logistic":
@@ -94,6 +105,8 @@ def eliminate(
                 ).fit(table)
                 rows = fit.coefficientMatrix.toArray()
                 weight = (rows**2).sum(axis=0)
+            elif counted is not None:
+                weight = cells.importances(counted, len(cols), [cols.index(c) for c in left], len(index.labels), trees)
             else:
                 fit = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, seed=42).fit(table)
                 weight = fit.featureImportances.toArray()
