@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
-from math import ceil, sqrt
+from math import ceil, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ LEVELS = 5
 PACKED = 12
 #: Quantiles per bin that are looked up, so that rare values of a column with few values are seen.
 FINE = 8
+#: Chances that a single row is in a sample at most 0, 1, 2 ... times.
+ONCE = np.cumsum([exp(-1.0) / factorial(k) for k in range(18)])
 
 
 def edges_of(rows: DataFrame, cols: Sequence[str]) -> list[np.ndarray]:
@@ -91,6 +93,19 @@ def _unpacked(batches, width: int):
             yield bins, np.frombuffer(y.as_buffer()), np.frombuffer(rows.as_buffer()), block.as_py()
 
 
+def drawn(seed: int, tree: int, block: int, rows: np.ndarray) -> np.ndarray:
+    """How often the rows of each cell of a block are in the sample of a tree; cells of one row are looked up, which is quicker."""
+    rng = np.random.default_rng([seed, tree, block])
+    u = rng.random(len(rows))
+    out = np.zeros(len(rows))
+    for chance in ONCE:
+        out += u >= chance
+    many = np.flatnonzero(rows > 1)
+    if len(many):
+        out[many] = rng.poisson(rows[many])
+    return out
+
+
 def _grown(tree: T.Growing) -> Tree:
     out, _ = tree.arrays()
     return replace(out, bin=out.threshold.astype(np.int64))
@@ -108,8 +123,10 @@ def _ask(table: DataFrame, width: int, features: Sequence[int], classes: int, se
         for bins, y, rows, block in _unpacked(batches, width):
             bins = bins[features]
             for t, slot in slots.items():
-                weight = np.random.default_rng([seed, t, block]).poisson(rows).astype(float)
-                B.class_sums(bins, slot[trees[t].leaves_of_bins(bins)], len(into[t]), y, classes, weight, into[t])
+                weight = drawn(seed, t, block, rows)
+                there = np.flatnonzero(weight)
+                mine = bins[:, there]
+                B.class_sums(mine, slot[trees[t].leaves_of_bins(mine)], len(into[t]), y[there], classes, weight[there], into[t])
         return {i: sums for t, mine in asked.items() for i, sums in zip(mine, into[t]) if sums.any()}
 
     found = B.add_up(table, work)

@@ -46,6 +46,13 @@ def test_more_rows_do_not_make_more_cells(spark):
     assert sizes[0] == sizes[1] < 200
 
 
+def test_samples_of_cells_are_those_of_their_rows():
+    rows = np.repeat([1.0, 3.0, 40.0], 40000)
+    w = C.drawn(42, 0, 0, rows).reshape(3, -1)
+    assert np.allclose(w.mean(axis=1), [1, 3, 40], rtol=0.02) and np.allclose(w.var(axis=1), [1, 3, 40], rtol=0.05)
+    assert np.allclose([(w[0] == k).mean() for k in range(4)], [0.3679, 0.3679, 0.1839, 0.0613], atol=0.01)
+
+
 def test_sums_and_best_split_of_a_root(spark):
     cols = list("abcde")
     table = C.counted(spark.createDataFrame(frame(3000)).repartition(2), "y", cols)
@@ -54,7 +61,7 @@ def test_sums_and_best_split_of_a_root(spark):
     found = C._ask(table, 5, [0, 1, 4], 3, 42, {4: tree}, [root])[0]
     want = np.zeros((3, C.BINS, 3))
     for bins, y, rows, block in unpacked(table, 5):
-        w = np.random.default_rng([42, 4, block]).poisson(rows)
+        w = C.drawn(42, 4, block, rows)
         for i in range(len(y)):
             for f, b in enumerate(bins[[0, 1, 4], i]):
                 want[f, b, int(y[i])] += w[i]
