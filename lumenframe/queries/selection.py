@@ -53,7 +53,7 @@ def _(t):
 
 @query("fs_rfe_rf")
 def _(t):
-    return S.eliminate(t.lineitem, "l_returnflag", RFE, model="forest", keep=3, trees=20)
+    return S.eliminate(t.lineitem, "l_returnflag", RFE, model="forest", keep=3)
 
 
 @query("fs_pca2")

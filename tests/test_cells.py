@@ -112,3 +112,21 @@ def test_splits_between_leaves_of_one_class_are_taken_back():
     tree.split(a, 0, 0, b, tree.add(np.array([8.0, 1.0])), 2.0)
     tree.split(b, 1, 0, tree.add(np.array([0.0, 2.0])), tree.add(np.array([1.0, 1.5])), 0.5)
     assert C._gains(tree, 3).tolist() == [1.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_the_query_grows_the_whole_forest(spark, monkeypatch, tmp_path, counted):
+    """The named forest has 100 trees in every round, on rows and on counted cells."""
+    from lumenframe.queries import QUERIES
+    from lumenframe.queries.selection import RFE
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({c: rng.integers(0, 9, 400).astype(float) for c in RFE}).assign(l_returnflag=rng.choice(["A", "N", "R"], 400))
+    spark.createDataFrame(pdf).write.parquet(f"{tmp_path}/lineitem.parquet")
+    grown, forest, importances = [], S.RandomForestClassifier, C.importances
+    monkeypatch.setattr(S, "RandomForestClassifier", lambda **p: grown.append(p["numTrees"]) or forest(**p))
+    monkeypatch.setattr(C, "importances", lambda *a: grown.append(a[4]) or importances(*a))
+    if counted:
+        monkeypatch.setattr(S, "COUNTED", 100)
+    found = QUERIES["fs_rfe_rf"](spark, str(tmp_path)).collect()
+    assert grown == [100, 100] and sum(r["kept"] for r in found) == 3 and len(found) == 5
