@@ -5,14 +5,14 @@ Children are reduced to one row per key before they meet their parent, so no joi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.stats import number
-from lumenframe.operators.boxes import range_pairs
+from lumenframe.operators.boxes import places, range_pairs, repeated
 
 
 def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -62,17 +62,33 @@ def follow(df: DataFrame, steps: Sequence[tuple[DataFrame, str, str]]) -> DataFr
     return df
 
 
-def pairs_within(df: DataFrame, key: str, cols: Sequence[str], radius: float) -> DataFrame:
-    """Pairs of rows (smaller key first) no farther apart than ``radius``.
+def pairs_within(df: DataFrame, key: str, cols: Sequence[str], radius: float, shown: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pairs of rows (smaller key first) no farther apart than ``radius``; ``shown`` shapes a distance.
 
-    Rows meet only where the boxes of their units come that near; a crowded unit is cut into blocks on both sides. A row with a
+    Rows meet only where the boxes of their units come that near; a crowded unit is cut into blocks on both sides. Where many rows
+    share a place, places meet, and a distance is computed once for all rows of two places. A row with a
     missing value, or without a key, is in no pair.
     """
     cells = [number(c) for c in cols]
     known = reduce(Column.__and__, [c.isNotNull() for c in cells], F.col(key).isNotNull())
     points = df.where(known).select(F.col(key).alias("key"), F.array(*cells).alias("x"))
-    found = range_pairs(points, len(cols), radius, radius * radius)
-    return found.select(F.col("left").alias("left_key"), F.col("right").alias("right_key"), F.sqrt("square").alias("distance"))
+    distance = (shown or (lambda c: c))(F.sqrt("square")).alias("distance")
+    if not repeated(points):
+        found = range_pairs(points, len(cols), radius, radius * radius)
+        return found.select(F.col("left").alias("left_key"), F.col("right").alias("right_key"), distance)
+    held = places(points)
+    # A place meets itself, too: its rows lie together.
+    alone = held.select(F.col("key").alias("left"), F.col("key").alias("right"), F.lit(0.0).alias("square"))
+    met = range_pairs(held, len(cols), radius, radius * radius).unionByName(alone)
+    keys = held.select("key", "keys")
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few short rows become many pairs
+    near = met.repartition(spread, "left", "right").join(keys.select(F.col("key").alias("left"), F.col("keys").alias("a")), "left")
+    near = near.join(keys.select(F.col("key").alias("right"), F.col("keys").alias("b")), "right")
+    near = near.select((F.col("left") == F.col("right")).alias("same"), distance, "a", "b")
+    rows = near.select("same", "distance", F.explode("a").alias("a"), "b").select("same", "distance", "a", F.explode("b").alias("b"))
+    # Of one place every two rows come in both orders, of two places in one.
+    rows = rows.where(F.when(F.col("same"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    return rows.select(F.least("a", "b").alias("left_key"), F.greatest("a", "b").alias("right_key"), "distance")
 
 
 def delete_children(children: DataFrame, key: str, deleted: DataFrame, other: str) -> DataFrame:

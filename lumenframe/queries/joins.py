@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators import joins as J
 from lumenframe.operators.neighbors import nearest
 from lumenframe.queries.profile import fence_sql
-from lumenframe.queries.registry import query, rounded, sr
+from lumenframe.queries.registry import query, r, rounded, sr
 
 
 @query("join_align", "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part")
@@ -99,7 +99,7 @@ SELECT a.p_partkey AS left_key, b.p_partkey AS right_key,
 FROM part a JOIN part b ON a.p_partkey < b.p_partkey
 WHERE (a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice) <= 1.5 * 1.5""")
 def _(t):
-    return rounded(J.pairs_within(t.part, "p_partkey", ["p_size", "p_retailprice"], 1.5))
+    return J.pairs_within(t.part, "p_partkey", ["p_size", "p_retailprice"], 1.5, shown=r)
 
 
 @query("join_cascade_delete", """

@@ -245,3 +245,22 @@ def test_bounds_of_units_take_no_group_each(spark):
         assert np.array_equal(found.low[u], np.where(np.isnan(mine), np.inf, mine).min(axis=0))
         assert np.array_equal(found.high[u], np.where(np.isnan(mine), -np.inf, mine).max(axis=0))
         assert np.array_equal(found.always[u], ~np.isnan(mine).any(axis=0)) and np.array_equal(found.ever[u], (~np.isnan(mine)).any(axis=0))
+
+
+@pytest.mark.parametrize("most", [3, 500])
+def test_rows_of_one_place_are_compared_once(spark, monkeypatch, most):
+    """Many rows at few places: places meet, and all pairs of their rows come out, each once; keys may repeat."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 8, size=(400, 2)).astype(float)
+    keys = [*range(390), *range(10)]
+    rows = [(k, *map(float, r)) for k, r in zip(keys, x.tolist())] + [(1000, None, 1.0), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(3)
+    met, range_pairs, places = [], J.range_pairs, J.places
+    monkeypatch.setattr(J, "range_pairs", lambda points, *a: met.append(points.count()) or range_pairs(points, *a))
+    monkeypatch.setattr(J, "places", lambda points: places(points, most))
+    got = J.pairs_within(df, "id", ["a", "b"], 1.5, shown=lambda c: F.round(c, 3))
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = sorted((keys[i], keys[j], round(float(gap[i, j]), 3)) for i in range(400) for j in range(400) if gap[i, j] <= 1.5 and keys[i] < keys[j])
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert met[0] <= (64 if most == 500 else 260)
+    assert places(df.where("a is not null and id is not null").select(F.col("id").alias("key"), F.array("a", "b").alias("x")), most).agg(F.sum(F.size("keys"))).first()[0] == 400
