@@ -423,3 +423,23 @@ def test_marking_rows_leaves_them_where_they_are(spark):
     got = {r.c: (r.t, r.n) for r in marked.groupBy("c").agg(F.count_if("is_test").alias("t"), F.count("*").alias("n")).collect()}
     marked.unpersist()
     assert got == {"a": (100, 400), "b": (900, 3600)}
+
+
+def test_silhouette_copies_no_row(spark, monkeypatch):
+    """Blocks of all rows meet without a shuffle of copies; rows without a key count for the others only."""
+    from lumenframe.operators import tiles
+
+    rng = np.random.default_rng(12)
+    x, c = rng.normal(size=(300, 10)), rng.integers(0, 4, 300) + 2**60
+    keys = [None if i % 50 == 3 else i for i in range(300)]
+    df = spark.createDataFrame([(k, int(g), [float(v) for v in r]) for k, g, r in zip(keys, c, x.tolist())], "id long, c long, x array<double>").repartition(3)
+    sent, packed = [], tiles.packed
+    monkeypatch.setattr(tiles, "packed", lambda rows, *a: sent.append(rows.count()) or packed(rows, *a))
+    got = {r["key"]: r["silhouette"] for r in clustering.silhouette_rows(df, "id", "c", "x", ship_rows=0, block_rows=40).collect()}
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(300):
+        if keys[i] is not None:
+            a = gap[i, c == c[i]].sum() / ((c == c[i]).sum() - 1)
+            b = min(gap[i, c == g].mean() for g in set(c) - {c[i]})
+            assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
+    assert len(got) == 294 and sent == [294, 300]
