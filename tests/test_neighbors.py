@@ -264,3 +264,27 @@ def test_rows_of_one_place_are_compared_once(spark, monkeypatch, most):
     assert sorted(tuple(r) for r in got.collect()) == want
     assert met[0] <= (64 if most == 500 else 260)
     assert places(df.where("a is not null and id is not null").select(F.col("id").alias("key"), F.array("a", "b").alias("x")), most).agg(F.sum(F.size("keys"))).first()[0] == 400
+
+
+@pytest.mark.parametrize("same", [False, True])
+@pytest.mark.parametrize("scale", [1.0, 1e160])
+def test_wide_rows_without_order_meet_block_by_block(spark, monkeypatch, same, scale):
+    """No row is copied for such queries, ties and repeated keys included; carried values may be missing."""
+    monkeypatch.setattr(N, "WHOLE", 100)
+    monkeypatch.setattr(N.T, "ROWS", 70)
+    left = []
+    spread = X.spread
+    monkeypatch.setattr(X, "spread", lambda *a, **k: left.append(k.get("first_only")) or spread(*a, **k))
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(700, 12)) * (1 if scale == 1 else 1e3)
+    x[300:340] = x[260:300]
+    x[400:460] = x[400]
+    if scale > 1:
+        x[7] = scale
+    df = table(spark, x).withColumn("label", F.expr("case when key % 3 > 0 then key end"))
+    got = N.nearest(df, df, "key", "key", "x", 6, exclude_same_key=same, carry="label", ship_rows=10, block_rows=80).persist()
+    same_rows(got, brute(x, x, 6, False, same))
+    assert left == [True] and got.where("carried <=> case when donor_key % 3 > 0 then donor_key end").count() == got.count()
+    twice = df.unionByName(df.where("key < 20"))
+    found = N.nearest(twice, twice, "key", "key", "x", 2, exclude_same_key=True, ship_rows=10, block_rows=80)
+    assert found.where("query_key = donor_key").count() == 0 and found.where("rank = 1").count() >= 699
