@@ -181,3 +181,26 @@ def test_sums_of_classes_are_added_per_tree(monkeypatch):
         w = T.row_weights(T.Settings(trees=2, bootstrap=True), o.tree, 0, 500)
         mine = (x[:, 0] <= 0) == (o.node == 1)
         assert found[i][0].sum(axis=0).tolist() == [w[mine & (y == c)].sum() for c in range(3)]
+
+
+@pytest.mark.parametrize("classes", [0, 2, 8])
+def test_every_size_gives_the_same_tree(spark, classes):
+    """Above the limit, too, a split is the best of all values and lies halfway between two of them; bins alone would miss it."""
+    rng = np.random.default_rng(13 + classes)
+    x = np.stack([rng.lognormal(sigma=4, size=3000), rng.normal(size=3000), rng.integers(0, 4, 3000)], axis=1)
+    x[rng.random(x.shape) < 0.02] = np.nan
+    x[:2, 1] = -np.inf, np.inf
+    y = np.where(x[:, 0] > 1.2345, 1, 0) + (rng.random(3000) < 0.1) if classes != 8 else rng.integers(0, 8, 3000)
+    y = np.minimum(y, 1) if classes == 2 else y
+    df = spark.createDataFrame([([float(v) for v in r], float(t)) for r, t in zip(x.tolist(), y)], "features array<double>, label double").repartition(3)
+    for s in (T.Settings(max_depth=3), T.Settings(max_depth=2, min_leaf=40, features=1, seed=5)):
+        want = T.fit(df, classes, s).trees[0]
+        got = T.fit(df, classes, T.replace(s, limit=50)).trees[0]
+
+        def shape(tree, values, node=0):
+            f = int(tree.feature[node])
+            if f < 0:
+                return [np.round(values[node], 9).tolist()]
+            return [f, float(tree.threshold[node]), shape(tree, values, tree.left[node]), shape(tree, values, tree.right[node])]
+
+        assert shape(*got) == shape(*want)
